@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import minhash, mixing
 
 QUERIES = {
+    "op5_near_duplicates": minhash.op5,
     "op8_mix_sources": mixing.op8,
 }
 
