@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing
+from . import minhash, mixing, packing
 
 QUERIES = {
     "op5_near_duplicates": minhash.op5,
     "op8_mix_sources": mixing.op8,
+    "op9_best_fit_packing": packing.op9,
 }
 
 ORACLES = {
