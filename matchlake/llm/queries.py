@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing
+from . import minhash, mixing, packing, rollup
 
 QUERIES = {
+    "op1_token_counts": rollup.op1,
     "op5_near_duplicates": minhash.op5,
     "op8_mix_sources": mixing.op8,
     "op9_best_fit_packing": packing.op9,
