@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, rollup
+from . import fingerprints, minhash, mixing, packing, rollup, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
+    "op4_fingerprints": fingerprints.op4,
     "op5_near_duplicates": minhash.op5,
     "op8_mix_sources": mixing.op8,
     "op9_best_fit_packing": packing.op9,
+    "op10_warc": warc.op10,
 }
 
 ORACLES = {
     "op8_mix_sources": mixing.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
