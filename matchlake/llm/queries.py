@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, mixing, packing, rollup, warc
+from . import fingerprints, minhash, mixing, packing, quality, rollup, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
+    "op2_quality": quality.op2,
     "op4_fingerprints": fingerprints.op4,
     "op5_near_duplicates": minhash.op5,
     "op8_mix_sources": mixing.op8,
