@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, mixing, packing, quality, rollup, warc
+from . import fingerprints, language, minhash, mixing, packing, quality, rollup, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
     "op2_quality": quality.op2,
     "op4_fingerprints": fingerprints.op4,
     "op5_near_duplicates": minhash.op5,
+    "op7_language": language.op7,
     "op8_mix_sources": mixing.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_warc": warc.op10,
