@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, minhash, mixing, packing, quality, rollup, warc
+from . import fingerprints, html, language, minhash, mixing, packing, quality, rollup, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
     "op2_quality": quality.op2,
+    "op3_main_text": html.op3,
     "op4_fingerprints": fingerprints.op4,
     "op5_near_duplicates": minhash.op5,
     "op7_language": language.op7,
