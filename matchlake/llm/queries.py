@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, language, minhash, mixing, packing, quality, rollup, warc
+from . import ann, fingerprints, html, language, minhash, mixing, packing, quality, rollup, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_main_text": html.op3,
     "op4_fingerprints": fingerprints.op4,
     "op5_near_duplicates": minhash.op5,
+    "op6_nearest": ann.op6,
     "op7_language": language.op7,
     "op8_mix_sources": mixing.op8,
     "op9_best_fit_packing": packing.op9,
