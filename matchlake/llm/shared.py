@@ -48,10 +48,6 @@ class Tables:
         remove(self.spark, *(self.paths.pop(k) for k in keys if k in self.paths))
 
 
-def equal(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool) -> Column:
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) if null_safe else left[c] == right[c] for c in on))
-
-
 def join_checked(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", null_safe: bool = False, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins by columns of equal names. `small` must be cheap to count (a written table): it is broadcast if it has
     at most `rows` rows of a few numbers each, and else shuffled, where adaptive execution splits hot keys."""
@@ -59,7 +55,7 @@ def join_checked(large: DataFrame, small: DataFrame, on: list[str], how: str = "
     right = F.broadcast(small) if few else small
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in small.columns])
     test = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) if null_safe else F.col(c) == F.col(f"_r_{c}") for c in on))
-    return large.join(renamed, test, how).drop(*[f"_r_{c}" for c in on])
+    return large.join(renamed, test, how).drop(*[f"_r_{c}" for c in on])  # semi and anti joins have none of these
 
 
 def text_or_empty(name: str = "text") -> Column:

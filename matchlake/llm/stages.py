@@ -1,23 +1,49 @@
-"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that are kept, with the columns of `docs`."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that are kept, with the columns of `docs`.
+
+Each applies one operator to all of `docs`. Columns beyond those of `documents` are carried along. Documents with a null id
+pass the near-duplicate stage and are all mixed as often as the one of them that is drawn most.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import language as languages
+from . import minhash, mixing, packing
+from . import quality as good
+from .shared import Tables, join_checked
+
 
-def quality(spark, docs, sf_dir):
-    raise NotImplementedError
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return good.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def language(spark, docs, sf_dir):
-    raise NotImplementedError
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that has half of their words go."""
+    return languages.keep_identified(docs)
 
 
-def near_duplicates(spark, docs, sf_dir):
-    raise NotImplementedError
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id; of repeated rows of one id, one."""
+    t = Tables(spark, "near-stage")
+    rows = t.put(minhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    gone = t.put(rows.where("NOT kept").select("doc_id"), "gone")
+    repeated = t.put(rows.where("kept AND n > 1").select("doc_id"), "repeated")
+    left = join_checked(docs, gone, ["doc_id"], "left_anti")
+    once = join_checked(left, repeated, ["doc_id"], "left_anti")
+    return once if repeated.isEmpty() else once.union(join_checked(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
 
 
-def mix(spark, docs, sf_dir):
-    raise NotImplementedError
+def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    t = Tables(spark, "mix-stage")
+    taken = t.put(mixing.mix_sources(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_m_copies")).where("_m_copies > 0"), "taken")
+    joined = join_checked(docs, taken, ["doc_id"], null_safe=True)
+    return joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def pack(spark, docs, sf_dir):
-    raise NotImplementedError
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs.select("doc_id", "text"))
