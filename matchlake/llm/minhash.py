@@ -14,9 +14,11 @@ pair, and pairs of documents that collide at MATCHES coordinates or more are com
   with a probability of about 5e-6.
 
 Lists can be long where thousands of near copies meet. They are not expanded into all pairs: a few rounds compare each
-document with one document of a list that is not yet known to be of its component, the one with the most collisions,
-and components grow by the links found. What remains are pairs of different components, all of which are then compared
-(members of a list's largest component only with those outside it), so that no link is lost to a cap.
+document with the best few, by collisions, of the documents that lead its lists and are not yet known to be of its
+component, and components grow by the links found. What remains are pairs of different components. A document with
+more than a quarter of shingles that no other document of the lists has cannot be linked, and a pair's overlap is
+at most what either shares with anyone, and what their bit maps allow; all pairs that these bounds, their sizes and
+their collisions leave are compared (members of a list's largest component only with those outside it), so that no link is lost to a cap.
 
 Edge cases: null, empty and blank texts have no shingles and stand alone; documents with a null id are left out of the
 links and keep a null component; rows with an equal id and different texts are linked by that text whose
@@ -41,8 +43,11 @@ WORDS = 5
 SIMILAR = (75, 100)
 COORDINATES = 32
 MATCHES = 12
-#: Rounds in which a document meets the best one of its lists that is not of its component.
+#: Rounds in which a document meets the best leaders of its lists, and how many of them.
 ROUNDS = 3
+BEST = 3
+#: Bits of a set's map; must be a power of two.
+BITS = 4096
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
@@ -67,11 +72,21 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.string()), values], ["id", "n", "set", "signature"])
 
 
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its first bits."""
+    seen = np.zeros(BITS, dtype=bool)
+    seen[shingles >> np.uint64(64 - BITS.bit_length() + 1)] = True
+    return np.packbits(seen, bitorder="little").view("<i8")
+
+
 def _sets(batches):
     for batch in batches:
         sets = [s.tobytes() for s in text.shingle_sets(batch.column("text"), WORDS)]
         keys = pa.array([hashlib.blake2b(s, digest_size=16).hexdigest() for s in sets], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array(sets, pa.binary())], ["id", "set", "shingles"])
+        bits = [_bits(np.frombuffer(s, np.uint64)) for s in sets]
+        flat = np.concatenate(bits) if bits else np.zeros(0, np.int64)
+        maps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BITS // 64, dtype=np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array(sets, pa.binary()), maps], ["id", "set", "shingles", "bits"])
 
 
 def _compare(batches):
@@ -112,6 +127,48 @@ def _collisions(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").withColumn("collisions", equal).where(F.col("collisions") >= MATCHES).select("u", "v", "collisions")
 
 
+def _own_shingles(batches):
+    for batch in batches:
+        for i in range(0, len(batch), 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+            ids = np.repeat(np.asarray(part.column("id")), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+
+
+def _facts(t: Tables, signs: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, n, signature, tokens, common) of the documents that may be linked: `common` is how many of a document's
+    shingles any other document of the lists has."""
+    single = sets.mapInArrow(_own_shingles, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
+    alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    tokens = lists.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # a prefix: COORDINATES - MATCHES + 1 at most
+    facts = signs.join(alone, "id", "left").join(tokens, "id").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return t.put(facts.where(F.lit(SIMILAR[1]) * F.col("common") >= F.lit(SIMILAR[0]) * F.col("n")).select("id", "n", "signature", "tokens", "common"), "facts")
+
+
+def _remaining(own: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of open lists that can still be links, each once. A bit that one has and the other has not stands for
+    at least one shingle that they do not share."""
+    maps = join_checked(sets.select("id", "bits"), own.select("id").distinct(), ["id"], "left_semi")
+    rows = own.join(facts.select("id", "signature", "tokens").join(maps, "id"), "id")
+    names = {"token": "tk", "id": "v", "n": "nb", "label": "lb", "tokens": "tb", "signature": "sb", "common": "cb", "bits": "bb"}
+    outside = rows.where("label <> largest").select(*[F.col(a).alias(b) for a, b in names.items()])
+    once = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("id") < F.col("v")))
+    collide = F.size(F.filter(F.zip_with("signature", "sb", lambda x, y: x == y), lambda x: x)) >= MATCHES
+    first = F.array_min(F.array_intersect("tokens", "tb")) == F.col("token")
+    apart = F.aggregate(F.zip_with("bits", "bb", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda x, y: x + y)
+    back = F.aggregate(F.zip_with("bits", "bb", lambda x, y: F.bit_count(y.bitwiseAND(F.bitwise_not(x)))), F.lit(0), lambda x, y: x + y)
+    overlap = F.lit(SIMILAR[0] + SIMILAR[1]) * F.least(F.col("n") - apart, F.col("nb") - back) >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("nb"))
+    pairs = rows.join(outside, (F.col("token") == F.col("tk")) & once & _possible() & first & collide & overlap)
+    return pairs.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+
+
+def _possible():
+    """Sizes and shared shingles of two documents allow a link."""
+    size = F.lit(SIMILAR[1]) * F.least("n", "nb") >= F.lit(SIMILAR[0]) * F.greatest("n", "nb")
+    return size & (F.lit(SIMILAR[0] + SIMILAR[1]) * F.least("common", "cb") >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("nb")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id (integer), text -> doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -125,11 +182,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = t.put(usable.join(one, ["id", "set"], "left_semi").dropDuplicates(["id"]), "reps")
     lists = _prefixes(t, reps)
     members = lists.select("id").distinct()
-    signs = t.put(reps.join(members, "id", "left_semi").select("id", "set", "signature"), "signs")
+    signs = t.put(reps.join(members, "id", "left_semi").select("id", "n", "set", "signature"), "signs")
     chosen = signs.select("id", "set")
-    sets = t.put(join_checked(texts, chosen.select("id"), ["id"], "left_semi").mapInArrow(_sets, "id long, set string, shingles binary").join(chosen, ["id", "set"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    sets = t.put(join_checked(texts, chosen.select("id"), ["id"], "left_semi").mapInArrow(_sets, "id long, set string, shingles binary, bits array<long>").join(chosen, ["id", "set"], "left_semi").dropDuplicates(["id"]).drop("set"), "sets")
+    facts = _facts(t, signs, sets, lists)
+    sets = t.put(join_checked(sets, facts.select("id"), ["id"], "left_semi"), "linkable-sets")
+    lists = t.put(lists.join(facts.select("id", "common"), "id"), "linkable")
+    t.drop("sets", "signs", "lists")
     labels = links = None
-    size = F.lit(SIMILAR[1]) * F.least("n", "nb") >= F.lit(SIMILAR[0]) * F.greatest("n", "nb")
     for k in range(ROUNDS + 1):
         own = lists.withColumn("label", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # Lists whose documents are all of one component are done.
@@ -141,20 +201,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if k < ROUNDS:
             # The document of a list that comes first in this round's random order, for all of other components.
             order = F.xxhash64(F.lit(k), "id")
-            lead = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "label")).alias("x")).select("token", F.col("x.id").alias("v"), F.col("x.n").alias("nb"), F.col("x.label").alias("lb"))
-            pairs = own.join(lead, "token").where(F.col("label") != F.col("lb")).where(size).select(F.col("id").alias("u"), "v").distinct()
-            pairs = _collisions(pairs, signs).groupBy("u").agg(F.max_by("v", F.struct("collisions", "v")).alias("v"))
+            lead = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "label", "common")).alias("x")).select("token", F.col("x.id").alias("v"), F.col("x.n").alias("nb"), F.col("x.label").alias("lb"), F.col("x.common").alias("cb"))
+            pairs = own.join(lead, "token").where(F.col("label") != F.col("lb")).where(_possible()).select(F.col("id").alias("u"), "v").distinct()
+            best = Window.partitionBy("u").orderBy(F.col("collisions").desc(), "v")
+            pairs = _collisions(pairs, facts).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST)
         else:
-            outside = own.where("label <> largest").select("token", F.col("id").alias("v"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = own.join(outside, "token").where((F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("id") < F.col("v")))).where(size)
-            pairs = _collisions(pairs.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct(), signs)
+            pairs = _remaining(own, facts, sets)
         found = _confirmed(t, t.put(pairs.select("u", "v"), f"pairs{k}"), sets, f"found{k}")
         links = found if links is None else links.union(found)
         labels = t.put(components(links, "near-links").select("id", F.col("component").alias("label")), f"labels{k}")
         t.drop(f"pairs{k}", f"open{k}", f"labels{k - 1}")
     if labels is None:
         labels = reps.select("id", F.col("id").alias("label")).limit(0)
-    t.drop("sets", "signs")
+    t.drop("linkable-sets")
     of_set = first.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component_id"))
     rows = signed.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are taken at once; bounds the temporary vectors of a task (about 40 bytes a byte of text).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _SPACE = np.zeros(256, dtype=bool)
