@@ -82,9 +82,9 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def is_round_file(headers: list[str]) -> bool:
+    """By normalised headers: nearly all of REQUIRED, or `file` and `map` with aliases for the rest."""
     names = set(headers)
-    hits = sum(any(a in names for a in ({"file", "demo_file"} if c == "file" else {"round", "round_number", "round_num", "round_id"} if c == "round" else {c})) for c in REQUIRED)
-    return not (hits < LEAST_HEADERS and ("file" not in names or "map" not in names))
+    return len(names & set(REQUIRED)) >= LEAST_HEADERS or {"file", "map"} <= names
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +108,7 @@ def read_round_files(spark: SparkSession, folder: str) -> tuple[DataFrame, int,
         if not is_round_file(normal_headers(header_of(spark, path))):
             skipped += 1
             continue
-        rows = read_csv(spark, path).withColumn("source_file", F.lit(posixpath.basename(path))).withColumn("src_ord", F.lit(k).cast("decimal(38,0)") * F.lit(10**20).cast("decimal(21,0)") + F.monotonically_increasing_id())
+        rows = read_csv(spark, path).withColumn("source_file", F.lit(posixpath.basename(path))).withColumn("src_ord", F.lit(k << 43) + F.monotonically_increasing_id())
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"No round_meta CSV files in {folder}")
