@@ -50,6 +50,15 @@ LABELLED = (
     (25, 0.1, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 30, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
     (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.5, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
     (10, 0.8, 12, 0.9, 9, 1.0, 0, 0, 0, 1, 0), (5, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (8, 0.3, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (50, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 300, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1, 0, 1), (8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 1), (20, 0.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0, 1),
+    (4, 0.0, 3, 1.0, 5, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 2, 0.0, 1, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 1, 0.0, 1, 0, 0, 0, 1),
+    (4, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 5, 1.0, 3, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 5, 1.0, 3, 0.0, 0, 0, 0, 0, 0),
+    (6, 0.0, 4, 1.0, 0, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 2, 0.0, 3, 1.0, 1, 0, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 0.3, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 1), (2, 0.3, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
+    (6, 0.0, 1, 1.0, 15, 0.0, 0, 0, 1, 0, 1), (5, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 12, 0.0, 0, 0, 1, 0, 1),
     (20, 0.9, 60, 0.0, 15, 1.0, 0, 0, 0, 0, 0), (30, 0.7, 20, 0.9, 30, 0.8, 0, 0, 0, 1, 0),
 )
 
