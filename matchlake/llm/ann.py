@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, bounded_sample
 
 K = 10
 QUERY_EVERY = 100
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, sample: int
     widths = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("w").desc()).limit(1).collect()
     width = widths[0]["w"] if widths else 1
     rows = rows.where(F.size("v") == width)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    drawn = bounded_sample(rows, "vec_id", sample).collect()
     index = train_index(np.array([r["v"] for r in drawn], dtype=np.float64).reshape(len(drawn), width), parts)
     router, n_parts, probes = index.router, index.parts, index.probes
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .shared import Tables, join_checked
+from .shared import Tables, bounded_sample, join_checked
 
 TRAIN_ROWS = 20_000
 #: Posterior probability below which a document is rejected.
@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     described = t.put(rows.mapInArrow(describe, "id long, _h string, _p string, x array<double>"), "described").where("x[0] > 0")
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
     # Documents that a stage before has dropped don't count, so the sample is drawn after the join.
-    sample = marks.join(described.select("id", "x"), "id").orderBy(F.xxhash64("id"), "id", "y").limit(train_rows).collect()
+    sample = bounded_sample(t.put(marks.join(described.select("id", "x"), "id"), "labelled"), "id", train_rows).collect()
     x, y = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], dtype=np.float64)
     weights = fit(x, y)
 
