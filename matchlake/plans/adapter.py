@@ -44,7 +44,7 @@ FROM customer"""
 CATALOG = """
 SELECT stage || '-' || CAST(n AS STRING) AS run_id, stage, CASE WHEN n % 4 = 3 THEN 'failed' ELSE 'completed' END AS status, 'p' || CAST(CASE WHEN n % 5 = 1 AND stage = 'bronze' THEN 9 ELSE n % 2 END AS STRING) AS dataset_prefix,
   CASE WHEN stage = 'bronze' THEN CASE WHEN n % 7 = 2 THEN 'x' END WHEN stage = 'gold' AND n % 6 = 4 THEN '' WHEN stage = 'documents' AND n % 8 = 5 THEN 'gold-none' ELSE parent || '-' || CAST(n AS STRING) END AS source_run_id, n AS created_at, n * 10 AS rows_output
-FROM (SELECT c_custkey AS n FROM customer WHERE c_custkey <= 60) CROSS JOIN
+FROM (SELECT c_custkey AS n FROM customer) CROSS JOIN
   (SELECT 'bronze' AS stage, '' AS parent UNION ALL SELECT 'silver', 'bronze' UNION ALL SELECT 'gold', 'silver' UNION ALL SELECT 'documents', 'gold' UNION ALL SELECT 'embeddings', 'documents') s"""
 
 SOURCES = {"events": "events", "customer": "customer"}
