@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,6 +18,8 @@ from .rounds import consistency, feature_columns
 METRICS = ("roc_auc", "f1", "balanced_accuracy", "log_loss", "brier")
 MODELS = ("baseline_repeat_current", "logistic_regression", "hist_gradient_boosting")
 TARGET = "target_winner_side_next_code"
+#: For checkpoints on one machine.
+LOCAL_FOLDER = "/tmp/checkpoints/matchlake-learning"
 
 
 def group_split(frame: DataFrame, share: float = 0.2, seed: str = "42", group: str = "file") -> DataFrame:
@@ -134,6 +137,14 @@ class Trained:
         return self.model.transform(self.preparation.apply(rows)).withColumn("p", vector_to_array("probability")[1]).select(*kept, "p")
 
 
+def _checkpoints(spark) -> None:
+    """Boosting cuts its lineage by checkpoints, without which hundreds of rounds overflow the stack. A cluster has its
+    folder in spark.checkpoint.dir; one machine takes a local one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty() and re.match(r"local(\[|$)", context.master):
+        context.setCheckpointDir(LOCAL_FOLDER)
+
+
 def train(rows: DataFrame, name: str, iterations: int = 350) -> Trained:
     """One of MODELS[1:]; classes are weighted to balance."""
     numeric, categorical = feature_columns(rows)
@@ -145,6 +156,7 @@ def train(rows: DataFrame, name: str, iterations: int = 350) -> Trained:
     if name == "logistic_regression":
         model = LogisticRegression(maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="_w")
     elif name == "hist_gradient_boosting":
+        _checkpoints(rows.sparkSession)
         model = GBTClassifier(maxIter=iterations, maxDepth=6, stepSize=0.05, maxBins=255, seed=42)
     else:
         raise ValueError(f"unknown model {name}")
@@ -153,23 +165,22 @@ def train(rows: DataFrame, name: str, iterations: int = 350) -> Trained:
 
 def permutation_importance(trained: Trained, rows: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance: the mean fall of ROC-AUC when a column's values are dealt out anew. Both orders are row
-    numbers within salted buckets, so no sort takes one task."""
+    numbers within salted buckets, so no sort takes one task. All features and repeats are one plan."""
     base = metrics(trained.predict(rows), TARGET).first()["roc_auc"]
     features = trained.preparation.numeric + trained.preparation.categorical
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("file", "round_number"), F.lit(32)))
-    own = Window.partitionBy("_b").orderBy(F.xxhash64("file", "round_number"), "file", "round_number")
-    keyed = keyed.withColumn("_k", F.row_number().over(own))
-    out = []
-    for c in features:
-        falls = []
-        for k in range(repeats):
-            mixed = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + k), "file", "round_number"))
-            other = keyed.select("_b", F.row_number().over(mixed).alias("_k"), F.col(c).alias("_v"))
-            shuffled = keyed.drop(c).join(other, ["_b", "_k"]).withColumnRenamed("_v", c)
-            auc = metrics(trained.predict(shuffled), TARGET).first()["roc_auc"]
-            if base is not None and auc is not None:
-                falls.append(base - auc)
-        out.append((c, sum(falls) / len(falls) if falls else math.nan))
+    order = F.xxhash64("file", "round_number")
+    keyed = rows.withColumn("_b", F.pmod(order, F.lit(32)))
+    keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(order, "file", "round_number")))
+    keyed = keyed.withColumn("_r", F.explode(F.array(*map(F.lit, range(repeats)))))
+    mixed = Window.partitionBy("_b", "_r").orderBy(F.xxhash64(F.col("_r") + F.lit(seed), "file", "round_number"), "file", "round_number")
+    other = keyed.select("_b", "_r", F.row_number().over(mixed).alias("_k"), F.struct(*features).alias("_o"))
+    dealt = keyed.join(other, ["_b", "_r", "_k"]).withColumn("_f", F.explode(F.array(*map(F.lit, features))))
+    shuffled = dealt.withColumns({c: F.when(F.col("_f") == c, F.col(f"_o.{c}")).otherwise(F.col(c)) for c in features}).drop("_o")
+    falls = {}
+    for r in metrics(trained.predict(shuffled), TARGET, by=["_f", "_r"]).collect():  # one row a feature and repeat
+        if base is not None and r["roc_auc"] is not None:
+            falls.setdefault(r["_f"], []).append(base - r["roc_auc"])
+    out = [(c, math.fsum(falls[c]) / len(falls[c]) if c in falls else math.nan) for c in features]
     return rows.sparkSession.createDataFrame(out, "feature string, importance double").orderBy(F.col("importance").desc())
 
 

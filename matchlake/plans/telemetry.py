@@ -608,21 +608,21 @@ def session_delete(spark, d):
 
 @query()
 def train_logreg(spark, d):
-    return learning.train_and_evaluate(supervised_features(spark, d), learning.MODELS[:2], min_rows=1)["metrics"]
+    return learning.train_and_evaluate(supervised_features(spark, d), min_rows=1)["metrics"]
 
 
 @query()
 def train_gbt(spark, d):
     frame = learning.group_split(supervised_features(spark, d))
-    model = learning.train(frame.where("NOT is_test"), "hist_gradient_boosting", iterations=10)
+    model = learning.train(frame.where("NOT is_test"), "hist_gradient_boosting")
     return learning.metrics(model.predict(frame.where("is_test")), learning.TARGET)
 
 
 @query()
 def permutation_importance(spark, d):
-    frame = learning.group_split(supervised_features(spark, d).select("file", "round_number", "eq_diff", "map", "winner_side_norm", learning.TARGET, "eq_diff_lag1"))
+    frame = learning.group_split(supervised_features(spark, d))
     model = learning.train(frame.where("NOT is_test"), "logistic_regression")
-    return learning.permutation_importance(model, frame.where("is_test"), repeats=2)
+    return learning.permutation_importance(model, frame.where("is_test"))
 
 
 @query()
