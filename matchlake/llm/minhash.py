@@ -4,7 +4,7 @@ Two documents are linked if the Jaccard similarity of their sets of 5-word shing
 signature is the minimum of its shingles under COORDINATES hash functions. It is posted under each (coordinate, value)
 pair, and pairs of documents that collide at MATCHES coordinates or more are compared on their whole shingle sets.
 
-- Documents with equal sets are one from the start: only the one with the smallest id goes on.
+- Documents with equal sets are one from the start: a set goes on once, under a key of its own, whatever the ids of its rows.
 - Skips: a value that one document alone has cannot collide and is dropped; a document with fewer than MATCHES values
   left is done.
 - Prefix: values are ordered by how many documents have them. Two documents with MATCHES collisions collide at least
@@ -20,10 +20,9 @@ more than a quarter of shingles that no other document of the lists has cannot b
 at most what either shares with anyone, and what their bit maps allow; all pairs that these bounds, their sizes and
 their collisions leave are compared (members of a list's largest component only with those outside it), so that no link is lost to a cap.
 
-Edge cases: null, empty and blank texts have no shingles and stand alone; documents with a null id are left out of the
-links and keep a null component; rows with an equal id and different texts are linked by that text whose
-set comes first by its digest, and equal sets share a component; an empty table gives an empty result. Other
-columns are ignored.
+Edge cases: null, empty and blank texts have no shingles and stand alone; documents with a null id keep a null component
+and name none, but their sets are searched as all others; rows of one id are of one component, whatever their texts, and
+so are the documents that any of them is linked with; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,26 +168,30 @@ def _possible():
     return size & (F.lit(SIMILAR[0] + SIMILAR[1]) * F.least("common", "cb") >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("nb")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id (integer), text -> doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    t = Tables(spark, "near")
+def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+    """doc_id (integer), text -> written tables (id, n, set, signature) of all rows and (set, rep, group) of all sets that
+    have shingles: its smallest id, null if its rows have none, and its component by links of sets alone."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = t.put(texts.mapInArrow(_sign, "id long, n long, set string, signature array<int>"), "signed")
-    usable = signed.where("n > 0 AND id IS NOT NULL")
-    # Equal sets are one document, and so are the rows of one id.
-    first = t.put(usable.groupBy("set").agg(F.min("id").alias("rep")), "first")
-    one = first.groupBy("rep").agg(F.min("set").alias("set")).withColumnRenamed("rep", "id")
-    reps = t.put(usable.join(one, ["id", "set"], "left_semi").dropDuplicates(["id"]), "reps")
+    usable = signed.where("n > 0")
+    # Equal sets are one document. Below, `id` is the key of a set: ids may have many sets, or be null.
+    first = t.put(usable.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "first")
+    reps = first.select("id", "n", "set", "signature")
     lists = _prefixes(t, reps)
     members = lists.select("id").distinct()
     signs = t.put(reps.join(members, "id", "left_semi").select("id", "n", "set", "signature"), "signs")
-    chosen = signs.select("id", "set")
-    sets = t.put(join_checked(texts, chosen.select("id"), ["id"], "left_semi").mapInArrow(_sets, "id long, set string, shingles binary, bits array<long>").join(chosen, ["id", "set"], "left_semi").dropDuplicates(["id"]).drop("set"), "sets")
+    chosen = t.put(first.join(members, "id", "left_semi").select("id", "set", "rep"), "chosen")
+    # The texts of the chosen sets, by an id that has each; those without an id are looked through as a whole.
+    holders = join_checked(texts, chosen.where("rep IS NOT NULL").select(F.col("rep").alias("id")), ["id"], "left_semi")
+    if not chosen.where("rep IS NULL").isEmpty():
+        holders = holders.union(texts.where("id IS NULL"))
+    sets = holders.mapInArrow(_sets, "id long, set string, shingles binary, bits array<long>").withColumnRenamed("id", "held")
+    sets = sets.join(chosen.withColumnRenamed("set", "_set"), (F.col("set") == F.col("_set")) & F.col("held").eqNullSafe(F.col("rep")))
+    sets = t.put(sets.select("id", "shingles", "bits").dropDuplicates(["id"]), "sets")
     facts = _facts(t, signs, sets, lists)
     sets = t.put(join_checked(sets, facts.select("id"), ["id"], "left_semi"), "linkable-sets")
     lists = t.put(lists.join(facts.select("id", "common"), "id"), "linkable")
-    t.drop("sets", "signs", "lists")
+    t.drop("sets", "signs", "lists", "chosen")
     labels = links = None
     for k in range(ROUNDS + 1):
         own = lists.withColumn("label", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -214,10 +217,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if labels is None:
         labels = reps.select("id", F.col("id").alias("label")).limit(0)
     t.drop("linkable-sets")
-    of_set = first.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component_id"))
-    rows = signed.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = t.put(first.join(labels, "id", "left").select("set", "rep", F.coalesce("label", "id").alias("group")), "groups")
+    t.drop("first")
+    return signed, out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id (integer), text -> doc_id, n_shingles, component_id, kept."""
+    t = Tables(docs.sparkSession, "near")
+    signed, sets = groups(docs, t)
+    # Ids that have several sets link the groups of these sets.
+    usable = signed.where("n > 0 AND id IS NOT NULL")
+    several = t.put(usable.groupBy("id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("id"), "several")
+    if not several.isEmpty():
+        held = t.put(join_checked(usable.select("id", "set"), several, ["id"], "left_semi").join(sets, "set").select("id", "group").distinct(), "held")
+        least = held.groupBy("id").agg(F.min("group").alias("u"))
+        stars = held.join(least, "id").select("u", F.col("group").alias("v")).where("u <> v")
+        joined = components(stars, "id-links").select(F.col("id").alias("group"), "component")
+        sets = sets.join(joined, "group", "left").select("set", "rep", F.coalesce("component", "group").alias("group"))
+    named = t.put(sets.groupBy("group").agg(F.min("rep").alias("component_id")), "named")  # written, so that hot groups can be split
+    of_set = sets.join(named, "group").select("set", "component_id")
+    rows = signed.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def clean(docs: DataFrame, t: Tables) -> DataFrame:
+    """doc_id (integer), text -> a written table (doc_id, set, n, rows, keep): each id and set once, the number of its rows
+    and whether it stays. Of each group of sets that the links make, the one of the smallest id, null ids last, and the
+    first digest stays. Rows of one id whose texts are unlike are different documents. Without shingles, all stay."""
+    signed, sets = groups(docs, t)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "set")
+    best = sets.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.set").alias("set"), F.col("x.rep").alias("rep"), F.lit(True).alias("best"))
+    pairs = signed.groupBy("id", "set").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    marked = pairs.join(best, "set", "left").select(F.col("id").alias("doc_id"), "set", "n", "rows", ((F.col("n") == 0) | (F.coalesce("best", F.lit(False)) & F.col("id").eqNullSafe(F.col("rep")))).alias("keep"))
+    return t.put(marked, "clean")
+
+
+def with_set(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with the digest of each text's set in a column `name`."""
+
+    def digests(batches):
+        for batch in batches:
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in text.shingle_sets(batch.column("_m_text"), WORDS)]
+            kept = [c for c in batch.schema.names if c != "_m_text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(keys, pa.string())], [*kept, name])
+
+    schema = docs.withColumn(name, F.lit("")).schema
+    return docs.withColumn("_m_text", F.col("text").cast("string")).mapInArrow(digests, schema)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that are kept, with the columns of `docs`.
 
 Each applies one operator to all of `docs`. Columns beyond those of `documents` are carried along. Documents with a null id
-pass the near-duplicate stage and are all mixed as often as the one of them that is drawn most.
+are all mixed as often as the one of them that is drawn most.
 """
 
 from __future__ import annotations
@@ -26,14 +26,26 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of repeated rows of one id, one."""
+    """One document of each group of near-duplicates stays, that with the smallest id, null ids last. Rows of one id, or of
+    none, are told apart by their texts: equal ones are one document, unlike ones are not. Texts without words stay, once
+    for each id."""
     t = Tables(spark, "near-stage")
-    rows = t.put(minhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
-    gone = t.put(rows.where("NOT kept").select("doc_id"), "gone")
-    repeated = t.put(rows.where("kept AND n > 1").select("doc_id"), "repeated")
-    left = join_checked(docs, gone, ["doc_id"], "left_anti")
-    once = join_checked(left, repeated, ["doc_id"], "left_anti")
-    return once if repeated.isEmpty() else once.union(join_checked(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
+    pairs = minhash.clean(docs.select("doc_id", "text"), t)
+    per = t.put(pairs.groupBy("doc_id").agg(F.sum("rows").alias("n"), F.bool_or("keep").alias("keep")), "ids")
+    # Most ids have one row and are decided without a look at the text.
+    gone = t.put(per.where("doc_id IS NOT NULL AND (n > 1 OR NOT keep)").select("doc_id"), "gone")
+    again = t.put(per.where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    once = join_checked(docs.where("doc_id IS NOT NULL"), gone, ["doc_id"], "left_anti")
+    nulls = not per.where("doc_id IS NULL").isEmpty()
+    if again.isEmpty() and not nulls:
+        return once
+    rest = join_checked(docs.where("doc_id IS NOT NULL"), again, ["doc_id"], "left_semi")
+    rest = minhash.with_set(rest.union(docs.where("doc_id IS NULL")) if nulls else rest, "_m_set")
+    wanted = pairs.where("keep").select(F.col("doc_id").alias("_m_id"), F.col("set").alias("_m_same"), "n")
+    rest = rest.join(wanted, (F.col("_m_set") == F.col("_m_same")) & F.col("doc_id").eqNullSafe(F.col("_m_id")))
+    blank = F.col("doc_id").isNull() & (F.col("n") == 0)
+    rest = rest.where(~blank).dropDuplicates(["doc_id", "_m_set"]).union(rest.where(blank))
+    return once.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
