@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,18 +12,26 @@ from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_FOLDER = "/tmp/checkpoints/matchlake"
+#: Lists of paths that `scratch` deletes, the innermost last.
+_SCRATCH: list[list[str]] = []
 #: A side of a join is broadcast up to so many rows, after they were counted; beyond, it is shuffled.
 BROADCAST_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see, with one subfolder for each application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or LOCAL_FOLDER
     return f"{base.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -31,6 +41,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, every table that operators wrote inside; results must have been written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_SCRATCH.pop())
+
+
 class Tables:
     """Intermediate tables of one operator call, written as Parquet: they cut the lineage and outlive executors."""
 

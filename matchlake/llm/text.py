@@ -42,21 +42,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Powers:
-    """Powers of one odd number and of its inverse modulo 2**64, made once as far as they are needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(0, dtype=U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = _powers(_P, n), _powers(_P_INVERSE, n)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and the n + 1 offsets of its texts."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -92,7 +77,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span, lower-cased."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
-    up, down = _POWERS.upto(len(data) + 1)
+    # Made anew for each slice: a table kept here would travel with every task function.
+    up, down = _powers(_P, len(data) + 1), _powers(_P_INVERSE, len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
