@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from matchlake.llm import stages
-from matchlake.llm.shared import new_path
+from matchlake.llm.shared import new_path, remove, scratch
 
 STAGES = [
     ("quality classifier", stages.quality),
@@ -18,9 +18,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's input and whatever it wrote on the way are deleted once its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
