@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .components import components
-from .shared import Tables, join_checked
+from .shared import Tables, join_checked, unused
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -255,15 +255,16 @@ def clean(docs: DataFrame, t: Tables) -> DataFrame:
 
 def with_set(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with the digest of each text's set in a column `name`."""
+    (whole,) = unused(docs, "_text")
 
     def digests(batches):
         for batch in batches:
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in text.shingle_sets(batch.column("_m_text"), WORDS)]
-            kept = [c for c in batch.schema.names if c != "_m_text"]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in text.shingle_sets(batch.column(whole), WORDS)]
+            kept = [c for c in batch.schema.names if c != whole]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(keys, pa.string())], [*kept, name])
 
     schema = docs.withColumn(name, F.lit("")).schema
-    return docs.withColumn("_m_text", F.col("text").cast("string")).mapInArrow(digests, schema)
+    return docs.withColumn(whole, F.col("text").cast("string")).mapInArrow(digests, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

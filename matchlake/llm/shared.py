@@ -87,5 +87,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key).limit(rows)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def same_columns(df: DataFrame) -> list[Column]:
+    """The columns of `df`, for a select from something that has them and more."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
