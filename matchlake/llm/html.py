@@ -1,18 +1,25 @@
 """Operator 3: the main text of web pages from flat text blocks.
 
 A page becomes a list of blocks, the text between block-level tags. Each has shallow features: its words and link
-density, those of the blocks before and after it, whether it lies in what marks content or in what marks page furniture,
-and whether it is a heading or a list entry. A decision tree, trained on the small labelled table below, tells text
-from the rest; text blocks are joined in page order.
+density, those of the blocks before and after it, what kind of element it is, what the elements around it
+say they are, and whether the block before was text. A decision tree, trained on the labelled blocks
+of the small pages below, goes through the blocks in order and tells text from the rest; text blocks are joined in page
+order.
 
-Edge cases: null and empty pages have the empty text; markup that is cut off or not closed is read as far as it goes, a
-missing end tag ends with its parent; unknown character references stay as they are; repeated rows are extracted each;
-null ids and urls are kept; an empty table gives an empty result. Other columns are ignored.
+Markup is read as browsers do where it is not well formed: the head ends with the first tag or text that is none of it, a
+block ends an open paragraph, button or list entry of its kind and inline tags that were left open, and an end tag without
+a start is passed over. `<br>` is white space. A form around structural tags is no form. Names of classes and ids count as
+whole tokens, by their last part, and never on html and body.
+
+Edge cases: null and empty pages have the empty text; a page without tags is one block, its text; markup that is cut off is
+read as far as it goes; unknown character references stay as they are; repeated rows are extracted each; null ids and
+urls are kept; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,66 +28,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of HTML: tags that begin and end a block, tags whose content is never text, tags without content.
-BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT_TAGS = frozenset("head title script style noscript template svg math iframe object canvas audio video select option button textarea datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN_TAGS = frozenset(("article", "main"))
-CHROME_TAGS = frozenset("nav header footer aside form menu dialog".split())
-MAIN_NAMES = frozenset("article main content story post entry body text".split())
-CHROME_NAMES = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget header masthead footer foot copyright legal comment comments commentlist reply replies disqus discussion respond related recommended recommendations share sharing social toolbar pagination pager tags search form".split())
+HEAD_TAGS = frozenset("base basefont link meta noscript script style template title".split())
+#: Of the silent ones, those that end where a block begins.
+SHORT_TAGS = frozenset("button option select datalist svg math".split())
 #: A block tag of the key closes open ones of the value.
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "chrome", "heading", "entry")
-
-# Labelled blocks, in the order of FEATURES, the last number 1 for text. Densities are shares of words.
-LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 1, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0), (9, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 0, 0), (14, 0.0, 120, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (9, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (40, 0.0, 90, 0.0, 35, 0.0, 0, 1, 0, 0, 0), (65, 0.05, 40, 0.0, 22, 0.0, 0, 1, 0, 0, 0),
-    (120, 0.0, 15, 0.0, 80, 0.0, 0, 1, 0, 0, 0), (25, 0.1, 140, 0.0, 3, 0.0, 1, 1, 0, 0, 0), (80, 0.0, 30, 0.0, 60, 0.0, 1, 1, 0, 0, 0),
-    (12, 0.0, 200, 0.0, 70, 0.0, 1, 1, 0, 0, 0), (5, 0.0, 80, 0.0, 50, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 2, 1.0, 10, 0.0, 0, 1, 1, 0, 0),
-    (10, 0.0, 9, 0.0, 9, 0.0, 1, 0, 1, 0, 1), (8, 0.0, 8, 0.0, 55, 0.0, 1, 0, 1, 0, 1), (4, 0.0, 120, 0.0, 90, 0.0, 1, 0, 1, 0, 1),
-    (1, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 0, 1), (55, 0.0, 8, 0.0, 80, 0.0, 1, 0, 0, 0, 1), (300, 0.0, 55, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 300, 0.0, 1, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 1, 0.0, 9, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 40, 0.0, 12, 0.0, 1, 0, 0, 0, 1),
-    (40, 0.2, 30, 0.0, 60, 0.1, 1, 0, 0, 0, 1), (18, 0.3, 90, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 7, 0.0, 1, 0, 0, 1, 1),
-    (9, 0.4, 7, 0.0, 11, 0.1, 1, 0, 0, 1, 1), (30, 0.1, 12, 0.0, 25, 0.0, 1, 0, 0, 1, 1), (5, 1.0, 90, 0.0, 6, 1.0, 1, 0, 0, 1, 0),
-    (6, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 1, 0), (2, 1.0, 6, 1.0, 10, 0.0, 1, 0, 0, 0, 0), (3, 0.9, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 0),
-    (6, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (8, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1, 0, 1), (60, 0.0, 8, 0.0, 90, 0.0, 0, 0, 0, 0, 1),
-    (90, 0.05, 60, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (35, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0, 1), (15, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.1, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 30, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.5, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (10, 0.8, 12, 0.9, 9, 1.0, 0, 0, 0, 1, 0), (5, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (8, 0.3, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (50, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 300, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1, 0, 1), (8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 1), (20, 0.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0, 1),
-    (4, 0.0, 3, 1.0, 5, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 0, 0.0, 1, 0, 0, 0, 1),
-    (3, 0.0, 2, 1.0, 2, 0.0, 1, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 1, 0.0, 1, 0, 0, 0, 1),
-    (4, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 5, 1.0, 3, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 5, 1.0, 3, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.0, 4, 1.0, 0, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 2, 0.0, 3, 1.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 0.3, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 1), (2, 0.3, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
-    (6, 0.0, 1, 1.0, 15, 0.0, 0, 0, 1, 0, 1), (5, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 12, 0.0, 0, 0, 1, 0, 1),
-    (20, 0.9, 60, 0.0, 15, 1.0, 0, 0, 0, 0, 0), (30, 0.7, 20, 0.9, 30, 0.8, 0, 0, 0, 1, 0),
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+STRUCTURE = frozenset("article main nav header footer section h1 table".split())
+# Names that say what an element is for.
+APART_TAGS = frozenset("nav footer aside form menu dialog".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+APART_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget header masthead footer copyright legal comment comments commentlist replies disqus discussion respond related recommended recommendations share sharing social toolbar pagination pager search form".split())
+MAIN_NAMES = frozenset("article main content story post entry body text".split())
+COMMENT_NAMES = frozenset("comment comments commentlist replies respond disqus discussion".split())
+#: Parts before a name that say that the element is not that, but has or lacks it.
+ABOUT = frozenset("has have with no without hide show is not".split())
+#: A heading of such words alone begins what readers or the site add.
+ADDED_HEADINGS = frozenset("comment comments reply replies response responses discussion leave a your write post all of the to this on reader readers join related similar more recommended read next also you may might like articles article stories posts news latest popular most share follow us kommentar kommentare commentaire commentaires comentario comentarios antworten".split())
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tags", "names", "comments", "heading", "entry", "paragraph", "added", "text_before")
+
+# Labelled pages in short. "+8-20" stands for 8 to 20 words of text, "-8-20" for as many that are not text.
+_MENU = "<ul><li><a href=x>-1-2</a><li><a href=x>-1-2</a><li><a href=x>-1-3</a></ul>"
+_TOP = f"<div class=logo>-1-3</div><nav>{_MENU}</nav>"
+_END = "<footer><p>-4-20</p><a href=x>-1-2</a></footer>"
+PAGES = (
+    f"{_TOP}<article><h1>+2-14</h1><p>+20-120</p><p>+3-60</p><p>+1-12</p></article>{_END}",
+    f"{_TOP}<div>-2-15</div><article><h1>+1-9</h1><p>+1-9</p><p>+1-40</p><p>+1-9</p></article>{_END}",
+    f"{_TOP}<article><p>+1-9</p><h2>+1-9</h2><p>+1-9</p><div>+1-9</div><ul><li>+1-9<li><a href=x>+1-9</a></ul></article><div>-2-30</div>",
+    f"{_TOP}<div>-2-15</div><main><h1>+1-9</h1><div>+1-9</div><div>+1-40</div><h2>+1-9</h2><ol><li>+1-9<li>+1-30</ol></main>{_END}",
+    f"{_TOP}<div class=ad>-3-15</div><article><h1>+2-12</h1><p>+1-14</p></article>{_END}",
+    f"{_TOP}<article><header><h1>+2-12</h1><p>+3-9</p></header><p>+20-90</p><ul><li>+3-12<li>+2-9<li><a href=x>+1-5</a></ul><p>+8-50</p></article>{_END}",
+    f"{_TOP}<main><h1>+3-12</h1><p>+20-80 <a href=x>+1-4</a> +3-20</p><h2>+1-6</h2><p>+15-70</p><blockquote>+10-40</blockquote><p>+2-20</p></main><aside><h3>-1-4</h3>{_MENU}</aside>{_END}",
+    f"{_TOP}<main><article><h1>+3-10</h1><p>+30-90</p><aside><p>-8-30</p></aside><p>+10-60</p></article><section class=comments><h2>-1-3</h2><p>-5-60</p><p>-8-40</p></section></main>{_END}",
+    f"{_TOP}<main><article><h1>+3-10</h1><p>+30-90</p><p>+10-60</p><footer><a href=x>-1-3</a> -2-6</footer></article><h3>Comments</h3><div>-1-3</div><p>-5-60</p><div>-1-3</div><p>-8-40</p></main>{_END}",
+    f"{_TOP}<article><h1>+3-10</h1><p>+30-90</p><p>+10-60</p></article><div id=respond><h3>Leave a reply</h3><p>-5-20</p></div><ol class=commentlist><li>-5-60<li>-4-80</ol>{_END}",
+    f"<div>{_MENU}</div><h1>+2-12</h1><p>+20-90</p><p>+15-80</p><p>+2-16</p><div>-2-8</div>",
+    f"<div>{_MENU}</div><div><h1>+2-12</h1><div>+20-90</div><div>+15-80</div><div>+8-16</div></div><div><a href=x>-1-3</a> <a href=x>-1-3</a></div>",
+    f"<div><a href=x>-1-2</a> <a href=x>-1-2</a></div><h1>+3-9</h1><p>+20-90</p><h2>+2-8</h2><p>+15-80</p><ul><li>+4-20<li>+4-20</ul><p>+2-16</p><ul><li><a href=x>-1-3</a><li><a href=x>-1-3</a></ul>",
+    f"<div class=menu>{_MENU}</div><div class=content><h1>+3-9</h1><p>+20-90</p><p>+1-9</p><ul><li>+3-9<li><a href=x>+2-6</a><li><a href=x>+2-6</a></ul><p>+4-50</p></div><div class=sidebar><h3>-1-3</h3><p>-5-40</p></div><div class=footer>-4-30</div>",
+    f"<div id=nav>{_MENU}</div><div id=cookie-notice>-10-40</div><div class=post><div class=entry-header><h1>+3-9</h1></div><div class=entry-content><p>+20-90</p><p>+9-60</p><p>+1-9</p></div></div><div class=related><h3>Related articles</h3><a href=x>-5-12</a></div>",
+    f"{_TOP}<div class=cookie-banner><p>-12-50</p><button>-1-2</button></div><article><h1>+3-9</h1><p>+20-90</p><div class=share><a href=x>-1</a></div><p>+9-60</p></article><div class=newsletter><p>-6-30</p><form><label>-1-4</label></form></div>{_END}",
+    f"{_TOP}<div><h1>+3-9</h1><p>-1-4</p><p>+25-90</p><p>+25-90</p><form><label>-3-20</label><p>-4-12</p></form><p>+12-70</p></div>{_END}",
+    f"{_TOP}<article><h1><a href=x>+1-9</a></h1><p>+1-9 <a href=x>+1-6</a> +1-9</p><p><a href=x>+1-9</a></p><p>+1-60 <a href=x>+1-9</a></p></article>{_END}",
+    f"{_TOP}<div>-5-40</div><main><h1>+1-9</h1><p>+1-9 <a href=x>+1-9</a></p><ul><li><a href=x>+1-9</a> +1-9<li><a href=x>+1-9</a></ul><p>+1-90</p><p>+1-9</p></main><div>-2-30</div>",
+    "+1-9", "<div>+1-9</div>", "<p>+1-6</p>", "<h1>+1-5</h1><div>+1-12</div>",
+    "+1-60", "<p>+1-40</p>", "<body>+3-80</body>", "<div>+1-40</div>", "<h1>+1-8</h1><p>+5-90</p>", "<h1>+1-8</h1><p>+1-6</p>", "<p>+20-90</p><p>+1-16</p>",
+    "<article><p>+1-9</p></article>", "<main><p>+1-9</p><p>+1-9</p></main>", "<article><ul><li><a href=x>+1-5</a><li><a href=x>+1-5</a></ul></article>",
+    f"<header><h1>-1-4</h1><p>-2-9</p></header><nav>{_MENU}</nav><section><h1>+2-9</h1><p>+20-80</p><p>+3-40</p></section><aside>-8-60</aside>{_END}",
+    f"<header>{_MENU}</header><section><h2>+2-9</h2><p>+20-80</p><h2>+2-9</h2><p>+3-40</p></section><section class=comments><h2>Comments</h2><article><p>-5-70</p></article><article><p>-5-70</p></article></section>{_END}",
+    f"<table><tr><td>{_MENU}</td><td><h2>+2-8</h2><p>+25-90</p><p>+18-70</p></td></tr><tr><td>-3-9 <a href=x>-1-3</a></td></tr></table>",
+    f"{_TOP}<article><h1>+3-9</h1><p>+12-60</p><table><tr><td>+1-3<td>+1-4<tr><td>+1-3<td>+1-4</table><figure><figcaption>+3-14</figcaption></figure><pre>+5-40</pre><dl><dt>+1-3<dd>+4-20</dl></article>{_END}",
+    f"{_TOP}<h1>+3-9</h1><div>+12-60</div><div>+8-50</div><h3>Related</h3><ul><li><a href=x>-3-9</a><li><a href=x>-3-9</a></ul><h3>More news</h3><p>-8-20</p>{_END}",
+    f"<div class=top>-2-6</div><ul><li><a href=x>-1-2</a></ul><div class=widget><h4>-1-3</h4><p>-9-50</p></div><div class=story><p>+18-80</p><p>+2-50</p></div><div class=copyright>-5-25</div>",
+    f"<div>-1-3</div><div><a href=x>-1-3</a></div><h1>+3-9</h1><div>-1-5</div><p>+22-90</p><p>+22-90</p><p>+4-16</p><div>-2-6 <a href=x>-1-3</a></div><div>-3-10</div>",
+    f"{_TOP}<main><p>+1-6</p><h2>+1-6</h2><ul><li><a href=x>+1-6</a><li>+1-6</ul></main><div class=ads><p>-5-60</p></div>{_END}",
 )
+DRAWS = 24
+_SLOT = re.compile(r"([+-])(\d+)(?:-(\d+))?")
 
 
-def train_tree(rows=LABELLED, depth: int = 6, least: int = 1):
-    """A tree of (feature, threshold, at most, above) and leaves 0 or 1, split where Gini impurity falls most."""
-    data = np.array(rows, dtype=float)
-    x, y = data[:, :-1], data[:, -1]
-    if depth == 0 or y.min() == y.max():
+def train_tree(rows: np.ndarray, depth: int = 12, least: int = 3):
+    """A tree of (feature, threshold, at most, above) and leaves 0 or 1, split where Gini impurity falls most. The last
+    column of `rows` is the label."""
+    x, y = rows[:, :-1], rows[:, -1]
+    if depth == 0 or y.min() == y.max() or len(y) < 2 * least:
         return int(2 * y.sum() >= len(y))
-    impurity = lambda v: len(v) * v.mean() * (1 - v.mean()) if len(v) else 0.0
-    best = None
+    best = (len(y) * y.mean() * (1 - y.mean()) - 1e-9, None, None)
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= cut
-            if min(low.sum(), (~low).sum()) >= least and (best is None or impurity(y[low]) + impurity(y[~low]) < best[0] - 1e-12):
-                best = (impurity(y[low]) + impurity(y[~low]), f, float(cut), low)
-    if best is None or best[0] >= impurity(y):
+        order = np.argsort(x[:, f], kind="stable")
+        v, good = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        low, high = good[:-1] / n, (good[-1] - good[:-1]) / (len(y) - n)
+        loss = n * low * (1 - low) + (len(y) - n) * high * (1 - high)
+        loss[(v[1:] == v[:-1]) | (n < least) | (len(y) - n < least)] = np.inf
+        k = int(loss.argmin()) if len(loss) else 0
+        if len(loss) and loss[k] < best[0]:
+            best = (loss[k], f, float(v[k] + v[k + 1]) / 2)
+    _, f, cut = best
+    if f is None:
         return int(2 * y.sum() >= len(y))
-    _, f, cut, low = best
-    return (f, cut, train_tree(data[low], depth - 1, least), train_tree(data[~low], depth - 1, least))
+    low = x[:, f] <= cut
+    return (f, cut, train_tree(rows[low], depth - 1, least), train_tree(rows[~low], depth - 1, least))
+
+
+def labelled_blocks(pages=PAGES, draws: int = DRAWS, seed: int = 3) -> np.ndarray:
+    """Rows of FEATURES and a label, from `draws` drawings of each page."""
+    rng, rows = np.random.Generator(np.random.PCG64(seed)), []
+
+    def words(m) -> str:
+        n = int(rng.integers(int(m[2]), int(m[3] or m[2]) + 1))
+        return " ".join(["text" if m[1] == "+" else "rest"] * n)
+
+    for page in pages:
+        for _ in range(draws):
+            before = -1
+            for text, row in blocks(_SLOT.sub(words, page)):
+                label = int(text.startswith("text"))
+                rows.append((*row, before, label))
+                before = label
+    return np.array(rows, dtype=float)
 
 
 def classify(tree, row) -> int:
@@ -90,50 +138,99 @@ def classify(tree, row) -> int:
     return tree
 
 
+def _part(token: str) -> str:
+    """What a class or id says that its element is: the last part of the token, if the part before does not say otherwise."""
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
+    return "" if not parts or (len(parts) > 1 and parts[-2] in ABOUT) else parts[-1]
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, words, linked words, main, chrome, heading, entry) of each block of a page."""
+    """Collects (text, words, linked words, tags, names, comments, heading, entry, paragraph, added) of each block of a page.
+    What holds for a place in the page is kept with the innermost open tag, so that no piece of text looks up the tree."""
 
-    def __init__(self):
+    def __init__(self, articles: int):
         super().__init__(convert_charrefs=True)
-        self.stack, self.blocks, self.parts, self.linked = [], [], [], 0
+        # (tag, silent, link, tags, names, comments, heading, entry, paragraph) of each open tag, inherited from the one around it
+        self.stack = [("", False, False, 0, 0, 0, 0, 0, 0)]
+        self.open, self.articles, self.added = Counter(), articles, 0
+        self.blocks, self.parts, self.linked = [], [], 0
 
     def flush(self):
         words = "".join(self.parts).split()
         if words:
-            chain = [kind for _, kind in self.stack]
-            main, chrome = "main" in chain, "chrome" in chain
-            tags = {tag for tag, _ in self.stack}
-            heading = any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags)
-            self.blocks.append((" ".join(words), len(words), min(self.linked, len(words)), main, chrome, heading, bool(tags & {"li", "dt", "dd", "td"})))
+            _, _, _, tags, names, comments, heading, entry, paragraph = self.stack[-1]
+            if heading:
+                said = re.findall(r"[^\W\d_]+", " ".join(words[:8]).lower())
+                self.added = int(bool(said) and len(words) <= 8 and ADDED_HEADINGS.issuperset(said))
+            self.blocks.append((" ".join(words), len(words), min(self.linked, len(words)), tags, names, comments, heading, entry, paragraph, self.added))
         self.parts, self.linked = [], 0
 
-    def kind(self, tag, attrs):
-        names = set()
-        for k, v in attrs:
-            if k in ("class", "id", "role") and v:
-                names.update(x for x in re.split(r"[^a-z]+", v.lower()) if x)
-        inside = any(kind == "main" for _, kind in self.stack)
-        if names & CHROME_NAMES or (tag in CHROME_TAGS and not (tag == "header" and inside)):
-            return "chrome"
-        return "main" if tag in MAIN_TAGS or names & MAIN_NAMES else ""
+    def pop(self):
+        self.open[self.stack.pop()[0]] -= 1
+
+    def close_to(self, tag):
+        while self.stack[-1][0] != tag:
+            self.pop()
+        self.pop()
+
+    def push(self, tag, attrs):
+        _, silent, link, tags, names, comments, heading, entry, paragraph = self.stack[-1]
+        if tag in BLOCK_TAGS:
+            heading, entry, paragraph = (tag[0] == "h" and tag[1:].isdigit()) or heading, tag in ("li", "dt", "dd", "td", "th") or entry, tag in ("p", "blockquote", "pre", "figcaption")
+            heading, entry, paragraph = int(heading), int(entry), int(paragraph)
+        if tag == "a":
+            link = link or any(k == "href" for k, _ in attrs)
+        elif tag not in ("html", "body"):
+            found = {_part(x) for k, v in attrs if k in ("class", "id") and v for x in v.split()}
+            roles = {v.strip().lower() for k, v in attrs if k == "role" and v}
+            if tag in APART_TAGS or roles & APART_ROLES or (tag == "header" and tags < 1):
+                tags = -1
+            elif (tag in ("article", "main") or roles & {"main", "article"}) and tags > -1:
+                tags = 1
+            if tag == "main" or (tag == "article" and self.articles == 1):
+                names = 0  # a layout's name on what is around it all says nothing
+            if found & COMMENT_NAMES:
+                comments, names = 1, -1
+            elif found & APART_NAMES and tag not in ("article", "main") and not ("header" in found and (tags > 0 or names > 0)):
+                names = -1
+            elif found & MAIN_NAMES and names > -1:
+                names = 1
+        self.stack.append((tag, silent or tag in SILENT_TAGS, link, tags, names, comments, heading, entry, paragraph))
+        self.open[tag] += 1
+
+    def end_head(self):
+        if self.open["head"]:
+            self.close_to("head")
 
     def handle_starttag(self, tag, attrs):
-        if tag == "br" or tag in VOID_TAGS:
+        if tag not in HEAD_TAGS and tag not in ("html", "head"):
+            self.end_head()
+        if tag in VOID_TAGS:
             if tag == "hr":
                 self.flush()
             self.parts.append(" ")
             return
+        if tag == "a" and self.open["a"]:
+            while self.stack[-1][0] not in BLOCK_TAGS and self.stack[-1][0] != "a" and len(self.stack) > 1:
+                self.pop()
+            if self.stack[-1][0] == "a":
+                self.pop()
         if tag in BLOCK_TAGS:
             self.flush()
-            for shut in CLOSES.get(tag, ()):
-                if self.stack and self.stack[-1][0] == shut:
-                    self.stack.pop()
-            # A block ends inline tags that were left open, and an open paragraph.
-            while self.stack and self.stack[-1][0] not in BLOCK_TAGS and self.stack[-1][0] not in SILENT_TAGS:
-                self.stack.pop()
-            if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
-        self.stack.append((tag, self.kind(tag, attrs)))
+            for short in SHORT_TAGS:
+                if self.open[short]:
+                    self.close_to(short)
+            # A block ends inline tags that were left open, but not a link around blocks; and an open paragraph.
+            while len(self.stack) > 1 and self.stack[-1][0] not in BLOCK_TAGS and self.stack[-1][0] not in SILENT_TAGS and self.stack[-1][0] != "a":
+                self.pop()
+            for shut in ("p", *CLOSES.get(tag, ())):
+                if self.stack[-1][0] == shut or (self.open["a"] and len(self.stack) > 1 and self.stack[-1][0] == "a" and self.stack[-2][0] == shut):
+                    self.close_to(shut)
+            if tag in STRUCTURE and self.open["form"]:  # a form around the page
+                inner = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == "form")
+                around = self.stack[inner - 1][3]
+                self.stack[inner:] = [(*x[:3], around if x[3] == -1 else x[3], *x[4:]) if x[0] not in APART_TAGS or i == 0 else x for i, x in enumerate(self.stack[inner:])]
+        self.push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK_TAGS:
@@ -143,51 +240,67 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        # An end tag of an inline element does not reach over a block.
-        if at is not None and (tag in BLOCK_TAGS or tag in SILENT_TAGS or not any(t in BLOCK_TAGS for t, _ in self.stack[at + 1 :])):
-            del self.stack[at:]
+        if not self.open[tag]:
+            return
+        if tag not in BLOCK_TAGS and tag not in SILENT_TAGS and tag != "a":
+            # An end tag of an inline element does not reach over a block.
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag and self.stack[at][0] not in BLOCK_TAGS:
+                at -= 1
+            if self.stack[at][0] != tag:
+                return
+        self.close_to(tag)
 
     def handle_data(self, data):
-        tags = [t for t, _ in self.stack]
-        if SILENT_TAGS.isdisjoint(tags):
+        if self.stack[-1][0] == "head" and not data.isspace():
+            self.end_head()
+        _, silent, link, *_ = self.stack[-1]
+        if not silent:
             self.parts.append(data)
-            if "a" in tags:
+            if link:
                 self.linked += len(data.split())
 
 
 def blocks(page: str | None) -> list[tuple]:
-    """Text blocks of a page, each with its features in the order of FEATURES."""
-    parser = _Blocks()
-    parser.feed(page or "")
+    """Text blocks of a page, each with its features in the order of FEATURES, all but the last."""
+    page = page or ""
+    parser = _Blocks(len(re.findall(r"<article\b", page, re.I)))
+    parser.feed(page)
     parser.close()
     parser.flush()
-    found = parser.blocks
-    none = ("", 0, 0)
-    out = []
-    for i, b in enumerate(found):
-        before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        share = lambda x: x[2] / max(1, x[1])
-        out.append((b[0], (b[1], share(b), before[1], share(before), after[1], share(after), *map(int, b[3:]))))
+    found, out = parser.blocks, []
+    shares = [0.0, *(b[2] / b[1] for b in found), 0.0]
+    sizes = [0, *(b[1] for b in found), 0]
+    for i, b in enumerate(found, 1):
+        out.append((b[0], (b[1], shares[i], sizes[i - 1], shares[i - 1], sizes[i + 1], shares[i + 1], *b[3:])))
     return out
 
 
+def text_blocks(page: str | None, tree) -> tuple[list[str], int]:
+    """The blocks that are text, and the number of all."""
+    found, good, before = blocks(page), [], -1
+    for text, row in found:
+        before = classify(tree, (*row, before))
+        if before:
+            good.append(text)
+    return good, len(found)
+
+
 def main_text(page: str | None, tree) -> str:
-    return "\n".join(t for t, row in blocks(page) if classify(tree, row))
+    return "\n".join(text_blocks(page, tree)[0])
 
 
-def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled: np.ndarray | None = None) -> DataFrame:
     """page_id, url, html -> page_id, url, text, n_chars, n_blocks, n_kept."""
-    tree = train_tree(labelled)
+    tree = train_tree(labelled_blocks() if labelled is None else labelled)
 
     def run(batches):
         for batch in batches:
             texts, made, kept = [], [], []
             for page in batch.column("html").to_pylist():
-                found = blocks(page)
-                good = [t for t, row in found if classify(tree, row)]
+                good, n = text_blocks(page, tree)
                 texts.append("\n".join(good))
-                made.append(len(found))
+                made.append(n)
                 kept.append(len(good))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(made, pa.int32()), pa.array(kept, pa.int32())], ["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"])
 
