@@ -5,9 +5,9 @@ A word is a run of letters (ASCII letters and bytes from 128 on). Its features a
 language, and each pair of languages a learned transition. Forward-backward over the whole text gives each word's
 distribution; a document's is the mean over its words, and the likeliest language is predicted.
 
-Training takes at most TRAIN_DOCS documents in expectation (for each language the ids with the least hashes) and
-TRAIN_WORDS words of each, in runs from random places. Sequences are spliced from runs of documents of different
-languages, so that the transitions learn how text switches; steps are Adagrad on the likelihood.
+Training takes TRAIN_DOCS labelled documents in expectation (for each language the ids with the least hashes) and the whole
+text of each, in runs of RUN words. Sequences are spliced from runs of documents of different languages, so that the
+transitions learn how text switches; steps are Adagrad on the likelihood.
 
 Forward-backward treats a batch of texts as one chain in which a text's first word forgets what came before. The chain
 is cut in blocks: the product of a block's matrices carries messages over it, so the work is in vectors over all blocks
@@ -16,7 +16,7 @@ and the longest text costs no more steps than many short ones. The result is exa
 Edge cases: null texts and texts without a letter are `und` with score 0, and so is everything if no training row has a
 language; repeated rows are predicted each; null ids are never trained on and not held out; words of bytes that no
 training word had are decided by their neighbours; an empty table gives an empty result. Other columns pass through
-`keep_identified` and are ignored by `identify`.
+`keep_identified` (code-switched text is kept: each word may have a language of its own) and are ignored by `identify`.
 """
 
 from __future__ import annotations
@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
+from .shared import same_columns, unused
 
-TRAIN_DOCS = 3000
-TRAIN_WORDS = 200
+TRAIN_DOCS = 1000
 RUN = 12
 LENGTH = 48
-EPOCHS = 4
+EPOCHS = 3
 TABLE_BITS = 17
 BLOCK = 256
 UNKNOWN = "und"
-#: A document is rejected if no language has such a share of its words.
-KEEP_SHARE = 0.5
+#: A document is rejected if its words have less than this for their likeliest languages, each word its own, on average.
+KEEP_FROM = 0.5
 
 _U = np.uint64
 _LETTER = np.zeros(256, dtype=bool)
@@ -174,21 +174,24 @@ class LanguageModel:
             first[counts[:-1][counts[:-1] < counts[1:]]] = True
             yield starts, ends, counts, forward_backward(_emissions(part, starts, ends, self.table), first, self.transition, self.start)
 
-    def documents(self, column: pa.Array) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def documents(self, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """Of each text: the language, its share of the words, and how sure its words are of their languages on average."""
+        names, scores, sure = [], [], []
         if not self.languages:
-            return [UNKNOWN] * len(column), [0.0] * len(column)
+            return [UNKNOWN] * len(column), [0.0] * len(column), [0.0] * len(column)
         for _, _, counts, gamma in self.words(column):
             total = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)))
-            n = np.diff(counts)
-            mean = (total[counts[1:]] - total[counts[:-1]]) / np.maximum(n, 1)[:, None]
+            most = np.concatenate(([0.0], np.cumsum(gamma.max(axis=1))))
+            n = np.maximum(np.diff(counts), 1)
+            mean = (total[counts[1:]] - total[counts[:-1]]) / n[:, None]
             best = mean.argmax(axis=1)
-            for k, b, m in zip(n, best, mean, strict=True):
+            for k, b, m, c in zip(np.diff(counts), best, mean, (most[counts[1:]] - most[counts[:-1]]) / n, strict=True):
                 at = len(names)
                 lettered = k > 0 and _has_letter(column, at)
                 names.append(self.languages[b] if lettered else UNKNOWN)
                 scores.append(float(min(1.0, m[b])) if lettered else 0.0)
-        return names, scores
+                sure.append(float(min(1.0, c)) if lettered else 0.0)
+        return names, scores, sure
 
 
 def _has_letter(column: pa.Array, at: int) -> bool:
@@ -250,57 +253,60 @@ def _held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> LanguageModel:
+def fit_language(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learns from text and lang of the documents that are not held out."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select("doc_id", "lang", "text")
     per = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not per:
         return _train([])
-    quota, parts = max(20, train_docs // len(per)), 1_000_000
+    quota, parts = max(1, train_docs // len(per)), 1_000_000
     rates = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(parts, max(1, quota * parts // n)))])
 
     def runs(batches):
         for batch in batches:
             out = []
-            for i, lang, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+            for lang, x in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
                 data = _lower(np.frombuffer(x.encode(), dtype=np.uint8))
                 starts, ends, _ = _spans(data, np.array([0, len(data)]))
-                rng = np.random.Generator(np.random.PCG64(abs(int(i))))
-                places = np.arange(0, len(starts), RUN)
-                for a in np.sort(rng.permutation(places)[: max(1, train_words // RUN)]):
+                for a in range(0, len(starts), RUN):
                     out.append((lang, b" ".join(data[s:e].tobytes() for s, e in zip(starts[a : a + RUN], ends[a : a + RUN], strict=True))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out], pa.binary())], ["lang", "run"])
 
-    chosen = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.element_at(rates, F.col("lang")))
-    rows = chosen.mapInArrow(runs, "lang string, run binary").collect()  # at most quota * languages * train_words words
+    chosen = pool.select("doc_id", "lang", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.element_at(rates, F.col("lang")))
+    rows = chosen.mapInArrow(runs, "lang string, run binary").collect()  # the texts of train_docs documents
     return _train(sorted((r["lang"], bytes(r["run"])) for r in rows))
 
 
-def predict(docs: DataFrame, model: LanguageModel, name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`docs` with the predicted language and its score added; only `text` is looked at."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.transition, model.start))
+def _labels(spark, model: LanguageModel):
+    """A function of a column of texts: struct of language, score and sureness. Only texts go to Python and only labels come
+    back; the model is sent once to each executor."""
+    shipped = spark.sparkContext.broadcast((model.languages, model.table, model.transition, model.start))
 
-    def label(batches):
-        known = LanguageModel(*shipped.value)
-        for batch in batches:
-            column = batch.column("text")
-            names, scores = known.documents(column)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, name, score])
+    @F.arrow_udf("name string, score double, sure double")
+    def label(column: pa.Array) -> pa.Array:
+        names, scores, sure = LanguageModel(*shipped.value).documents(column)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], ["name", "score", "sure"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(label, f"{schema}, {name} string, {score} double")
+    return label
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang -> doc_id, held_out, lang_pred, score."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return predict(docs.select("doc_id", "text"), fit_language(docs)).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+    label = _labels(docs.sparkSession, fit_language(docs))
+    return docs.select("doc_id", label("text").alias("x")).select("doc_id", _held_out().alias("held_out"), F.col("x.name").alias("lang_pred"), F.col("x.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents of which one language has at least KEEP_SHARE of the words, with their columns."""
-    return predict(docs, fit_language(docs), "_l_name", "_l_score").where((F.col("_l_name") != UNKNOWN) & (F.col("_l_score") >= KEEP_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents whose words are in learned languages, one or several, with their columns; without a labelled row to
+    learn from, all that have a letter."""
+    model = fit_language(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    (own,) = unused(docs, "_label")
+    rows = docs.withColumn(own, _labels(docs.sparkSession, model)(F.col("text").cast("string")))
+    return rows.where((F.col(own)["name"] != UNKNOWN) & (F.col(own)["sure"] >= KEEP_FROM)).select(*same_columns(docs))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ K and k are the prior's weights in documents, from how much more hosts differ (a
 makes them, so sparse sites shrink towards the level above. A document's posterior log-odds are its evidence plus
 the log-odds of its path's rate over those of the global rate, with the document's own probability left out of its site's sums.
 
+Documents have no address, so `source` stands for the host and `lang`, the only level below it in the table, for the path.
+
 The model is fitted on at most TRAIN_ROWS labelled documents, those with the least hashes of their ids; everything else covers
 all rows. Sites are sums of partial sums, so a host may hold any share of the documents.
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .shared import Tables, bounded_sample, join_checked
+from .shared import Tables, bounded_sample, join_checked, same_columns, unused
 
 TRAIN_ROWS = 20_000
 #: Posterior probability below which a document is rejected.
@@ -102,91 +104,103 @@ def _logit(c: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def _strength(n_groups, n, squares, scatter) -> float:
-    """The weight of a prior in documents, by moments: 1 / r - 1 for an intraclass correlation of r."""
-    free = (n or 0) - (squares or 0) / max(n or 0, 1) - max((n_groups or 0) - 1, 0)
-    r = ((scatter or 0) - max((n_groups or 0) - 1, 0)) / free if free > 0 else 0
+def _strength(groups, n, squares, scatter) -> float:
+    """The weight of a prior in documents, by moments: 1 / r - 1 for an intraclass correlation of r. `groups` are those
+    that are free, `squares` the sum of squared sizes over their total, `scatter` the sum of squares over a unit's variance."""
+    groups = max(groups or 0, 0)
+    free = (n or 0) - (squares or 0) - groups
+    r = ((scatter or 0) - groups) / free if free > 0 else 0
     return min(max(1 / r - 1, 1.0), 1e6) if r > 0 else 1e6
 
 
 class QualityModel:
     """The fitted evidence model and site rates; made by `fit_quality`."""
 
-    def __init__(self, weights: np.ndarray, sites: DataFrame, rate: float, host_weight: float, path_weight: float, host: str, path: str):
-        self.weights, self.sites, self.rate = weights, sites, rate
-        self.host_weight, self.path_weight, self.host, self.path = host_weight, path_weight, host, path
+    def __init__(self, weights: np.ndarray, scored: DataFrame, sites: DataFrame, rate: float, host_weight: float, path_weight: float):
+        """scored: id, host, path, evidence of each document, written; sites: the sums of each host and path, written."""
+        self.weights, self.scored, self.sites = weights, scored, sites
+        self.rate, self.host_weight, self.path_weight = rate, host_weight, path_weight
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """`docs` with _q_evidence, _q_site_rate, _q_quality (posterior probability) and _q_keep added."""
-        weights, fields = self.weights, docs.schema
+    def posterior(self, docs: DataFrame, host: str, path: str, evidence: str) -> tuple[DataFrame, Column, Column]:
+        """`docs` joined with its sites, and the columns of the site's rate and of the posterior probability."""
+        own_host, own_path, hs, hn, ps, pn = unused(docs, "_host", "_path", "_host_sum", "_host_n", "_path_sum", "_path_n")
+        sites = self.sites.select(*[F.col(a).alias(b) for a, b in (("host", own_host), ("path", own_path), ("host_sum", hs), ("host_n", hn), ("path_sum", ps), ("path_n", pn))])
+        rows = docs.withColumns({own_host: F.col(f"`{host}`").cast("string"), own_path: F.col(f"`{path}`").cast("string")})
+        rows = join_checked(rows, sites, [own_host, own_path], "left", null_safe=True)
+        own = 1 / (1 + F.exp(-F.col(evidence)))
+        rate = (F.lit(self.host_weight * self.rate) + F.col(hs) - own) / (F.lit(self.host_weight) + F.col(hn) - 1)
+        rate = F.coalesce((F.lit(self.path_weight) * rate + F.col(ps) - own) / (F.lit(self.path_weight) + F.col(pn) - 1), F.lit(self.rate))
+        return rows, rate, F.coalesce(1 / (1 + F.exp(-(F.col(evidence) + _logit(rate) - _logit(F.lit(self.rate))))), F.lit(0.0))
 
-        def evidence(batches):
-            for batch in batches:
-                x = features(batch.column("text"))
-                e = np.where(x[:, 0] > 0, log_odds(x, weights), np.nan)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e, from_pandas=True)], [*batch.schema.names, "_q_evidence"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _q_evidence double"
-        rows = docs.mapInArrow(evidence, schema).withColumns({"_h": F.col(f"`{self.host}`").cast("string"), "_p": F.col(f"`{self.path}`").cast("string")})
-        rows = join_checked(rows, self.sites, ["_h", "_p"], "left", null_safe=True)
-        own = 1 / (1 + F.exp(-F.col("_q_evidence")))
-        host = (F.lit(self.host_weight * self.rate) + F.col("_hs") - own) / (F.lit(self.host_weight) + F.col("_hn") - 1)
-        path = (F.lit(self.path_weight) * host + F.col("_ps") - own) / (F.lit(self.path_weight) + F.col("_pn") - 1)
-        site = F.coalesce(path, F.lit(self.rate))
-        quality = F.coalesce(1 / (1 + F.exp(-(F.col("_q_evidence") + _logit(site) - _logit(F.lit(self.rate))))), F.lit(0.0))
-        out = rows.withColumn("_q_site_rate", site).withColumn("_q_quality", quality).withColumn("_q_keep", F.col("_q_evidence").isNotNull() & (F.col("_q_quality") >= KEEP_FROM))
-        return out.drop("_h", "_p", "_hs", "_hn", "_ps", "_pn")
+def _described(batches):
+    for batch in batches:
+        x = features(batch.column("text"))
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), cells], ["id", "host", "path", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """docs: doc_id, text, `host`, `path`; labels: doc_id, quality (0 or 1)."""
-    t = Tables(docs.sparkSession, "quality")
+def _evidence(x: np.ndarray, weights: np.ndarray) -> pa.Array:
+    """Log-odds of rows of FEATURES; null without a word."""
+    return pa.array(np.where(x[:, 0] > 0, log_odds(x, weights), np.nan), from_pandas=True)
 
-    def describe(batches):
-        for batch in batches:
-            x = features(batch.column("text"))
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_h"), batch.column("_p"), cells], ["id", "_h", "_p", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(host).cast("string").alias("_h"), F.col(path).cast("string").alias("_p"), F.col("text").cast("string").alias("text"))
-    described = t.put(rows.mapInArrow(describe, "id long, _h string, _p string, x array<double>"), "described").where("x[0] > 0")
+def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_rows: int = TRAIN_ROWS) -> QualityModel:
+    """docs: doc_id, text, `host`, `path`; labels: doc_id, quality (0 or 1). Texts are read once: their features are
+    written and all else is made from these."""
+    t = Tables(docs.sparkSession, "quality")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    described = t.put(rows.mapInArrow(_described, "id long, host string, path string, x array<double>"), "described")
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
     # Documents that a stage before has dropped don't count, so the sample is drawn after the join.
-    sample = bounded_sample(t.put(marks.join(described.select("id", "x"), "id"), "labelled"), "id", train_rows).collect()
+    sample = bounded_sample(t.put(marks.join(described.where("x[0] > 0").select("id", "x"), "id"), "labelled"), "id", train_rows).collect()
     x, y = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], dtype=np.float64)
     weights = fit(x, y)
 
-    @F.pandas_udf("double")
-    def probability(xs):
-        return (1 / (1 + np.exp(-xs.map(lambda v: log_odds(np.asarray(v)[None], weights)[0]).astype(float)))) if len(xs) else xs.astype(float)
-
-    paths = t.put(described.select("_h", "_p", probability("x").alias("q")).groupBy("_h", "_p").agg(F.sum("q").alias("_ps"), F.count(F.lit(1)).alias("_pn")), "paths")
-    hosts = paths.groupBy("_h").agg(F.sum("_ps").alias("_hs"), F.sum("_pn").alias("_hn"))
-    whole = hosts.agg(F.sum("_hs").alias("s"), F.sum("_hn").alias("n")).first()
+    def evidence(batches):
+        for batch in batches:
+            x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), _evidence(x, weights)], ["id", "host", "path", "evidence"])
+
+    scored = t.put(described.mapInArrow(evidence, "id long, host string, path string, evidence double"), "scored")
+    t.drop("described", "labelled")
+    q = 1 / (1 + F.exp(-F.col("evidence")))
+    paths = t.put(scored.where("evidence IS NOT NULL").groupBy("host", "path").agg(F.sum(q).alias("path_sum"), F.count(F.lit(1)).alias("path_n")), "paths")
+    hosts = t.put(paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n")), "hosts")
+    whole = hosts.agg(F.sum("host_sum").alias("s"), F.sum("host_n").alias("n")).first()
     rate = (whole["s"] / whole["n"]) if whole["n"] else 0.5
     spread = max(rate * (1 - rate), 1e-9)
-    h = hosts.agg(F.count(F.lit(1)).alias("g"), F.sum("_hn").alias("n"), F.sum(F.pow("_hn", F.lit(2))).alias("q"), F.sum(F.col("_hn") * F.pow(F.col("_hs") / F.col("_hn") - F.lit(rate), F.lit(2)) / F.lit(spread)).alias("s")).first()
-    host_weight = _strength(h["g"], h["n"], h["q"], h["s"])
-    sites = t.put(join_checked(paths, t.put(hosts, "hosts"), ["_h"], null_safe=True), "sites")
-    mu = (F.lit(host_weight * rate) + F.col("_hs")) / (F.lit(host_weight) + F.col("_hn"))
-    within = sites.groupBy("_h").agg(F.count(F.lit(1)).alias("g"), F.sum("_pn").alias("n"), F.sum(F.pow("_pn", F.lit(2))).alias("q"), F.sum(F.col("_pn") * F.pow(F.col("_ps") / F.col("_pn") - F.col("_hs") / F.col("_hn"), F.lit(2)) / F.greatest(mu * (1 - mu), F.lit(1e-9))).alias("s"))
+    h = hosts.agg(F.count(F.lit(1)).alias("g"), F.sum("host_n").alias("n"), F.sum(F.pow("host_n", F.lit(2))).alias("q"), F.sum(F.col("host_n") * F.pow(F.col("host_sum") / F.col("host_n") - F.lit(rate), F.lit(2)) / F.lit(spread)).alias("s")).first()
+    host_weight = _strength((h["g"] or 0) - 1, h["n"], (h["q"] or 0) / max(h["n"] or 0, 1), h["s"])
+    sites = t.put(join_checked(paths, hosts, ["host"], null_safe=True), "sites")
+    mu = (F.lit(host_weight * rate) + F.col("host_sum")) / (F.lit(host_weight) + F.col("host_n"))
+    within = sites.groupBy("host").agg(F.count(F.lit(1)).alias("g"), F.sum("path_n").alias("n"), F.sum(F.pow("path_n", F.lit(2))).alias("q"), F.sum(F.col("path_n") * F.pow(F.col("path_sum") / F.col("path_n") - F.col("host_sum") / F.col("host_n"), F.lit(2)) / F.greatest(mu * (1 - mu), F.lit(1e-9))).alias("s"))
     p = within.agg(F.sum(F.col("g") - 1).alias("g"), F.sum("n").alias("n"), F.sum(F.col("q") / F.col("n")).alias("q"), F.sum("s").alias("s")).first()
-    free = (p["n"] or 0) - (p["q"] or 0) - (p["g"] or 0)
-    r = ((p["s"] or 0) - (p["g"] or 0)) / free if free > 0 else 0
-    path_weight = min(max(1 / r - 1, 1.0), 1e6) if r > 0 else 1e6
-    return QualityModel(weights, sites, rate, host_weight, path_weight, host, path)
+    return QualityModel(weights, scored, sites, rate, host_weight, _strength(p["g"], p["n"], p["q"], p["s"]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, source, lang -> doc_id, source, lang, evidence, site_rate, quality, keep."""
-    docs = docs.select("doc_id", "text", "source", "lang")
-    scored = fit_quality(docs, labels).score(docs)
-    return scored.select("doc_id", "source", "lang", *[F.col(f"_q_{c}").alias(c) for c in ("evidence", "site_rate", "quality", "keep")])
+    model = fit_quality(docs.select("doc_id", "text", "source", "lang"), labels)
+    rows, rate, quality = model.posterior(model.scored, "host", "path", "evidence")
+    keep = F.col("evidence").isNotNull() & (F.col("quality") >= KEEP_FROM)
+    rows = rows.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("path").alias("lang"), "evidence", rate.alias("site_rate"), quality.alias("quality"))
+    return rows.withColumn("keep", keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
-    return fit_quality(docs, labels).score(docs).where("_q_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are not rejected, with their columns. Texts are scored where they are a second time, which costs
+    less than to shuffle them to their scores."""
+    model = fit_quality(docs, labels)
+    weights = model.weights
+
+    @F.arrow_udf("double")
+    def evidence(column: pa.Array) -> pa.Array:
+        return _evidence(features(column), weights)
+
+    (own,) = unused(docs, "_evidence")
+    rows, _, quality = model.posterior(docs.withColumn(own, evidence(F.col("text").cast("string"))), "source", "lang", own)
+    return rows.where(F.col(own).isNotNull() & (quality >= KEEP_FROM)).select(*same_columns(docs))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,13 @@ count from the old group and adds the new one to the new group. Totals are the s
 costs the size of the change and never a recount of the corpus.
 
 Commits are idempotent. A batch is written to a folder of its own attempt and then renamed to its id; the rename fails
-if the id is already there, so a batch that is sent again, or by two writers at once, counts once. `compact` folds
-committed batches into one under a new id that lists them; they are read no more, whether or not they still exist.
+if the id is already there, so a batch that is sent again, or by two writers at once, counts once. `compact` folds what
+is live into a generation, named by its number alone: of two compactions at once one rename succeeds, and the other has
+no effect. A generation lists all batches that it or one before it folded; they are read no more and never accepted again,
+whether or not their folders, or those of older generations, still exist.
+
+This needs a store whose rename of a folder is atomic and fails if the goal is there, such as HDFS. On object stores, where a
+rename is a copy, let one writer at a time commit.
 
 Edge cases: null source or lang are groups of their own; null counts are 0; a null text has no tokens; a delete of what
 was never inserted leaves a negative total (the feed is taken at its word); groups whose documents and tokens are all
@@ -27,7 +32,8 @@ from .shared import new_path
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
-SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, folded array<string>"
+SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, folded string"
+GENERATION = "generation-"
 
 
 def _batches(spark: SparkSession, root: str) -> dict[str, str]:
@@ -70,41 +76,54 @@ def signed(changes: DataFrame) -> DataFrame:
 
 def apply_batch(spark: SparkSession, root: str, batch_id: str, changes: DataFrame) -> bool:
     """Commits a batch of changes; False, and no effect, if the id is committed already."""
+    if batch_id.startswith(GENERATION):
+        raise ValueError(f"ids that begin with {GENERATION} are those of compactions")
     done = _batches(spark, root)
-    if batch_id in done or any(batch_id in r["folded"] for r in _folds(spark, done)):
+    if batch_id in done or _folded(spark, done, [batch_id]):
         return False
     sums = signed(changes).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-    return _commit(spark, root, batch_id, sums.withColumn("folded", F.lit(None).cast("array<string>")))
+    return _commit(spark, root, batch_id, sums.withColumn("folded", F.lit(None).cast("string")))
 
 
-def _folds(spark: SparkSession, done: dict[str, str]):
-    """One row a compaction: a list of batch ids."""
-    paths = [p for k, p in done.items() if k.startswith("compact-")]
-    return spark.read.schema(SCHEMA).parquet(*paths).where("folded IS NOT NULL").select("folded").collect() if paths else []
+def _newest(done: dict[str, str]) -> int:
+    """The number of the last generation; 0 if nothing was compacted yet."""
+    return max((int(k.removeprefix(GENERATION)) for k in done if k.startswith(GENERATION)), default=0)
 
 
-def _live(spark: SparkSession, root: str) -> dict[str, str]:
-    done = _batches(spark, root)
-    gone = {x for r in _folds(spark, done) for x in r["folded"]}
-    return {k: p for k, p in done.items() if k not in gone}
+def _folded(spark: SparkSession, done: dict[str, str], ids: list[str]) -> set[str]:
+    """Which of `ids` the last generation has folded."""
+    last = done.get(f"{GENERATION}{_newest(done)}")
+    return {r["folded"] for r in spark.read.schema(SCHEMA).parquet(last).where(F.col("folded").isin(ids)).select("folded").collect()} if last and ids else set()
 
 
-def totals(spark: SparkSession, root: str) -> DataFrame:
-    """source, lang, tokenizer, n_docs, n_tokens of all committed batches."""
-    live = _live(spark, root)
+def _live(spark: SparkSession, done: dict[str, str]) -> dict[str, str]:
+    """The last generation and the batches that it has not folded."""
+    last, batches = f"{GENERATION}{_newest(done)}", [k for k in done if not k.startswith(GENERATION)]
+    gone = _folded(spark, done, batches)
+    return {k: done[k] for k in [*batches, last] if k in done and k not in gone}
+
+
+def _sums(spark: SparkSession, live: dict[str, str]) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(*live.values()) if live else spark.createDataFrame([], SCHEMA)
-    sums = rows.where("n_docs IS NOT NULL").groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+    sums = rows.where("folded IS NULL").groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
     return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
 
-def compact(spark: SparkSession, root: str) -> str:
-    """Folds all live batches into one; returns its id."""
-    live = _live(spark, root)
-    name = f"compact-{uuid.uuid4().hex}"
-    rows = totals(spark, root).withColumn("folded", F.lit(None).cast("array<string>"))
-    mark = spark.createDataFrame([(None, None, None, None, None, sorted(live))], SCHEMA)
-    _commit(spark, root, name, rows.unionByName(mark))
-    return name
+def totals(spark: SparkSession, root: str) -> DataFrame:
+    """source, lang, tokenizer, n_docs, n_tokens of all committed batches."""
+    return _sums(spark, _live(spark, _batches(spark, root)))
+
+
+def compact(spark: SparkSession, root: str) -> bool:
+    """Folds all live batches into the next generation; False, and no effect, if another compaction came first."""
+    done = _batches(spark, root)
+    live, newest = _live(spark, done), _newest(done)
+    rows = _sums(spark, live).withColumn("folded", F.lit(None).cast("string"))
+    names = spark.createDataFrame([(k,) for k in live if not k.startswith(GENERATION)], "folded string")
+    if newest:
+        names = names.union(spark.read.schema(SCHEMA).parquet(done[f"{GENERATION}{newest}"]).where("folded IS NOT NULL").select("folded"))
+    marks = names.select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[:-1])], "folded")
+    return _commit(spark, root, f"{GENERATION}{newest + 1}", rows.unionByName(marks))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = tokens.WORD_BPE, folder: str | None = None) -> DataFrame:

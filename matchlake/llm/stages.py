@@ -20,7 +20,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that has half of their words go."""
+    """Documents whose words are of no learned language go."""
     return languages.keep_identified(docs)
 
 
