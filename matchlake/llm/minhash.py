@@ -10,8 +10,8 @@ pair, and pairs of documents that collide at MATCHES coordinates or more are com
 - Prefix: values are ordered by how many documents have them. Two documents with MATCHES collisions collide at least
   once in the first COORDINATES - MATCHES + 1 values of each, so only those are joined; the longest lists (shared
   passages, license lines) are never scanned and only count when signatures are compared.
-- A link's coordinates each agree with probability 0.75 or more, so it has fewer than MATCHES = 12 of 32 collisions
-  with a probability of about 5e-6.
+- A link's coordinates each agree with probability 0.75 or more, so it has fewer than MATCHES = 10 of 32 collisions
+  with a probability of at most 2.4e-8; fewer matches or more coordinates lower it (`missed` tells by how much).
 
 Lists can be long where thousands of near copies meet. They are not expanded into all pairs: a few rounds compare each
 document with the best few, by collisions, of the documents that lead its lists and are not yet known to be of its
@@ -28,6 +28,7 @@ so are the documents that any of them is linked with; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from .shared import Tables, join_checked, unused
 WORDS = 5
 SIMILAR = (75, 100)
 COORDINATES = 32
-MATCHES = 12
+MATCHES = 10
 #: Rounds in which a document meets the best leaders of its lists, and how many of them.
 ROUNDS = 3
 BEST = 3
@@ -59,6 +60,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
+def missed(matches: int = MATCHES, coordinates: int = COORDINATES, similar: float = SIMILAR[0] / SIMILAR[1]) -> float:
+    """The probability that a pair of this similarity collides at fewer coordinates than it must."""
+    return sum(math.comb(coordinates, k) * similar**k * (1 - similar) ** (coordinates - k) for k in range(matches))
+
+
 def _sign(batches):
     for batch in batches:
         ids, n, keys, signs = batch.column("id"), [], [], []
@@ -103,9 +109,10 @@ def _compare(batches):
 def _prefixes(t: Tables, reps: DataFrame) -> DataFrame:
     """(id, n, signature) -> (token, id, n): the lists to scan."""
     tokens = reps.select("id", "n", F.posexplode("signature").alias("at", "value")).select("id", "n", (F.col("at").cast("long") * (1 << 32) + F.col("value")).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Counts are written before the join, here and below, so that a long list's rows can be split where they meet it.
+    shared = t.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     own = Window.partitionBy("id")
-    ranked = tokens.join(shared, "token").withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(own))
+    ranked = join_checked(tokens, shared, ["token"]).withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(own))
     return t.put(ranked.where(F.col("place") <= F.col("m") - (MATCHES - 1)).select("token", "id", "n"), "lists")
 
 
@@ -191,21 +198,21 @@ def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     facts = _facts(t, signs, sets, lists)
     sets = t.put(join_checked(sets, facts.select("id"), ["id"], "left_semi"), "linkable-sets")
     lists = t.put(lists.join(facts.select("id", "common"), "id"), "linkable")
-    t.drop("sets", "signs", "lists", "chosen")
+    t.drop("sets", "signs", "lists", "chosen", "shared")
     labels = links = None
     for k in range(ROUNDS + 1):
         own = lists.withColumn("label", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # Lists whose documents are all of one component are done.
         per = own.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         mixed = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("x"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", F.col("x.label").alias("largest"))
-        own = t.put(own.join(mixed, "token"), f"open{k}")
+        own = t.put(join_checked(own, t.put(mixed, f"mixed{k}"), ["token"]), f"open{k}")
         if own.isEmpty():
             break
         if k < ROUNDS:
             # The document of a list that comes first in this round's random order, for all of other components.
             order = F.xxhash64(F.lit(k), "id")
             lead = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "label", "common")).alias("x")).select("token", F.col("x.id").alias("v"), F.col("x.n").alias("nb"), F.col("x.label").alias("lb"), F.col("x.common").alias("cb"))
-            pairs = own.join(lead, "token").where(F.col("label") != F.col("lb")).where(_possible()).select(F.col("id").alias("u"), "v").distinct()
+            pairs = join_checked(own, t.put(lead, f"lead{k}"), ["token"]).where(F.col("label") != F.col("lb")).where(_possible()).select(F.col("id").alias("u"), "v").distinct()
             best = Window.partitionBy("u").orderBy(F.col("collisions").desc(), "v")
             pairs = _collisions(pairs, facts).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST)
         else:
@@ -213,7 +220,7 @@ def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
         found = _confirmed(t, t.put(pairs.select("u", "v"), f"pairs{k}"), sets, f"found{k}")
         links = found if links is None else links.union(found)
         labels = t.put(components(links, "near-links").select("id", F.col("component").alias("label")), f"labels{k}")
-        t.drop(f"pairs{k}", f"open{k}", f"labels{k - 1}")
+        t.drop(f"pairs{k}", f"open{k}", f"mixed{k}", f"lead{k}", f"labels{k - 1}")
     if labels is None:
         labels = reps.select("id", F.col("id").alias("label")).limit(0)
     t.drop("linkable-sets")
