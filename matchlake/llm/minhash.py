@@ -11,7 +11,7 @@ pair, and pairs of documents that collide at MATCHES coordinates or more are com
   once in the first COORDINATES - MATCHES + 1 values of each, so only those are joined; the longest lists (shared
   passages, license lines) are never scanned and only count when signatures are compared.
 - A link's coordinates each agree with probability 0.75 or more, so it has fewer than MATCHES = 10 of 32 collisions
-  with a probability of at most 2.4e-8; fewer matches or more coordinates lower it (`missed` tells by how much).
+  with a probability of at most 3.5e-8; fewer matches or more coordinates lower it (`missed` tells by how much).
 
 Lists can be long where thousands of near copies meet. They are not expanded into all pairs: a few rounds compare each
 document with the best few, by collisions, of the documents that lead its lists and are not yet known to be of its
