@@ -186,6 +186,7 @@ def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
     )
 
 
+@text.tidy
 def _edit(batches):
     ids, texts, size = [], [], 0
     for batch in batches:

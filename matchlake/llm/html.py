@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import tidy
+
 # Fixed values of HTML: tags that begin and end a block, tags whose content is never text, tags without content.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT_TAGS = frozenset("head title script style noscript template svg math iframe object canvas audio video select option button textarea datalist".split())
@@ -294,6 +296,7 @@ def extract(pages: DataFrame, labelled: np.ndarray | None = None) -> DataFrame:
     """page_id, url, html -> page_id, url, text, n_chars, n_blocks, n_kept."""
     tree = train_tree(labelled_blocks() if labelled is None else labelled)
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts, made, kept = [], [], []

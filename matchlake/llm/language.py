@@ -21,6 +21,8 @@ training word had are decided by their neighbours; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -262,6 +264,7 @@ def fit_language(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel
     quota, parts = max(1, train_docs // len(per)), 1_000_000
     rates = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(parts, max(1, quota * parts // n)))])
 
+    @text.tidy
     def runs(batches):
         for batch in batches:
             out = []
@@ -284,11 +287,16 @@ def _labels(spark, model: LanguageModel):
     shipped = spark.sparkContext.broadcast((model.languages, model.table, model.transition, model.start))
 
     @F.arrow_udf("name string, score double, sure double")
-    def label(column: pa.Array) -> pa.Array:
-        names, scores, sure = LanguageModel(*shipped.value).documents(column)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], ["name", "score", "sure"])
-
-    return label
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = LanguageModel(*shipped.value)
+        try:
+            for column in columns:
+                names, scores, sure = known.documents(column)
+                yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], ["name", "score", "sure"])
+        finally:
+            text.release()
+
+    return label.asNondeterministic()  # else a filter on the label makes the planner label twice
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def missed(matches: int = MATCHES, coordinates: int = COORDINATES, similar: floa
     return sum(math.comb(coordinates, k) * similar**k * (1 - similar) ** (coordinates - k) for k in range(matches))
 
 
+@text.tidy
 def _sign(batches):
     for batch in batches:
         ids, n, keys, signs = batch.column("id"), [], [], []
@@ -84,6 +85,7 @@ def _bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(seen, bitorder="little").view("<i8")
 
 
+@text.tidy
 def _sets(batches):
     for batch in batches:
         sets = [s.tobytes() for s in text.shingle_sets(batch.column("text"), WORDS)]
@@ -94,6 +96,7 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array(sets, pa.binary()), maps], ["id", "set", "shingles", "bits"])
 
 
+@text.tidy
 def _compare(batches):
     for batch in batches:
         out = []
@@ -133,6 +136,7 @@ def _collisions(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").withColumn("collisions", equal).where(F.col("collisions") >= MATCHES).select("u", "v", "collisions")
 
 
+@text.tidy
 def _own_shingles(batches):
     for batch in batches:
         for i in range(0, len(batch), 256):
@@ -264,6 +268,7 @@ def with_set(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with the digest of each text's set in a column `name`."""
     (whole,) = unused(docs, "_text")
 
+    @text.tidy
     def digests(batches):
         for batch in batches:
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in text.shingle_sets(batch.column(whole), WORDS)]

@@ -20,37 +20,51 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import text, tokens
 from .shared import Tables
 
 CAPACITY = 2048
 END = 0
 SALTS = 256
+#: Rows of a batch that goes back to Spark.
+ROWS = 10_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def _pieces(path: str, capacity: int):
     size, end = 4 * capacity, END.to_bytes(4, "little")
 
+    @text.tidy
     def cut(batches):
-        for batch in batches:
-            ids, piece, start, length, crc, rows = batch.column("doc_id").to_pylist(), [], [], [], [], []
-            texts = (x or "" for x in batch.column("text").to_pylist())
-            for doc, raw in zip(ids, tokens.encode(texts, path), strict=True):
-                raw += end
-                for k in range(0, len(raw), size):
-                    part = raw[k : k + size]
-                    rows.append(doc)
-                    piece.append(k // size)
-                    start.append(k // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids = deque()
+
+        def texts():
+            for batch in batches:
+                for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids.append(doc)
+                    yield x or ""
+
+        rows = []
+        for raw in tokens.encode(texts(), path):
+            doc, raw = ids.popleft(), raw + end
+            for k in range(0, len(raw), size):
+                part = raw[k : k + size]
+                rows.append((doc, k // size, k // 4, len(part) // 4, zlib.crc32(part)))
+            if len(rows) >= ROWS:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
 
     return cut
 

@@ -22,6 +22,8 @@ gives an empty result. Other columns pass through `keep_good` and are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,6 +135,7 @@ class QualityModel:
         return rows, rate, F.coalesce(1 / (1 + F.exp(-(F.col(evidence) + _logit(rate) - _logit(F.lit(self.rate))))), F.lit(0.0))
 
 
+@text.tidy
 def _described(batches):
     for batch in batches:
         x = features(batch.column("text"))
@@ -157,6 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     x, y = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([r["y"] for r in sample], dtype=np.float64)
     weights = fit(x, y)
 
+    @text.tidy
     def evidence(batches):
         for batch in batches:
             x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(-1, len(FEATURES))
@@ -190,16 +194,20 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns. Texts are scored where they are a second time, which costs
-    less than to shuffle them to their scores."""
+    less than to shuffle them to their scores; called nondeterministic, so that no filter makes the planner score them again."""
     model = fit_quality(docs, labels)
     weights = model.weights
 
     @F.arrow_udf("double")
-    def evidence(column: pa.Array) -> pa.Array:
-        return _evidence(features(column), weights)
+    def evidence(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                yield _evidence(features(column), weights)
+        finally:
+            text.release()
 
     (own,) = unused(docs, "_evidence")
-    rows, _, quality = model.posterior(docs.withColumn(own, evidence(F.col("text").cast("string"))), "source", "lang", own)
+    rows, _, quality = model.posterior(docs.withColumn(own, evidence.asNondeterministic()(F.col("text").cast("string"))), "source", "lang", own)
     return rows.where(F.col(own).isNotNull() & (quality >= KEEP_FROM)).select(*same_columns(docs))
 
 

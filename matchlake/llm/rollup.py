@@ -22,12 +22,13 @@ zero are left out; an empty feed commits an empty batch; an empty rollup has no
 from __future__ import annotations
 
 import uuid
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import text, tokens
 from .shared import new_path
 
 KEYS = ("source", "lang", "tokenizer")
@@ -130,10 +131,24 @@ def token_counts(docs: DataFrame, tokenizer: str = tokens.WORD_BPE, folder: str
     """doc_id, text, source, lang -> doc_id, source, lang, tokenizer, n_words, n_tokens, without the texts."""
     path = tokens.path_of(tokenizer, folder)
 
+    names = ["doc_id", "source", "lang", "n_words"]
+
+    @text.tidy
     def count(batches):
-        for batch in batches:
-            n = [len(raw) // 4 for raw in tokens.encode((x or "" for x in batch.column("text").to_pylist()), path)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "n_words")), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_words", "n_tokens"])
+        waiting = deque()  # batches whose texts are under way
+
+        def texts():
+            for batch in batches:
+                waiting.append(batch.select(names))
+                yield from (x or "" for x in batch.column("text").to_pylist())
+
+        done = []
+        for raw in tokens.encode(texts(), path):
+            done.append(len(raw) // 4)
+            while waiting and len(done) >= len(waiting[0]):
+                rows = waiting.popleft()
+                n, done = done[: len(rows)], done[len(rows) :]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64())], [*names, "n_tokens"])
 
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), words.alias("n_words"), F.col("text").cast("string").alias("text"))

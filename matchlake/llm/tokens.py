@@ -1,7 +1,7 @@
 """Token ids of whole texts by the public tokenizers, inside tasks.
 
 `word_bpe_49k.json` splits at white space before anything else, so the ids of a text are those of its white-space runs
-one after another. Runs are looked up in a table of the worker process and only new ones are encoded, many at a time.
+one after another. Runs are looked up in a table of the task and only new ones are encoded, many at a time.
 Texts with characters outside ASCII and Latin-1 letters, or with a special token's brackets, go to the tokenizer whole:
 there, normalisation may look further than one run. Both ways give the tokenizer's own ids.
 """
@@ -20,7 +20,7 @@ FOLDER = None  #: of the vocabulary files; None: where the public_tokenizers pac
 WORD_BPE = "word_bpe_49k.json"
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARS = 2_000_000
-#: Entries that a worker process keeps at most (about 200 bytes each); the table starts anew beyond it.
+#: Entries that a task keeps at most (about 200 bytes each); the table starts anew beyond it.
 TABLE_ROWS = 700_000
 #: Longer runs are encoded, but not kept.
 KEPT_CHARS = 40
@@ -39,7 +39,7 @@ def path_of(name: str, folder: str | None = FOLDER) -> str:
 
 
 def _state(path: str) -> types.SimpleNamespace:
-    """The tokenizer and its table, kept for the life of a worker process, over all its tasks."""
+    """The tokenizer, kept for the life of a worker process, over all its tasks; and the table of its task."""
     home = sys.modules.setdefault("matchlake_worker_state", types.ModuleType("matchlake_worker_state"))
     if path not in home.__dict__:
         from tokenizers import Tokenizer
@@ -77,8 +77,16 @@ def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
 
 
 def encode(texts: Iterable[str], path: str) -> Iterator[bytes]:
-    """For each text its ids, as little-endian unsigned 32-bit numbers."""
+    """For each text its ids, as little-endian unsigned 32-bit numbers. The table lasts as long as the texts, the tokenizer
+    as long as the worker."""
     state = _state(path)
+    try:
+        yield from _encode(texts, state)
+    finally:
+        state.table = {}
+
+
+def _encode(texts: Iterable[str], state: types.SimpleNamespace) -> Iterator[bytes]:
     for group in _groups(texts):
         runs = [None if _UNUSUAL.search(x) else x.lower().split() for x in group]
         table = state.table
