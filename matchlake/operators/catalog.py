@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 STAGES = ("bronze", "silver", "gold", "documents", "embeddings")
 PARENT = {"silver": "bronze", "gold": "silver", "documents": "gold", "embeddings": "documents"}
 DATASET_RUNS = "run_id string, stage string, status string, dataset_prefix string, bucket string, source_run_id string, events_key string, artifact_prefix string, manifest_key string, quality_report_key string, files_processed int, rows_read long, rows_output long, quality_summary string, created_at timestamp"
@@ -41,6 +43,20 @@ def run_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("quality_summary", F.nullif("quality_summary", F.lit("{}")))
 
 
+def register_runs(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Upserts completed runs of DATASET_RUNS by (run_id, stage) into the table at `path`, which is made if it is not there."""
+    new = run_rows(spark.createDataFrame([], DATASET_RUNS).unionByName(rows, allowMissingColumns=True))
+    new = new.withColumns({"status": F.coalesce("status", F.lit("completed")), "created_at": F.coalesce("created_at", F.current_timestamp())})
+    replace_table(spark, upsert(read_table(spark, path, DATASET_RUNS), new, ["run_id", "stage"]), path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A keyed table; empty if it is not there yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def get_run(runs: DataFrame, stage: str, run_id: str) -> DataFrame:
     return runs.where((F.col("stage") == stage) & (F.col("run_id") == run_id))
 
@@ -96,6 +112,44 @@ def audit(runs: DataFrame, stage: str, run_id: str) -> list[dict]:
     return rows
 
 
+def artifact_flags(runs: DataFrame) -> DataFrame:
+    """stage, run_id, evidence (what a run says of itself) and whether each kind of artifact is told."""
+    told = lambda c: (F.coalesce(F.col(c), F.lit("")) != "").alias(f"has_{c}")
+    kinds = ("events_key", "artifact_prefix", "manifest_key", "quality_report_key", "quality_summary")
+    evidence = F.struct("bucket", "source_run_id", "events_key", "artifact_prefix", "manifest_key", "quality_report_key", "files_processed", "rows_read", "rows_output", "quality_summary", "created_at")
+    return runs.select("stage", "run_id", "dataset_prefix", "status", evidence.alias("evidence"), *map(told, kinds))
+
+
+def documentation_runs(document_run: str, embedding_run: str, rows: int, prefix: str = "pipeline-docs"):
+    """The two rows that an embedding of documentation registers. There is no run before the first, so its audit tells."""
+    return [(document_run, "documents", "completed", prefix, None, rows), (embedding_run, "embeddings", "completed", prefix, document_run, rows)]
+
+
+def training_rows(run_id: str, metrics: DataFrame, importances: DataFrame, by_map: DataFrame, by_half: DataFrame) -> DataFrame:
+    """Tables of a training (model_name, ...) -> a row of TRAINING_RUNS for each model. What a model has no rows of is an
+    empty object. Features and segments of one model are few, so they are gathered into its row."""
+    from .learning import METRICS
+
+    def gathered(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v")))))
+        return df.groupBy(F.col("model_name").alias("_model")).agg(pairs.alias(name))
+
+    scores = F.to_json(F.struct(*METRICS))
+    out = metrics
+    for df, key, value, name in ((importances, "feature", F.col("importance"), "_f"), (by_map, "segment", scores, "_m"), (by_half, "segment", scores, "_h")):
+        out = out.join(gathered(df, key, value, name), F.col("model_name") == F.col("_model"), "left").drop("_model")
+    known = F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*METRICS))
+    text = search_text(out.select("model_name", F.map_filter(known, lambda k, v: v.isNotNull()).alias("metrics"), F.coalesce(F.map_keys("_f"), F.array()).alias("features"), F.coalesce(F.map_keys("_m"), F.array()).alias("segments")))
+    body = lambda c: F.coalesce(F.to_json(c), F.lit("{}"))
+    rows = out.select(F.lit(run_id).alias("run_id"), "model_name", *[F.col(c).alias("log_loss_val" if c == "log_loss" else c) for c in METRICS], body("_f").alias("feature_importances"), body("_m").alias("map_segment_metrics"), body("_h").alias("half_segment_metrics"), F.lit("{}").alias("params"), F.current_timestamp().alias("created_at"))
+    return rows.join(text, "model_name")
+
+
+def store_training(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Upserts rows of TRAINING_RUNS by (run_id, model_name)."""
+    replace_table(spark, upsert(read_table(spark, path, TRAINING_RUNS), rows, ["run_id", "model_name"]), path)
+
+
 def search_text(models: DataFrame) -> DataFrame:
     """model_name, metrics map, features, segments -> model_name, search_text."""
     # The words that a search for models goes by.
@@ -121,3 +175,25 @@ def session_messages(messages: DataFrame, session_id) -> DataFrame:
 def delete_sessions(sessions: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the sessions of `ids` (id) and their messages."""
     return sessions.join(ids, "id", "left_anti"), messages.join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_anti")
+
+
+def create_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """`sessions` (id, title, created_at) with those of `new` whose id is not there; no title is the default one."""
+    fresh = new.dropDuplicates(["id"]).join(sessions.select("id"), "id", "left_anti")
+    return sessions.unionByName(fresh.withColumn("title", S.session_title(F.col("title"))))
+
+
+def rename_sessions(sessions: DataFrame, names: DataFrame) -> DataFrame:
+    """`sessions` with the titles of `names` (id, title)."""
+    given = names.dropDuplicates(["id"]).select("id", F.col("title").alias("_title"))
+    return sessions.join(given, "id", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+
+
+def reset_sessions(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """`messages` without those of the sessions of `ids` (id); the sessions stay."""
+    return messages.join(ids.select(F.col("id").alias("session_id")), "session_id", "left_anti")
+
+
+def upsert_messages(messages: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """`messages` (id, session_id, role, parts, created_at) with `new` in place of those of the same id."""
+    return upsert(messages, new, ["id"], order=order)

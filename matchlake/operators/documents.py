@@ -184,7 +184,7 @@ def weapon_texts(p: DataFrame) -> DataFrame:
     return tier5(p).join(maps, "weapon", "left").select("weapon", "count", text.alias("text"))
 
 
-def documents(events: DataFrame, run_id: str, prefix: str = "csgo", source_run_id: str = "gold-run", max_rows: int | None = None) -> DataFrame:
+def documents(events: DataFrame, run_id: str, prefix: str = "matches", source_run_id: str = "gold-run", max_rows: int | None = None) -> DataFrame:
     """All tiers as doc_id, doc_index, document_tier, text, metadata. Numbers run over tiers and their sorted keys; the
     rows numbered are aggregates, so that one sort is small whatever the number of events."""
     p = prepared(events, max_rows)
@@ -226,3 +226,8 @@ def write_parts(docs: DataFrame, folder: str, rows: int = PART_ROWS) -> DataFram
 
 def tier_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("document_tier").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def preview(docs: DataFrame, n: int) -> DataFrame:
+    """The first documents over all parts, in their order."""
+    return docs.orderBy("doc_index").limit(n)

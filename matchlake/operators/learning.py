@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -79,6 +79,39 @@ def roc_points(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return out.select("threshold", F.try_divide("fp", "q").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 
+def file_sets(split: DataFrame, group: str = "file") -> DataFrame:
+    """One row: groups in training and in test rows, and in both, which a split by groups must not have."""
+    sides = split.groupBy(group).agg(F.bool_or(~F.col("is_test")).alias("a"), F.bool_or("is_test").alias("b"))
+    return sides.agg(F.count_if("a").alias("train_files"), F.count_if("b").alias("test_files"), F.count_if(F.col("a") & F.col("b")).alias("shared_files"))
+
+
+def ranked_coefficients(table: DataFrame, keep: int | None = None) -> DataFrame:
+    """feature, coefficient -> those of the greatest magnitude first."""
+    out = table.orderBy(F.abs("coefficient").desc(), "feature")
+    return out if keep is None else out.limit(keep)
+
+
+def coefficients(trained: Trained) -> DataFrame:
+    """feature, coefficient of a logistic regression, the greatest first. One row a feature."""
+    model = trained.model.stages[-1]
+    hot = trained.model.stages[0]
+    names = list(trained.preparation.numeric)
+    for c, labels in zip(trained.preparation.categorical, hot.labelsArray, strict=True):
+        names += [f"{c}={x}" for x in [*labels, "other"]]
+    return ranked_coefficients(SparkSession.active().createDataFrame([(n, float(x)) for n, x in zip(names, model.coefficients, strict=False)], "feature string, coefficient double"))
+
+
+def finite_metrics(long: DataFrame) -> DataFrame:
+    """model_name, metric, value rows that a tracker takes: no null, NaN or infinite value."""
+    v = F.col("value")
+    return long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
+def seeded_sample(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:
+    """`n` rows, those with the least hashes of seed and key: the same on every run, and a top-k without a full sort."""
+    return rows.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
 def unpivot_metrics(table: DataFrame, names=METRICS) -> DataFrame:
     return table.unpivot(["model_name"], list(names), "metric", "value")
 

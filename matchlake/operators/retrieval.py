@@ -71,15 +71,27 @@ def check_dimension(vectors: DataFrame, dim: int, column: str = "embedding") ->
     return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.size(column) != dim).alias("wrong"))
 
 
-def embed_documents(docs: DataFrame, run_id: str, embed: Callable[[list[str]], list[list[float]]], dim: int, model: str = "hashing", batch: int = BATCH, resume_from: int = 0, max_documents: int | None = None) -> DataFrame:
+def run_metadata(metadata: Column, doc_id: Column, run_id: str, model: str, source_run_id: str | None = None, prefix: str | None = None) -> Column:
+    """A document's metadata with the run's own in place of what it had: its id, the embedding run, the run that made the
+    documents, the prefix of the data and the model. A run that is not told keeps what the document says."""
+    own = {"doc_id": doc_id, "embedding_run_id": F.lit(run_id), "embed_model": F.lit(model), "document_source_run_id": F.lit(source_run_id), "dataset_prefix": F.lit(prefix)}
+    own = {k: v for k, v in own.items() if not (k == "document_source_run_id" and source_run_id is None) and not (k == "dataset_prefix" and prefix is None)}
+    return F.map_concat(F.map_filter(metadata, lambda k, v: ~k.isin(*own)), F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]))
+
+
+def delete_run(vectors: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """What is left without a run, and one row with the number of rows that it had."""
+    return vectors.where(F.coalesce(F.col("embedding_run_id") != run_id, F.lit(True))), vectors.agg(F.count_if(F.col("embedding_run_id") == run_id).alias("deleted_rows"))
+
+
+def embed_documents(docs: DataFrame, run_id: str, embed: Callable[[list[str]], list[list[float]]], dim: int, model: str = "hashing", batch: int = BATCH, resume_from: int = 0, max_documents: int | None = None, source_run_id: str | None = None, prefix: str | None = None) -> DataFrame:
     """doc_id, text, metadata -> vectors of run `run_id`, a batch at a time in the tasks; documents up to `resume_from` are
     passed over before anything is embedded."""
     line = S.doc_line(F.col("doc_id"))
     rows = docs.withColumn("doc_line", line).where(F.col("doc_line") > resume_from)
     if max_documents is not None:
         rows = rows.orderBy("doc_line").limit(max_documents)
-    added = F.create_map(*[F.lit(x) for x in ("embedding_run_id", run_id, "embed_model", model)], F.lit("doc_id"), F.col("doc_id"))
-    rows = rows.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, v: ~k.isin("embedding_run_id", "embed_model", "doc_id")), added))
+    rows = rows.withColumn("metadata", run_metadata(F.col("metadata"), F.col("doc_id"), run_id, model, source_run_id, prefix))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -189,6 +189,11 @@ def consistency(frame: DataFrame) -> DataFrame:
 
 def feature_columns(frame: DataFrame) -> tuple[list[str], list[str]]:
     """(numeric, categorical) columns of the model."""
-    base = [c for c in ("round_number", "overtime_flag", "ct_eq_val", "t_eq_val", "eq_diff", "winner_side_code", "total_hp_dmg", "total_arm_dmg", "kills_round", "bomb_planted_any", "ct_alive_end", "t_alive_end", "alive_diff_end") if c in frame.columns]
+    base = [c for c in ("round_number", "overtime_flag", "ct_eq_val", "t_eq_val", "eq_diff", "total_hp_dmg", "total_arm_dmg", "kills_round", "bomb_planted_any", "ct_alive_end", "t_alive_end", "alive_diff_end") if c in frame.columns]
     made = [c for c in frame.columns if "_lag" in c or "_rollmean" in c]
     return base + made, [c for c in ("map", "round_type", "half", "winner_side_norm") if c in frame.columns]
+
+
+def head(rows: DataFrame, max_rows: int, order: str = "src_ord") -> DataFrame:
+    """The first rows in the order of the source."""
+    return rows.orderBy(order).limit(max_rows)

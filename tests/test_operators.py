@@ -129,32 +129,33 @@ def test_markdown(spark):
 
 
 def runs(spark, change=lambda rows: rows):
-    chain = [("bronze", None), ("silver", "bronze-run"), ("gold", "silver-run"), ("documents", "gold-run"), ("embeddings", "documents-run")]
-    rows = change([{"run_id": f"{s}-run", "stage": s, "status": "completed", "dataset_prefix": "p", "source_run_id": p, "created_at": i} for i, (s, p) in enumerate(chain)])
+    chain = [("bronze", None), ("silver", "ore-4"), ("gold", "wash-4"), ("documents", "bar-4"), ("embeddings", "ledger-4")]
+    names = dict(zip(catalog.STAGES, ("ore-4", "wash-4", "bar-4", "ledger-4", "index-4"), strict=True))
+    rows = change([{"run_id": names[s], "stage": s, "status": "completed", "dataset_prefix": "p", "source_run_id": p, "created_at": i} for i, (s, p) in enumerate(chain)])
     return spark.createDataFrame(rows, "run_id string, stage string, status string, dataset_prefix string, source_run_id string, created_at int")
 
 
 def test_lineage(spark):
-    assert [r["stage"] for r in catalog.audit(runs(spark), "embeddings", "embeddings-run")] == ["embeddings", "documents", "gold", "silver", "bronze"]
-    assert len(catalog.audit(runs(spark), "gold", "gold-run")) == 3
+    assert [r["stage"] for r in catalog.audit(runs(spark), "embeddings", "index-4")] == ["embeddings", "documents", "gold", "silver", "bronze"]
+    assert len(catalog.audit(runs(spark), "gold", "bar-4")) == 3
     cases = {
-        "run_not_found@gold:gold-run": lambda rows: [r for r in rows if r["stage"] != "gold"],
-        "dataset_prefix_mismatch@bronze:bronze-run": lambda rows: [r | {"dataset_prefix": "q"} if r["stage"] == "bronze" else r for r in rows],
-        "cycle_detected@bronze:bronze-run": lambda rows: [r | {"source_run_id": "x"} if r["stage"] == "bronze" else r for r in rows],
-        "missing_source_run_id@silver:silver-run": lambda rows: [r | {"source_run_id": None} if r["stage"] == "silver" else r for r in rows],
+        "run_not_found@gold:bar-4": lambda rows: [r for r in rows if r["stage"] != "gold"],
+        "dataset_prefix_mismatch@bronze:ore-4": lambda rows: [r | {"dataset_prefix": "q"} if r["stage"] == "bronze" else r for r in rows],
+        "cycle_detected@bronze:ore-4": lambda rows: [r | {"source_run_id": "x"} if r["stage"] == "bronze" else r for r in rows],
+        "missing_source_run_id@silver:wash-4": lambda rows: [r | {"source_run_id": None} if r["stage"] == "silver" else r for r in rows],
     }
     for message, change in cases.items():
         with pytest.raises(ValueError, match=message):
-            catalog.audit(runs(spark, change), "embeddings", "embeddings-run")
-    start = spark.createDataFrame([("embeddings", "embeddings-run")], "start_stage string, start_run string")
+            catalog.audit(runs(spark, change), "embeddings", "index-4")
+    start = spark.createDataFrame([("embeddings", "index-4")], "start_stage string, start_run string")
     s = catalog.lineage_summary(catalog.lineage(runs(spark), start)).first()
     assert (s.length, s.hops, s.complete, s.status) == (5, 4, True, "ok")
 
 
 def test_upsert_keeps_the_first_time(spark, tmp_path):
-    new = spark.createDataFrame([("gold-run", "gold", "redone", "p", "silver-run", 99), ("new", "gold", "completed", "p", "silver-run", 50)], "run_id string, stage string, status string, dataset_prefix string, source_run_id string, created_at int")
+    new = spark.createDataFrame([("bar-4", "gold", "redone", "p", "wash-4", 99), ("new", "gold", "completed", "p", "wash-4", 50)], "run_id string, stage string, status string, dataset_prefix string, source_run_id string, created_at int")
     out = {(r.run_id, r.status, r.created_at) for r in catalog.upsert(runs(spark), new, ["run_id", "stage"]).where("stage = 'gold'").collect()}
-    assert out == {("gold-run", "redone", 2), ("new", "completed", 50)}
+    assert out == {("bar-4", "redone", 2), ("new", "completed", 50)}
     assert catalog.latest_run(runs(spark).union(new.where("run_id = 'new'")), "gold").first().run_id == "new"
     path = str(tmp_path / "t")
     for _ in range(2):
@@ -183,7 +184,8 @@ def test_split_and_models(spark):
     from matchlake.operators import rounds
     from tests.test_rounds import events
 
-    frame = rounds.supervised(rounds.event_rounds(events(spark)))
+    in_turn = {f"m{i}": ("CT" if i % 2 else "TC") * 3 for i in range(8)}
+    frame = rounds.supervised(rounds.event_rounds(events(spark, in_turn)))
     split = learning.group_split(frame).select("file", "is_test").distinct().collect()
     assert sum(r.is_test for r in split) == 2 and len(split) == 8
     out = learning.train_and_evaluate(frame, learning.MODELS[:2], min_rows=1)
@@ -218,12 +220,12 @@ def test_round_files_with_other_headers(spark, tmp_path):
 
 def test_archive(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        for n in ("esea_meta_demos.part1.csv", "esea_master_kills_demos.part1.csv", "esea_master_dmg_demos.part1.csv", "maps/de_inferno.png", "notes.txt"):
+        for n in ("cup_meta_demos.part9.csv", "cup_master_kills_demos.part9.csv", "cup_master_dmg_demos.part9.csv", "maps/hill.png", "notes.txt"):
             z.writestr(n, "a,b\n")
     got = {r.member: (r.file_type, r.typed_path, r.size) for r in files.typed_manifest(files.unzip(spark, str(tmp_path / "*.zip"))).collect()}
     assert got == {
-        "esea_meta_demos.part1.csv": ("round_meta", "round_meta/esea_meta_demos.part1.csv", 4), "esea_master_kills_demos.part1.csv": ("kills", "kills/esea_master_kills_demos.part1.csv", 4),
-        "esea_master_dmg_demos.part1.csv": ("damage", "damage/esea_master_dmg_demos.part1.csv", 4), "maps/de_inferno.png": ("assets", "assets/maps/de_inferno.png", 4),
+        "cup_meta_demos.part9.csv": ("round_meta", "round_meta/cup_meta_demos.part9.csv", 4), "cup_master_kills_demos.part9.csv": ("kills", "kills/cup_master_kills_demos.part9.csv", 4),
+        "cup_master_dmg_demos.part9.csv": ("damage", "damage/cup_master_dmg_demos.part9.csv", 4), "maps/hill.png": ("assets", "assets/maps/hill.png", 4),
     }
 
 
