@@ -42,9 +42,41 @@ def test_main_text_is_the_article(spark, data):
         assert r.text == "\n".join(p for p in parts if p)
 
 
-def test_tree_fits_its_table():
-    tree = html.train_tree()
-    assert all(html.classify(tree, r[:-1]) == r[-1] for r in html.LABELLED)
+LONG = " ".join(f"word{i}" for i in range(20))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<head><title>T</title><p>{LONG}</p><p>Short one.</p>", f"{LONG}\nShort one."),  # the head has no end tag
+    (f"<body><button>Go<p>{LONG}</p><p>Short.</p>", f"{LONG}\nShort."),
+    (f"<body class='single no-sidebar'><p>{LONG}</p><p>Short.</p>", f"{LONG}\nShort."),
+    (f"<body class='has-comments'><article><p>{LONG}</p></article>", LONG),
+    (f"<article class='post tag-news share-on'><h1>Title</h1><p>{LONG}</p></article>", f"Title\n{LONG}"),
+    (f"<body><form id=page><div class=nav><a href=x>Home</a></div><h1>Title</h1><p>{LONG}</p><p>Tail.</p></form>", f"Title\n{LONG}\nTail."),
+    ("Just text here, no tags &amp; more", "Just text here, no tags & more"),
+    (f"<div><h1>T t</h1><p>{LONG}</p><p>{LONG}</p><p>Last few words here</p></div>", f"T t\n{LONG}\n{LONG}\nLast few words here"),
+    (f"<article><div class='entry-header'><h1>Title here</h1></div><p>{LONG}</p><ul><li><a href=1>Link one</a><li><a href=2>Link two</a></ul><p>end</p></article>", f"Title here\n{LONG}\nLink one\nLink two\nend"),
+    (f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><h3>2 Comments</h3><p>{LONG}</p><p>{LONG}</p>", f"Title\n{LONG}\n{LONG}"),
+])
+def test_main_text_of_odd_markup(page, want):
+    assert html.main_text(page, html.train_tree(html.labelled_blocks())) == want
+
+
+def test_time_does_not_grow_with_the_square_of_the_depth():
+    import time
+
+    began = time.process_time()
+    found = html.blocks("<div>" * 20_000 + "x y z" + "</div>" * 20_000)
+    assert [b[0] for b in found] == ["x y z"] and time.process_time() - began < 5
+
+
+def test_tree_tells_blocks_of_pages_that_it_has_not_seen():
+    right = []
+    for i, page in enumerate(html.PAGES):
+        tree = html.train_tree(html.labelled_blocks(html.PAGES[:i] + html.PAGES[i + 1 :], draws=4))
+        right += [html.classify(tree, r[:-1]) == r[-1] for r in html.labelled_blocks((page,), draws=4, seed=5)]
+    assert np.mean(right) > 0.9
+    rows = html.labelled_blocks()
+    assert np.mean([html.classify(html.train_tree(rows), r[:-1]) == r[-1] for r in html.labelled_blocks(seed=11)]) > 0.99
 
 
 # ---- archives
@@ -189,3 +221,25 @@ def test_pipeline(spark, data):
         else:
             check_packed(rows, {(r.doc_id, r.text) for r in before})
         docs = after
+
+
+def test_pipeline_of_odd_rows(spark, data):
+    """Null ids, repeated rows, unlike rows of one id, empty and long texts, and columns that have the operators' names."""
+    import corpus_pipeline
+    from tests.llm.test_text_operators import prose
+
+    rows = [(i, prose(i), "en", f"s{i % 3}") for i in range(40)] + [(None, prose(50), "en", None)] * 3 + [(None, prose(51), None, "s1"), (7, prose(7), "en", "s1"), (8, prose(60), "de", "s2"), (90, None, "en", "s0"), (91, "", None, None), (92, " \n", "en", "s0"), (93, "word " * 30_000, "en", "s0"), (94, "12 34 !?", "en", "s1")]
+    names = "host path evidence _evidence _label _copies _row _set"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *["x"] * 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names.split()))
+    for none in (True, False):
+        now = docs.limit(0) if none else docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = new_path(spark, f"odd-stage-{k}")
+            stage(spark, now, data).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert name == "best-fit packing" or after.columns == docs.columns
+            assert none == after.isEmpty()
+            if name == "MinHash near-dedup":
+                kept = collections.Counter((r.doc_id, r.text) for r in after.collect())
+                assert max(kept.values()) == 1 and sum(i is None for i, _ in kept) == 2 and (8, prose(60)) in kept
+            now = after

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with the odd rows that each must stand."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import struct
@@ -144,6 +145,25 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.edited_likeness(none).count() == 0
 
 
+def test_fingerprints_of_the_table(spark, data):
+    """The query against plain sets of shingles: exact for short texts, within the sketch's error for long ones."""
+    import hashlib
+
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op4(spark, data).collect()}
+    assert len(got) == len(docs)
+    shingles = lambda x: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(words(x))
+    for i, (doc, x) in enumerate(docs):
+        y = docs[(i + 1) % len(docs)][1]
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        r = got[doc]
+        assert r.n_chars == len(x) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for other, near in ((edited, r.near_edited), (y, r.near_next)):
+            a, b = shingles(x), shingles(other)
+            want = len(a & b) / len(a | b) if a and b else float(not a and not b)
+            assert near == pytest.approx(want, abs=1e-12 if len(a | b) <= fingerprints.K else 0.15)
+
+
 def test_sketches_estimate_and_merge(spark):
     sets = [np.unique(text.mix(np.arange(a, b, dtype=np.uint64))) for a, b in ((0, 6000), (3000, 9000), (0, 3000))]
     a, b, c = map(fingerprints.sketch, sets)
@@ -172,6 +192,17 @@ def test_mix_of_odd_rows(odd, none):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    """A hot null id and a hot id meet their targets, and inclusion odds differ within a source."""
+    for rows in ([(None, "a b c d e f g h i j", "x")] * 1000, [(7, "a b c d e f g h i j k l m n o", "x")] * 900, [(i, "w " * (1 + i % 50), "x") for i in range(2000)]):
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(got) == len(rows) and abs(sum(r.taken for r in got) - got[0].target) <= max(r.size for r in got)
+    copies = collections.defaultdict(list)
+    for r in got:
+        copies[r.size > 20].append(r.copies)
+    assert np.mean(copies[True]) > np.mean(copies[False]) + 0.05
+
+
 def test_targets_stop_and_are_reshared(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -182,10 +213,15 @@ def test_targets_stop_and_are_reshared(spark):
 # ---- 9 and 1
 
 
-def whole_ids(x):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokens.path_of(tokens.WORD_BPE)).encode(x or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.path_of(tokens.WORD_BPE))
+
+
+def whole_ids(x):
+    return tokenizer().encode(x or "", add_special_tokens=False).ids
 
 
 def test_tokens_are_the_tokenizers():
@@ -221,6 +257,13 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_the_table(spark, data):
+    rows = packing.op9(spark, data).collect()
+    check_packed(rows, {(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()})
+    n = len({r.sequence_id for r in rows})
+    assert n <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_near_its_bound(seed):
     rng = np.random.default_rng(seed)
@@ -285,11 +328,45 @@ def test_rollup_batches_are_idempotent(spark):
     assert rows() == {("a", 0, 3), (None, 1, 0)}
     revise = spark.createDataFrame([("revise", "a", "en", "w", 9, "a", "en", "v", 3)], "op string, source string, lang string, tokenizer string, n_tokens long, old_source string, old_lang string, old_tokenizer string, old_n_tokens long")
     assert rollup.apply_batch(spark, root, "2", revise)
-    rollup.compact(spark, root)
+    assert rollup.compact(spark, root)
     assert rows() == {("a", 1, 9), ("a", -1, 0), (None, 1, 0)} and not rollup.apply_batch(spark, root, "2", revise)
     assert rollup.apply_batch(spark, root, "3", feed.limit(0))
 
 
+def test_two_compactions_at_once_and_replays_after_deletion(spark, monkeypatch):
+    from matchlake.llm.shared import remove
+
+    root = new_path(spark, "test-compactions")
+    feed = spark.createDataFrame([("insert", "a", "en", "v", 5)], "op string, source string, lang string, tokenizer string, n_tokens long")
+    rows = lambda: [(r.n_docs, r.n_tokens) for r in rollup.totals(spark, root).collect()]
+    assert rollup.apply_batch(spark, root, "1", feed)
+    seen = rollup._batches(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(rollup, "_batches", lambda *a: seen)  # both have read the folder before either commits
+        assert rollup.compact(spark, root) and not rollup.compact(spark, root)
+    assert rows() == [(1, 5)] and not rollup.apply_batch(spark, root, "1", feed)
+    assert rollup.apply_batch(spark, root, "2", feed) and rollup.compact(spark, root) and rows() == [(2, 10)]
+    remove(spark, *(f"{root}/committed/{x}" for x in ("generation-1", "1", "2")))
+    assert rows() == [(2, 10)]
+    assert not rollup.apply_batch(spark, root, "1", feed) and not rollup.apply_batch(spark, root, "2", feed) and rows() == [(2, 10)]
+
+
+# ---- task functions
+
+
+def test_task_functions_stay_small():
+    """Nothing that grows in a process, such as by training, travels with a task."""
+    from pyspark import cloudpickle
+
+    from matchlake.llm import fingerprints, minhash, packing
+
+    language._train([("en", b"one two three " * 20_000), ("de", b"eins zwei drei " * 20_000)])
+    list(tokens.encode(["one two three"] * 10, tokens.path_of(tokens.WORD_BPE)))
+    cut = packing._pieces(tokens.path_of(tokens.WORD_BPE), 2048)
+    for f in (minhash._sign, minhash._sets, minhash._compare, minhash._own_shingles, quality._described, fingerprints._edit, cut):
+        assert len(cloudpickle.dumps(f)) < 100_000
+
+
 # ---- 2
 
 
@@ -309,6 +386,34 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.score_quality(none, labels).count() == 0
 
 
+def test_posteriors_are_the_plain_ones(spark, data):
+    """Rates of hosts and paths and each posterior, made anew from the evidence by loops."""
+    model = quality.fit_quality(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    rows = [r for r in quality.score_quality(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")).collect()]
+    own = {i: 1 / (1 + np.exp(-r.evidence)) for i, r in enumerate(rows) if r.evidence is not None}
+    rate = np.mean(list(own.values()))
+    assert model.rate == pytest.approx(rate)
+    logit = lambda p: np.log(p / (1 - p))
+    for i, r in enumerate(rows):
+        if r.evidence is None:
+            assert r.quality == 0 and not r.keep
+            continue
+        host = [q for j, q in own.items() if j != i and rows[j].source == r.source]
+        path = [q for j, q in own.items() if j != i and (rows[j].source, rows[j].lang) == (r.source, r.lang)]
+        of_host = (model.host_weight * rate + sum(host)) / (model.host_weight + len(host))
+        of_path = (model.path_weight * of_host + sum(path)) / (model.path_weight + len(path))
+        assert r.site_rate == pytest.approx(of_path) and r.quality == pytest.approx(1 / (1 + np.exp(-(r.evidence + logit(of_path) - logit(rate)))), abs=1e-9)
+        assert r.keep == (r.quality >= 0.5)
+
+
+def test_quality_of_labels_that_were_held_out(spark, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    half = labels.where("crc32(cast(doc_id AS string)) % 2 = 0")
+    got = {r.doc_id: r.keep for r in quality.score_quality(docs, half).collect()}
+    assert np.mean([got[r.doc_id] == bool(r.quality) for r in labels.exceptAll(half).collect()]) > 0.93
+
+
 def test_sparse_sites_shrink(spark):
     """Two hosts, one of one document: its rate stays near the global rate."""
     docs = spark.createDataFrame([(i, prose(i), "p", "big") for i in range(60)] + [(99, prose(99), "p", "small")], "doc_id long, text string, lang string, source string")
