@@ -179,6 +179,50 @@ def test_learned_parts_are_balanced_and_route_clusters():
     assert ann.train_index(x, 8).probes <= 4
 
 
+def _recall(got, x, ids, k, every):
+    hits = queries = 0
+    for q in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert len(got[ids[q]]) == k
+        hits, queries = hits + len(set(ids[np.lexsort((ids, d))[:k]]) & got[ids[q]]), queries + 1
+    return hits / (k * queries)
+
+
+def _clusters(spark, n):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(12, 8)) * 4)[rng.integers(0, 12, n)] + rng.normal(size=(n, 8))
+    return x, np.arange(n), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def _found(df):
+    got = collections.defaultdict(set)
+    for r in df.collect():
+        got[r.query_id].add(r.vec_id)
+    return got
+
+
+def test_parts_cut_twice_find_the_neighbours(spark):
+    x, ids, df = _clusters(spark, 1500)
+    assert _recall(_found(ann.search(df, every=10, parts=12, parts_a_router=4)), x, ids, 10, 10) >= 0.9
+
+
+def test_queries_with_small_parts_go_through_the_others(spark):
+    x, ids, df = _clusters(spark, 300)
+    # One part a query holds about 40 vectors; 120 are asked for, and all are found.
+    assert _recall(_found(ann.search(df, k=120, every=20, parts=8, target=0.0)), x, ids, 120, 20) > 0.5
+    assert _recall(_found(ann.search(df, k=299, every=20, parts=8, target=0.0)), x, ids, 299, 20) == 1
+
+
+def test_repeated_query_ids_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [4.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r.rank, r.vec_id) for r in ann.search(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_parts_grow_with_the_root_of_the_rows():
+    assert [ann.parts_for(n) for n in (0, 1, 10_000, 1_000_000)] == [1, 1, 25, 250]
+
+
 # ---- components and the pipeline
 
 
