@@ -22,12 +22,35 @@ TARGET = "target_winner_side_next_code"
 LOCAL_FOLDER = "/tmp/checkpoints/matchlake-learning"
 
 
+def _before(rows: DataFrame, by: list[str], bucket: Column, order: list[Column], *counted: str, down: bool = False) -> DataFrame:
+    """`rows` with before_<c>, the total of each column c of `counted` over the rows of a group that come earlier by
+    `order`, and all_<c>, the group's. Rows are summed within buckets, which `order` must not interleave, and the totals of
+    earlier buckets are added: no task takes a whole group, only its buckets' totals."""
+    rows = rows.withColumn("_b", bucket)
+    first = Window.partitionBy(*by).orderBy(F.col("_b").desc() if down else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counted])
+    totals = sums.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])],
+        *[F.coalesce(F.sum(c).over(first), F.lit(0)).alias(f"_first_{c}") for c in counted],
+        *[F.sum(c).over(Window.partitionBy(*by)).alias(f"all_{c}") for c in counted],
+    )
+    own = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_own_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in counted})
+    test = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
+    out = rows.join(totals, test).withColumns({f"before_{c}": F.col(f"_first_{c}") + F.col(f"_own_{c}") for c in counted})
+    return out.select(*[c for c in rows.columns if c != "_b" and not c.startswith("_own_")], *[f"{m}_{c}" for c in counted for m in ("before", "all")])
+
+
+def _bucket(p: str) -> Column:
+    """4,096 equal ranges of a probability; NaN, which is sorted as the greatest, comes with the greatest."""
+    return F.when(F.isnan(p), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col(p) * 4096))
+
+
 def group_split(frame: DataFrame, share: float = 0.2, seed: str = "42", group: str = "file") -> DataFrame:
     """`frame` with is_test: whole files, the first ceil(share * files) in the order of a seeded hash."""
-    files = frame.select(group).distinct()
-    order = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(group))), group)
-    marked = files.withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return frame.join(marked.select(group, (F.col("_rn") <= F.ceil(F.col("_n") * share)).alias("is_test")), group)
+    files = frame.select(group).distinct().withColumns({"_h": F.md5(F.concat(F.lit(seed), F.col(group))), "_one": F.lit(1)})
+    marked = _before(files, [], F.substring("_h", 1, 3), [F.col("_h"), F.col(group)], "_one")
+    return frame.join(marked.select(group, (F.col("before__one") < F.ceil(F.col("all__one") * share)).alias("is_test")), group)
 
 
 def baseline(side: Column) -> Column:
@@ -38,14 +61,13 @@ def baseline(side: Column) -> Column:
 def metrics(rows: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, min_rows: int = 0) -> DataFrame:
     """ROC-AUC by average ranks, F1, balanced accuracy, log-loss and Brier score, for each group of `by`.
 
-    Rows are counted by (group, probability, class) first, so ranks are a window over distinct probabilities.
+    Rows are counted by (group, probability, class) first, so ranks are sums over distinct probabilities, range by range.
     An AUC of one class is null.
     """
     by = by or []
     rows = rows.select(*by, F.col(y).cast("int").alias("y"), S.clip_probability(F.col(p).cast("double")).alias("p")).groupBy(*by, "p").agg(F.sum(F.col("y")).alias("pos"), F.count(F.lit(1)).alias("n"))
     # one row a distinct probability: rank of its middle
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    rows = _before(rows, by, _bucket("p"), [F.col("p")], "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     pos, neg, said = F.sum("pos"), F.sum(F.col("n") - F.col("pos")), F.col("p") >= 0.5
     tp, fp = F.sum(F.when(said, F.col("pos")).otherwise(0)), F.sum(F.when(said, F.col("n") - F.col("pos")).otherwise(0))
     fn, tn = pos - tp, neg - fp
@@ -73,10 +95,10 @@ def confusion_matrix(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def roc_points(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """threshold, fpr, tpr at each distinct probability."""
     per = rows.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    out = per.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum(F.col("n") - F.col("pos")).over(every).alias("q"))
-    return out.select("threshold", F.try_divide("fp", "q").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
+    per = per.withColumn("neg", F.col("n") - F.col("pos"))
+    out = _before(per, [], _bucket("threshold"), [F.col("threshold").desc()], "pos", "neg", down=True)
+    share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), f"all_{c}")
+    return out.select("threshold", share("neg").alias("fpr"), share("pos").alias("tpr"))
 
 
 def file_sets(split: DataFrame, group: str = "file") -> DataFrame:

@@ -8,7 +8,9 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +165,41 @@ def top_k(rows: DataFrame, score: Column, k: int, tie: str, descending: bool = T
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc() if descending else F.col("score"), tie)))
 
 
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, dim: int, digits: int = 6, block: int = 8192) -> DataFrame:
+    """vec_id, embedding and query_id, query -> query_id, rank, vec_id, score: for each query its k rows of the greatest cosine,
+    rounded to `digits`, ties to the smaller id. Exact.
+
+    Queries and vectors are cut into blocks of about `block` rows; each pair of blocks gives the k best of the vectors' block, and a query's are
+    merged. Rows of another dimension, with a null component or of no length take no part."""
+    spare = lambda df, i, v: df.select(F.col(i).cast("long").alias(i), F.transform(v, lambda x: x.cast("double")).alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
+    number = F.monotonically_increasing_id()
+    held, asked = spare(vectors, "vec_id", "embedding"), spare(queries, "query_id", "query")
+    n, m = (max(1, math.ceil(df.count() / block)) for df in (held, asked))
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
+    held = held.withColumn("b", F.pmod(number, F.lit(n))).withColumn("g", every(m))
+    asked = asked.withColumn("g", F.pmod(number, F.lit(m))).withColumn("b", every(n))
+
+    def matrix(column) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        q, x = matrix(some.column("v")), matrix(others.column("v"))
+        ids = others.column("vec_id").to_numpy()
+        q, x = q / np.linalg.norm(q, axis=1, keepdims=True), x / np.linalg.norm(x, axis=1, keepdims=True)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for one, row in zip(some.column("query_id").to_numpy(), q, strict=True):
+            score = np.round(x @ row, digits)
+            least = np.partition(score, max(0, len(score) - k))[max(0, len(score) - k)] if len(score) else 0.0
+            at = np.flatnonzero(score >= least)
+            best = at[np.lexsort((ids[at], -score[at]))[:k]]
+            out.append((np.full(len(best), one), ids[best], score[best]))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = asked.groupBy("b", "g").cogroup(held.groupBy("b", "g")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def semantic_search(vectors: DataFrame, query: str, embed, run_id: str = DEFAULT_RUN, k: int = TOP_K, **wanted) -> DataFrame:
     check_request(query, run_id, k)
     found = top_k(vectors.where(search_filter(run_id, **wanted)), cosine(F.col("embedding"), embed([query])[0]), k, "node_id")

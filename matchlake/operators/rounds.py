@@ -163,18 +163,38 @@ def supervised(rounds: DataFrame, lags: int = 3, cross_file: bool = False) -> Da
     """The winner of a file's next round, lags of the columns of LAGGED and rolling means of the columns of ROLLED that
     `rounds` has; the last round of a file has no target and is dropped.
 
-    With cross_file=True rolling means run on over the files in one order, which takes one task; by default, they stay
-    within a file and share the lags' partitioning.
+    With cross_file=True rolling means run on over the files in one order; by default, they stay within a file and share
+    the lags' partitioning.
     """
     need(rounds, ("file", "round_number", "winner_side_norm", "winner_side_code"), "rounds")
     own = Window.partitionBy("file").orderBy("round_number")
     out = rounds.withColumns({"target_winner_side_next": F.lead("winner_side_norm").over(own), "target_winner_side_next_code": F.lead("winner_side_code").over(own)})
     out = out.withColumns({f"{c}_lag{k}": F.lag(c, k).over(own) for c in LAGGED if c in rounds.columns for k in range(1, lags + 1)})
-    frame = (Window.orderBy("file", "round_number") if cross_file else own).rowsBetween(-2, 0)
-    out = out.withColumns({f"{c}_rollmean3": F.avg(f"{c}_lag1").over(frame) for c in ROLLED if c in rounds.columns})
+    means = lambda w: {f"{c}_rollmean3": F.avg(f"{c}_lag1").over(w.rowsBetween(-2, 0)) for c in ROLLED if c in rounds.columns}
+    if cross_file:
+        out = _with_rows_before(out, ["file", "round_number"], 2)
+        out = out.withColumns(means(Window.partitionBy("_range").orderBy("file", "round_number"))).where("NOT _guest").drop("_range", "_guest")
+    else:
+        out = out.withColumns(means(own))
     return out.where("target_winner_side_next_code IS NOT NULL")
 
 
+def _with_rows_before(rows: DataFrame, order: list[str], n: int, ranges: int = 256) -> DataFrame:
+    """`rows` in ranges of the first column of `order` (_range), each led by the n rows before it as guests (_guest), so that
+    a window of n + 1 rows within a range sees what it would see over all rows. Bounds are `ranges` values at most, those
+    with the least hashes; nulls come first, as they are sorted."""
+    names = rows.select(order[0]).where(F.col(order[0]).isNotNull()).distinct().orderBy(F.xxhash64(order[0]), order[0]).limit(ranges)
+    bounds = F.array(*[F.lit(r[0]) for r in sorted(names.collect())]).cast("array<string>")
+    rows = rows.withColumn("_range", F.when(F.col(order[0]).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(order[0])))))
+    last = Window.partitionBy("_range").orderBy(*[F.col(c).desc() for c in order])
+    tails = rows.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= n).drop("_rn")  # n rows a range
+    later = rows.select(F.col("_range").alias("_later")).distinct()
+    near = Window.partitionBy("_later").orderBy(*[F.col(c).desc() for c in ["_range", *order]])
+    guests = tails.join(F.broadcast(later), F.col("_range") < F.col("_later")).withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= n)
+    guests = guests.withColumn("_range", F.col("_later")).drop("_later", "_rn")
+    return rows.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
+
+
 def consistency(frame: DataFrame) -> DataFrame:
     """One row: repeated keys, and whether targets and lags agree with the rounds that are there."""
     own = Window.partitionBy("file").orderBy("round_number")

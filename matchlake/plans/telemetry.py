@@ -358,6 +358,14 @@ def cosine_topk_filtered(spark, d):
     return _top(A.read(spark, d, "embeddings").where("label = 3"), _query_vector(spark, d))
 
 
+@query("""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id,
+      round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def cosine_topk_batch(spark, d):
+    rows = A.read(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _r6(retrieval.top_k_batch(rows, asked, 10, 64), "score")
+
+
 @query("SELECT count(*) AS vectors, count_if(len(embedding) <> 64) AS wrong FROM embeddings")
 def embedding_dim_check(spark, d):
     return retrieval.check_dimension(A.read(spark, d, "embeddings"), 64)

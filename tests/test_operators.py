@@ -1,6 +1,8 @@
+import hashlib
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +264,62 @@ def test_paths_and_ids(spark):
     assert S.join_path("/a/", "", "b/") == "a/b"
     rows = spark.createDataFrame([("r:x:12",), ("12",), ("r:a",)], "c string")
     assert [r[0] for r in rows.select(S.doc_line(F.col("c"))).collect()] == [12, None, None]
+
+
+# ---- sums and means over ranges
+
+
+def test_metrics_of_ranges_equal_those_of_one_sort(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.random(400), np.repeat(0.25, 150), 0.5 + rng.random(200) / 1e6, [0.0, 1.0]])
+    y = (rng.random(len(p)) < p).astype(int)
+    rows = spark.createDataFrame([(float(a), int(b), "g" if i % 3 else None) for i, (a, b) in enumerate(zip(p, y, strict=True))], "p double, y int, seg string")
+    auc = lambda at: float(np.mean([(1.0 if a > b else 0.5 if a == b else 0.0) for a in p[at][y[at] == 1] for b in p[at][y[at] == 0]]))
+    assert abs(learning.metrics(rows).first().roc_auc - auc(np.arange(len(p)))) < 1e-9
+    got = {r.seg: r.roc_auc for r in learning.metrics(rows, by=["seg"]).collect()}
+    at = np.arange(len(p)) % 3 != 0
+    assert abs(got["g"] - auc(at)) < 1e-9 and abs(got[None] - auc(~at)) < 1e-9
+    points = {r.threshold: (r.fpr, r.tpr) for r in learning.roc_points(rows).collect()}
+    assert set(points) == set(p.tolist())
+    for t, (fpr, tpr) in points.items():
+        assert abs(fpr - ((p >= t) & (y == 0)).sum() / (y == 0).sum()) < 1e-9 and abs(tpr - ((p >= t) & (y == 1)).sum() / (y == 1).sum()) < 1e-9
+
+
+def test_split_takes_the_share_of_many_files(spark):
+    split = learning.group_split(spark.range(9_001).select(F.concat(F.lit("f"), "id").alias("file")), 0.3)
+    tested = {r.file for r in split.where("is_test").collect()}
+    order = sorted((hashlib.md5(f"42f{i}".encode()).hexdigest(), f"f{i}") for i in range(9_001))
+    assert split.count() == 9_001 and tested == {f for _, f in order[:2_701]}
+
+
+def test_means_across_files_of_few_rows(spark):
+    from matchlake.operators import rounds
+
+    rng = np.random.default_rng(6)
+    rows = [(f"m{i:03}", n, "CT", 1, float(rng.integers(0, 9))) for i in range(60) for n in range(1, 1 + int(rng.integers(1, 5)))]
+    df = spark.createDataFrame(rows, "file string, round_number int, winner_side_norm string, winner_side_code int, eq_diff double")
+    got = {(r.file, r.round_number): r.eq_diff_rollmean3 for r in rounds.supervised(df, cross_file=True).collect()}
+    lag = [rows[i - 1][4] if i and rows[i - 1][0] == r[0] else None for i, r in enumerate(rows)]
+    for i, r in enumerate(rows):
+        if i + 1 < len(rows) and rows[i + 1][0] == r[0]:
+            seen = [x for x in lag[max(0, i - 2) : i + 1] if x is not None]
+            assert got.pop((r[0], r[1])) == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+    assert not got
+
+
+def test_batch_search_in_blocks(spark):
+    from matchlake.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    x[40:60] = x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 4), (92, [1.0]), (93, [1.0, None, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {}
+    for r in retrieval.top_k_batch(df, asked, 5, 4, block=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 90, 7):
+        assert [v for _, v in sorted(got.pop(q))] == np.lexsort((np.arange(90), -np.round(unit @ unit[q], 6)))[:5].tolist()
+    assert not got
+    assert retrieval.top_k_batch(df.limit(0), asked, 5, 4).count() == 0
