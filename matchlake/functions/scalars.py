@@ -14,12 +14,14 @@ DECIMAL = "decimal(38,10)"
 CT_NAMES = ("CT", "COUNTERTERRORIST", "COUNTER_TERRORIST", "COUNTER-TERRORIST")
 T_NAMES = ("T", "TERRORIST")
 TRUE_NAMES = ("1", "true", "yes", "on")
+# Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 GRID = 500
 
 
 def clean_cell(c: Column) -> Column:
     """Without white space at its ends; null if nothing is left."""
-    return F.nullif(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def winner_side(c: Column) -> Column:

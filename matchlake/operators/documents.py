@@ -8,25 +8,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import written
 
 PART_ROWS = 100_000
 TIERS = ("weapon_map_profile", "map_overview", "hotspot_zone", "round_type_profile", "weapon_global_profile")
 
 
+#: The columns that tiers group by, in three sets: each event counts once in each.
+PARTS = {
+    "weapons": ("map", "event_type", "weapon", "hitbox", "att_side"),
+    "squares": ("map", "event_type", "weapon", "att_side", "nade", "grid_x", "grid_y"),
+    "rounds": ("map", "event_type", "round_type", "winner_side"),
+}
+#: What tiers add up, and what they take the least or the greatest of.
+SUMS = ("n", "hp_dmg", "arm_dmg", "round_secs", "timed", "ct_eq", "t_eq", "eq_n")
+LEAST, GREATEST = ("src_ord", "hp_ord"), ("hp_max",)
+
+
 def prepared(events: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Cleaned cells and numbers, once for all tiers; `max_rows` keeps the first rows in source order."""
+    """Cleaned cells and numbers, a row an event; absent columns are null. `max_rows` keeps the first rows in source order."""
     for c in ("event_type", "file", "round", "map", "source_file"):
         if c not in events.columns:
             raise ValueError(f"events need a column {c}")
-    cells = [c for c in ("map", "weapon", "hitbox", "att_side", "nade", "winner_side", "round_type") if c in events.columns]
-    numbers = [c for c in ("hp_dmg", "arm_dmg", "att_pos_x", "att_pos_y", "ct_eq_val", "t_eq_val", "start_seconds", "end_seconds") if c in events.columns]
+    cells = ("map", "weapon", "hitbox", "att_side", "nade", "winner_side", "round_type")
+    numbers = ("hp_dmg", "arm_dmg", "att_pos_x", "att_pos_y", "ct_eq_val", "t_eq_val", "start_seconds", "end_seconds")
+    cell = lambda c, of, kind: of(F.col(c)).alias(c) if c in events.columns else F.lit(None).cast(kind).alias(c)
     rows = events if max_rows is None else events.where(F.col("src_ord") < max_rows)
-    return rows.select("src_ord", "event_type", *[S.clean_cell(F.col(c)).alias(c) for c in cells], *[S.finite(F.col(c)).alias(c) for c in numbers])
+    rows = rows.select("src_ord", "event_type", *[cell(c, S.clean_cell, "string") for c in cells], *[cell(c, S.finite, "double") for c in numbers])
+    both = F.col("ct_eq_val").isNotNull() & F.col("t_eq_val").isNotNull()
+    timed, placed = F.col("end_seconds") > F.col("start_seconds"), F.col("att_pos_x").isNotNull() & F.col("att_pos_y").isNotNull()
+    one = F.lit(1).cast("long")
+    return rows.select(
+        "src_ord", "event_type", *cells, *[F.when(placed, S.grid(F.col(f"att_pos_{c}"))).alias(f"grid_{c}") for c in "xy"], one.alias("n"), "hp_dmg", F.col("hp_dmg").alias("hp_max"),
+        F.when(F.col("hp_dmg").isNotNull(), F.col("src_ord")).alias("hp_ord"), "arm_dmg", F.when(timed, F.col("end_seconds") - F.col("start_seconds")).alias("round_secs"), F.when(timed, one).alias("timed"),
+        F.when(both, F.col("ct_eq_val")).alias("ct_eq"), F.when(both, F.col("t_eq_val")).alias("t_eq"), F.when(both, one).alias("eq_n"),
+    )
+
+
+def totals(p: DataFrame) -> DataFrame:
+    """Prepared rows added up by each set of PARTS, named in `part`: one scan, and a table of as many rows as there are
+    combinations, from which all tiers follow. Tiers take it or the prepared rows themselves."""
+    keys = list(dict.fromkeys(c for part in PARTS.values() for c in part))
+    part = F.when(F.grouping("hitbox") == 0, "weapons").when(F.grouping("grid_x") == 0, "squares").otherwise("rounds")
+    added = [f(c).alias(c) for f, names in ((F.sum, SUMS), (F.min, LEAST), (F.max, GREATEST)) for c in names]
+    return p.groupingSets([list(c) for c in PARTS.values()], *keys).agg(part.alias("part"), *added)
+
+
+def _in(p: DataFrame, part: str) -> Column:
+    """Which rows to take for a set of columns: all, if they are single events."""
+    return F.col("part") == part if "part" in p.columns else F.lit(True)
+
+
+def _n(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
+
+
+def _total(name: str, condition: Column | None = None) -> Column:
+    return F.coalesce(F.sum(name if condition is None else F.when(condition, F.col(name))), F.lit(0.0))
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, top: int | None = None) -> DataFrame:
-    """(keys, value, n, place): counts of a value, most frequent first, equal counts in order of first sight."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min("src_ord").alias("first"))
+    """(keys, value, n, place): counts of a value, most frequent first, equal counts in order of first sight. Rows are
+    events, or stand for `n` of them."""
+    n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"), F.min("src_ord").alias("first"))
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "first")))
     return (ranked if top is None else ranked.where(F.col("place") <= top)).drop("first")
 
@@ -37,15 +82,14 @@ def listed(ranked: DataFrame, keys: list[str], name: str, item: Column) -> DataF
 
 
 def _hits(rows: DataFrame, keys: list[str]) -> DataFrame:
-    head = F.count_if(F.lower("hitbox") == "head")
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("hp_dmg"), F.lit(0.0)).alias("sum_hp"), F.coalesce(F.sum("arm_dmg"), F.lit(0.0)).alias("sum_arm"),
-        F.coalesce(F.greatest(F.max("hp_dmg"), F.lit(0.0)), F.lit(0.0)).cast("int").alias("max_hp"), head.alias("headshot_count"),
+        F.sum("n").alias("count"), _total("hp_dmg").alias("sum_hp"), _total("arm_dmg").alias("sum_arm"),
+        F.coalesce(F.greatest(F.max("hp_max"), F.lit(0.0)), F.lit(0.0)).cast("int").alias("max_hp"), _n(F.lower("hitbox") == "head").alias("headshot_count"),
     )
 
 
 def tier1_rows(p: DataFrame) -> DataFrame:
-    return p.where(F.col("event_type").isin("damage", "kill") & F.col("map").isNotNull() & F.col("weapon").isNotNull())
+    return p.where(_in(p, "weapons") & F.col("event_type").isin("damage", "kill") & F.col("map").isNotNull() & F.col("weapon").isNotNull())
 
 
 def tier1(p: DataFrame) -> DataFrame:
@@ -55,41 +99,39 @@ def tier1(p: DataFrame) -> DataFrame:
 
 def tier2(p: DataFrame) -> DataFrame:
     """Maps, over all event types."""
-    kind = lambda t: F.count_if(F.col("event_type") == t)
-    meta = F.col("event_type") == "round_meta"
-    timed = meta & (F.col("end_seconds") > F.col("start_seconds"))
-    won = meta & F.col("winner_side").isNotNull()
-    return p.where("map IS NOT NULL").groupBy("map").agg(
-        F.count(F.lit(1)).alias("total"), kind("damage").alias("damage_count"), kind("kill").alias("kill_count"), kind("grenade").alias("grenade_count"), kind("round_meta").alias("round_meta_count"),
-        F.coalesce(F.sum(F.when((F.col("event_type") == "damage") & F.col("weapon").isNotNull(), F.col("hp_dmg"))), F.lit(0.0)).alias("weapon_damage"),
-        F.count_if((F.col("event_type") == "kill") & F.col("weapon").isNotNull()).alias("weapon_kills"),
-        F.count_if(won).alias("winners"), F.count_if(won & (F.col("winner_side") == "CT")).alias("ct_wins"), F.count_if(won & (F.col("winner_side") == "T")).alias("t_wins"),
-        F.coalesce(F.sum(F.when(timed, F.col("end_seconds") - F.col("start_seconds"))), F.lit(0.0)).alias("sum_round_secs"), F.count_if(timed).alias("round_count"),
+    events, armed = _in(p, "weapons"), F.col("weapon").isNotNull()
+    kind = lambda t: events & (F.col("event_type") == t)
+    meta = _in(p, "rounds") & (F.col("event_type") == "round_meta")
+    won = lambda side: _n(meta & (F.col("winner_side") == side))
+    return p.where(F.col("map").isNotNull() & (events | meta)).groupBy("map").agg(
+        _n(events).alias("total"), _n(kind("damage")).alias("damage_count"), _n(kind("kill")).alias("kill_count"), _n(kind("grenade")).alias("grenade_count"), _n(kind("round_meta")).alias("round_meta_count"),
+        _total("hp_dmg", kind("damage") & armed).alias("weapon_damage"), _n(kind("kill") & armed).alias("weapon_kills"),
+        _n(meta & F.col("winner_side").isNotNull()).alias("winners"), won("CT").alias("ct_wins"), won("T").alias("t_wins"),
+        _total("round_secs", meta).alias("sum_round_secs"), F.coalesce(F.sum(F.when(meta, F.col("timed"))), F.lit(0).cast("long")).alias("round_count"),
     )
 
 
 def tier3_rows(p: DataFrame) -> DataFrame:
-    return p.where("map IS NOT NULL AND att_pos_x IS NOT NULL AND att_pos_y IS NOT NULL").withColumns({"grid_x": S.grid(F.col("att_pos_x")), "grid_y": S.grid(F.col("att_pos_y"))})
+    return p.where(_in(p, "squares") & F.col("map").isNotNull() & F.col("grid_x").isNotNull() & F.col("grid_y").isNotNull())
 
 
 def tier3(p: DataFrame) -> DataFrame:
     """Squares of maps; grenades count as damage."""
-    return tier3_rows(p).groupBy("map", "grid_x", "grid_y").agg(F.count_if(F.col("event_type").isin("damage", "grenade")).alias("damage_count"), F.count_if(F.col("event_type") == "kill").alias("kill_count"))
+    return tier3_rows(p).groupBy("map", "grid_x", "grid_y").agg(_n(F.col("event_type").isin("damage", "grenade")).alias("damage_count"), _n(F.col("event_type") == "kill").alias("kill_count"))
 
 
 def tier4(p: DataFrame) -> DataFrame:
     """Round types on maps; economies count where both sides' are known."""
-    rows = p.where("event_type = 'round_meta' AND map IS NOT NULL AND round_type IS NOT NULL")
-    both = F.col("ct_eq_val").isNotNull() & F.col("t_eq_val").isNotNull()
-    side = lambda s: F.count_if(F.col("winner_side") == s)
+    rows = p.where(_in(p, "rounds") & (F.col("event_type") == "round_meta") & F.col("map").isNotNull() & F.col("round_type").isNotNull())
+    side = lambda s: _n(F.col("winner_side") == s)
     return rows.groupBy("map", "round_type").agg(
-        F.count(F.lit(1)).alias("count"), F.count("winner_side").alias("winners"), side("CT").alias("ct_wins"), side("T").alias("t_wins"),
-        F.coalesce(F.sum(F.when(both, F.col("ct_eq_val"))), F.lit(0.0)).alias("sum_ct_eq"), F.coalesce(F.sum(F.when(both, F.col("t_eq_val"))), F.lit(0.0)).alias("sum_t_eq"), F.count_if(both).alias("eq_count"),
+        F.sum("n").alias("count"), _n(F.col("winner_side").isNotNull()).alias("winners"), side("CT").alias("ct_wins"), side("T").alias("t_wins"),
+        _total("ct_eq").alias("sum_ct_eq"), _total("t_eq").alias("sum_t_eq"), F.coalesce(F.sum("eq_n"), F.lit(0).cast("long")).alias("eq_count"),
     )
 
 
 def tier5_rows(p: DataFrame) -> DataFrame:
-    return p.where(F.col("event_type").isin("damage", "kill") & F.col("weapon").isNotNull())
+    return p.where(_in(p, "weapons") & F.col("event_type").isin("damage", "kill") & F.col("weapon").isNotNull())
 
 
 def tier5(p: DataFrame) -> DataFrame:
@@ -132,10 +174,11 @@ def weapon_map_texts(p: DataFrame) -> DataFrame:
 
 def map_texts(p: DataFrame) -> DataFrame:
     base = tier2(p)
-    dmg = p.where("event_type = 'damage' AND map IS NOT NULL AND weapon IS NOT NULL AND hp_dmg IS NOT NULL").groupBy("map", "weapon").agg(F.sum("hp_dmg").alias("v"), F.min("src_ord").alias("first"))
+    events = p.where(_in(p, "weapons") & F.col("map").isNotNull())
+    dmg = events.where("event_type = 'damage' AND weapon IS NOT NULL AND hp_dmg IS NOT NULL").groupBy("map", "weapon").agg(F.sum("hp_dmg").alias("v"), F.min("hp_ord").alias("first"))
     dmg = dmg.withColumn("place", F.row_number().over(Window.partitionBy("map").orderBy(F.col("v").desc(), "first"))).where("place <= 5").join(base.select("map", "weapon_damage"), "map")
     top_damage = listed(dmg, ["map"], "top_damage", F.concat("weapon", F.lit(" ("), S.percent(F.col("v"), F.col("weapon_damage")), F.lit("%)")))
-    kills = histogram(p.where("event_type = 'kill' AND map IS NOT NULL"), ["map"], "weapon", 5).join(base.select("map", "weapon_kills"), "map")
+    kills = histogram(events.where("event_type = 'kill'"), ["map"], "weapon", 5).join(base.select("map", "weapon_kills"), "map")
     top_kills = listed(kills, ["map"], "top_kills", F.concat("weapon", F.lit(" ("), S.percent(F.col("n"), F.col("weapon_kills")), F.lit("%)")))
     n = lambda c: S.thousands(F.col(c))
     text = F.concat(
@@ -186,8 +229,9 @@ def weapon_texts(p: DataFrame) -> DataFrame:
 
 def documents(events: DataFrame, run_id: str, prefix: str = "matches", source_run_id: str = "gold-run", max_rows: int | None = None) -> DataFrame:
     """All tiers as doc_id, doc_index, document_tier, text, metadata. Numbers run over tiers and their sorted keys; the
-    rows numbered are aggregates, so that one sort is small whatever the number of events."""
-    p = prepared(events, max_rows)
+    rows numbered are aggregates, so that one sort is small whatever the number of events. The events are read once, when
+    this is called: their totals are written to the session's shared folder, and the documents are made from there."""
+    p = written(totals(prepared(events, max_rows)), "document-totals")
     weapon, maps, zones, kinds, global_ = weapon_map_texts(p), map_texts(p), hotspot_texts(p), round_type_texts(p), weapon_texts(p)
     s = lambda c: F.col(c).cast("string")
     null = F.lit(None).cast("string")

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import catalog, documents, learning, reports, retrieval, rounds
+from ..session import new_folder
 from . import adapter as A
 from .telemetry import ORACLES, T, _docs, match, query, raw, supervised_features
 
-#: Where queries write what they read back, if spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_FOLDER = "/tmp/checkpoints/matchlake"
 PART_ROWS = 100
 
 
 def _folder(spark, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or LOCAL_FOLDER).rstrip('/')}/records/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, "records", name)
 
 
 @query(f"SELECT rows_read, rows_output, rows_removed, duplicate_round_keys, 'silver-1' AS silver_run_id FROM ({ORACLES['silver_quality']})")
