@@ -24,32 +24,46 @@ def clean_cell(c: Column) -> Column:
     return F.nullif(F.btrim(c.cast("string"), F.lit(WHITE_SPACE)), F.lit(""))
 
 
-def winner_side(c: Column) -> Column:
-    name = F.upper(clean_cell(c))
+def side_name(c: Column) -> Column:
+    return F.upper(clean_cell(c))
+
+
+def side_of(name: Column) -> Column:
     return F.when(name.isin(*CT_NAMES), "CT").when(name.isin(*T_NAMES), "T")
 
 
+def winner_side(c: Column) -> Column:
+    return side_of(side_name(c))
+
+
 def decimal_of(c: Column) -> Column:
     return clean_cell(c).try_cast(DECIMAL)
 
 
-def positive_int(c: Column) -> Column:
-    """The whole part of a number above zero."""
-    n = decimal_of(c).try_cast("int")
+def positive_of(d: Column) -> Column:
+    """The whole part of a decimal above zero."""
+    n = d.try_cast("int")
     return F.when(n > 0, n)
 
 
+def positive_int(c: Column) -> Column:
+    return positive_of(decimal_of(c))
+
+
 def canonical(d: Column) -> Column:
     """A decimal without exponent, trailing zeros or a bare point."""
     return F.regexp_replace(F.replace(F.format_number(d, 10), F.lit(","), F.lit("")), r"\.?0+$", "")
 
 
-def amount(c: Column) -> Column:
-    """A number of at least zero, as a decimal."""
-    d = decimal_of(c)
+def amount_of(d: Column) -> Column:
+    """A decimal of at least zero."""
     return F.when(d >= 0, d)
 
 
+def amount(c: Column) -> Column:
+    return amount_of(decimal_of(c))
+
+
 def finite(c: Column) -> Column:
     d = clean_cell(c).try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)

@@ -35,20 +35,23 @@ def alias_of(df: DataFrame, name: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """`src_ord` and columns that are worked out once a row however often they are used: filters on them stay above the
+    generator, and projections do not merge with it."""
+    return rows.select("src_ord", F.inline(F.array(F.struct(*columns))))
+
+
 def silver_checked(raw: DataFrame) -> DataFrame:
     """Raw rows with a source ordinal `src_ord` -> the columns of SILVER, `src_ord` and the reason of a rejection."""
-    side = S.clean_cell(F.col("winner_side")) if "winner_side" in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(
-        "src_ord",
-        *[alias_of(raw, c).alias(f"raw_{c}") for c in ("file", "round", "map", "ct_eq_val", "t_eq_val")],
-        side.alias("raw_winner"),
-        F.coalesce(alias_of(raw, "round_type"), F.lit("unknown")).alias("round_type"),
-    )
-    lacks = reduce(lambda a, b: a | b, (F.col(f"raw_{c}").isNull() for c in ("file", "round", "map", "winner", "ct_eq_val", "t_eq_val")))
-    winner, n = S.winner_side(F.col("raw_winner")), S.positive_int(F.col("raw_round"))
-    ct, t = S.amount(F.col("raw_ct_eq_val")), S.amount(F.col("raw_t_eq_val"))
-    reason = F.when(lacks, REASONS[0]).when(winner.isNull(), REASONS[1]).when(n.isNull(), REASONS[2]).when(ct.isNull() | t.isNull(), REASONS[3])
-    return rows.select("src_ord", F.col("raw_file").alias("file"), n.alias("round_number"), F.col("raw_map").alias("map"), "round_type", winner.alias("winner_side_current"), ct.alias("ct_eq_val"), t.alias("t_eq_val"), reason.alias("reason"))
+    side = S.side_name(F.col("winner_side")) if "winner_side" in raw.columns else F.lit(None).cast("string")
+    cells = once(raw, *[alias_of(raw, c).alias(c) for c in ("file", "round", "map", "ct_eq_val", "t_eq_val", "round_type")], side.alias("winner"))
+    number = lambda c: F.col(c).try_cast(S.DECIMAL)
+    lacks = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in ("file", "round", "map", "winner", "ct_eq_val", "t_eq_val")))
+    rows = once(cells, "file", "map", "round_type", lacks.alias("lacks"), S.side_of(F.col("winner")).alias("winner"), number("round").alias("n"), number("ct_eq_val").alias("ct"), number("t_eq_val").alias("t"))
+    n, ct, t = S.positive_of(F.col("n")), S.amount_of(F.col("ct")), S.amount_of(F.col("t"))
+    reason = F.when(F.col("lacks"), REASONS[0]).when(F.col("winner").isNull(), REASONS[1]).when(n.isNull(), REASONS[2]).when(ct.isNull() | t.isNull(), REASONS[3])
+    kind = F.coalesce("round_type", F.lit("unknown")).alias("round_type")
+    return rows.select("src_ord", "file", n.alias("round_number"), "map", kind, F.col("winner").alias("winner_side_current"), ct.alias("ct_eq_val"), t.alias("t_eq_val"), reason.alias("reason"))
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -78,10 +81,13 @@ def silver_quality(raw: DataFrame, files: int | None = None) -> DataFrame:
 def gold_checked(rows: DataFrame) -> DataFrame:
     """Silver rows (text or typed) -> typed columns, `src_ord` and whether the row is valid."""
     need(rows, SILVER, "silver input")
-    cell = lambda c: S.clean_cell(F.col(c))
-    out = rows.select(
-        "src_ord", cell("file").alias("file"), S.positive_int(F.col("round_number")).alias("round_number"), cell("map").alias("map"), F.coalesce(cell("round_type"), F.lit("unknown")).alias("round_type"),
-        S.winner_side(F.col("winner_side_current")).alias("winner_side_current"), S.amount(F.col("ct_eq_val")).alias("ct_eq_val"), S.amount(F.col("t_eq_val")).alias("t_eq_val"),
+    cells = once(
+        rows, *[S.clean_cell(F.col(c)).alias(c) for c in ("file", "map", "round_type")], S.side_name(F.col("winner_side_current")).alias("winner"),
+        *[S.decimal_of(F.col(c)).alias(c) for c in ("round_number", "ct_eq_val", "t_eq_val")],
+    )
+    out = cells.select(
+        "src_ord", "file", S.positive_of(F.col("round_number")).alias("round_number"), "map", F.coalesce("round_type", F.lit("unknown")).alias("round_type"),
+        S.side_of(F.col("winner")).alias("winner_side_current"), S.amount_of(F.col("ct_eq_val")).alias("ct_eq_val"), S.amount_of(F.col("t_eq_val")).alias("t_eq_val"),
     )
     valid = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ("file", "round_number", "map", "winner_side_current", "ct_eq_val", "t_eq_val")))
     return out.withColumn("valid", valid)
