@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprints, html, language, minhash, mixing, packing, quality, rollup, warc
+from . import alignment, ann, conversations, fingerprints, html, language, minhash, mixing, packing, quality, rollup, suffixes, warc
 
 QUERIES = {
     "op1_token_counts": rollup.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_warc": warc.op10,
+    "op11_conversation_repair": conversations.op11,
+    "op12_suffix_dedup": suffixes.op12,
+    "op13_token_alignment": alignment.op13,
 }
 
 ORACLES = {
