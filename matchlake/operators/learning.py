@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import written
+from . import boosting
 from .rounds import consistency, feature_columns
 
 METRICS = ("roc_auc", "f1", "balanced_accuracy", "log_loss", "brier")
 MODELS = ("baseline_repeat_current", "logistic_regression", "hist_gradient_boosting")
 TARGET = "target_winner_side_next_code"
-#: For checkpoints on one machine.
-LOCAL_FOLDER = "/tmp/checkpoints/matchlake-learning"
 
 
 def _before(rows: DataFrame, by: list[str], bucket: Column, order: list[Column], *counted: str, down: bool = False) -> DataFrame:
@@ -155,15 +154,20 @@ class Preparation:
 
     @classmethod
     def fit(cls, rows: DataFrame, numeric: list[str], categorical: list[str]) -> Preparation:
-        medians = rows.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numeric]).first().asDict() if numeric else {}
-        medians = {k: 0.0 if v is None else v for k, v in medians.items()}
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numeric]
-        spread = rows.agg(*[f(v).alias(f"{c}_{k}") for c, v in zip(numeric, filled, strict=True) for k, f in (("mean", F.avg), ("std", F.stddev_pop))]).first().asDict() if numeric else {}
-        modes = {}
-        for c in categorical:
-            top = rows.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.col("count").desc(), c).first()
-            modes[c] = top[0] if top else "unknown"
-        return cls(numeric, categorical, {"median": medians, "mode": modes, **spread})
+        """One aggregate over the rows; of equally frequent values the least is taken."""
+        asked = []
+        for i, c in enumerate(numeric):
+            v = F.col(c).cast("double")
+            asked += [f(v).alias(f"{k}{i}") for k, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))] + [F.percentile(v, F.lit(0.5)).alias(f"median{i}")]
+        found = rows.agg(F.count(F.lit(1)).alias("rows"), *asked, *[F.mode(F.col(c), True).alias(f"mode{i}") for i, c in enumerate(categorical)]).first()
+        facts: dict = {"median": {}, "mode": {c: "unknown" if found[f"mode{i}"] is None else found[f"mode{i}"] for i, c in enumerate(categorical)}}
+        for i, c in enumerate(numeric):  # mean and deviation of the values once the median stands for those that are missing
+            n, mean, var, median = (found[f"{k}{i}"] or 0.0 for k in ("n", "mean", "var", "median"))
+            gone, rows_ = found["rows"] - n, max(found["rows"], 1)
+            facts["median"][c] = median
+            facts[f"{c}_mean"] = m = (n * mean + gone * median) / rows_
+            facts[f"{c}_std"] = math.sqrt((n * (var + (mean - m) ** 2) + gone * (median - m) ** 2) / rows_)
+        return cls(numeric, categorical, facts)
 
     def apply(self, rows: DataFrame) -> DataFrame:
         out = {}
@@ -188,36 +192,38 @@ class Trained:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """`rows` with the probability `p` that CT wins next."""
-        kept = rows.columns
-        return self.model.transform(self.preparation.apply(rows)).withColumn("p", vector_to_array("probability")[1]).select(*kept, "p")
-
-
-def _checkpoints(spark) -> None:
-    """Boosting cuts its lineage by checkpoints, without which hundreds of rounds overflow the stack. A cluster has its
-    folder in spark.checkpoint.dir; one machine takes a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty() and re.match(r"local(\[|$)", context.master):
-        context.setCheckpointDir(LOCAL_FOLDER)
+        made = self.preparation.apply(rows)
+        if isinstance(self.model, boosting.Boosted):
+            return made.withColumn("p", self.model.probability()).select(*rows.columns, "p")
+        return self.model.transform(made).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
 
 
 def train(rows: DataFrame, name: str, iterations: int = 350) -> Trained:
-    """One of MODELS[1:]; classes are weighted to balance."""
+    """One of MODELS[1:]. Classes are weighted to balance in the logistic regression. `rows` are read several times: give a
+    written table."""
     numeric, categorical = feature_columns(rows)
+    if name not in MODELS[1:]:
+        raise ValueError(f"unknown model {name}")
     prep = Preparation.fit(rows, numeric, categorical)
+    data = prep.apply(rows)
+    if name == "hist_gradient_boosting":
+        return Trained(name, prep, boosting.fit(data, TARGET, [f"x_{c}" for c in numeric], [f"c_{c}" for c in categorical], boosting.Settings(rounds=iterations)))
     per = {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
     n = sum(per.values())
     weights = F.create_map(*[F.lit(x) for k, c in per.items() for x in (k, n / (len(per) * c))])
-    data = prep.apply(rows).withColumn("_w", weights[F.col(TARGET)]).withColumn("label", F.col(TARGET).cast("double"))
-    if name == "logistic_regression":
-        model = LogisticRegression(maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="_w")
-    elif name == "hist_gradient_boosting":
-        _checkpoints(rows.sparkSession)
-        model = GBTClassifier(maxIter=iterations, maxDepth=6, stepSize=0.05, maxBins=255, seed=42)
-    else:
-        raise ValueError(f"unknown model {name}")
+    data = data.withColumn("_w", weights[F.col(TARGET)]).withColumn("label", F.col(TARGET).cast("double"))
+    model = LogisticRegression(maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="_w")
     return Trained(name, prep, _pipeline(numeric, categorical, model).fit(data))
 
 
+def written_split(frame: DataFrame, share: float = 0.2, seed: str = "42") -> DataFrame:
+    """The split frame, computed once and written in partitions of a size that learning is done over."""
+    frame = written(frame, "frame")
+    parts = -(-frame.count() // boosting.PARTITION_ROWS) or 1
+    split = group_split(frame, share, seed)
+    return written(split.coalesce(1) if parts == 1 else split.repartition(parts), "split")
+
+
 def permutation_importance(trained: Trained, rows: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance: the mean fall of ROC-AUC when a column's values are dealt out anew. Both orders are row
     numbers within salted buckets, so no sort takes one task. All features and repeats are one plan."""
@@ -244,10 +250,10 @@ def train_and_evaluate(frame: DataFrame, models=MODELS, share: float = 0.2, seed
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models: {sorted(unknown)}")
-    checks = consistency(frame).first()
+    split = written_split(frame, share, seed)
+    checks = consistency(split).first()
     if checks["duplicate_round_keys"] or not checks["target_shift_is_valid"] or not checks["lag1_is_past_only"]:
         raise ValueError(f"inconsistent supervised frame: {checks.asDict()}")
-    split = group_split(frame, share, seed)
     fit, test = split.where("NOT is_test"), split.where("is_test")
     said = None
     for name in models:

@@ -621,14 +621,14 @@ def train_logreg(spark, d):
 
 @query()
 def train_gbt(spark, d):
-    frame = learning.group_split(supervised_features(spark, d))
+    frame = learning.written_split(supervised_features(spark, d))
     model = learning.train(frame.where("NOT is_test"), "hist_gradient_boosting")
     return learning.metrics(model.predict(frame.where("is_test")), learning.TARGET)
 
 
 @query()
 def permutation_importance(spark, d):
-    frame = learning.group_split(supervised_features(spark, d))
+    frame = learning.written_split(supervised_features(spark, d))
     model = learning.train(frame.where("NOT is_test"), "logistic_regression")
     return learning.permutation_importance(model, frame.where("is_test"))
 
