@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import re
 import time
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import without_accents
+from . import fulltext
 
+LOG = logging.getLogger(__name__)
 BATCH = 256
 TOP_K = 5
 DEFAULT_RUN = "pipeline-docs"
@@ -26,7 +29,6 @@ FILTER_KEYS = ("event_type", "map", "file", "round", "document_tier", "weapon")
 STOP_WORDS = "a an as best better compare comparacao comparar comparison de do dos e em foi maior mais melhor modelo model o os para performou performance qual que resultado top".split()
 BEST_PHRASES = ("mais performou", "melhor desempenho", "melhor modelo", "best model", "best performer", "highest roc auc", "highest f1")
 BEST_WORDS = frozenset("best better desempenho melhor performou performance ranking top".split())
-ENGLISH_STOP_WORDS = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
 
 
 # ---- embedding runs
@@ -131,12 +133,14 @@ def sanitized(metadata: Column) -> Column:
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
+    """Null for vectors of no length, and for those with a component that is null or not finite."""
     q = [float(x) for x in query]
     lit = F.array(*map(F.lit, q))
     norm = math.sqrt(sum(x * x for x in q))
     dot = F.aggregate(F.zip_with(vector, lit, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
     own = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")))
-    return F.when((own > 0) & F.lit(norm > 0), dot / (own * F.lit(norm)))
+    score = dot / (own * F.lit(norm))
+    return F.when((own > 0) & F.lit(norm > 0) & ~F.isnan(score) & (own < float("inf")), score)
 
 
 def check_request(query: str, run_id: str, top_k: int) -> None:
@@ -170,8 +174,8 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, dim: int, digits
     rounded to `digits`, ties to the smaller id. Exact.
 
     Queries and vectors are cut into blocks of about `block` rows; each pair of blocks gives the k best of the vectors' block, and a query's are
-    merged. Rows of another dimension, with a null component or of no length take no part."""
-    spare = lambda df, i, v: df.select(F.col(i).cast("long").alias(i), F.transform(v, lambda x: x.cast("double")).alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
+    merged. Rows of another dimension, with a component that is null or not finite, or of no length take no part."""
+    spare = lambda df, i, v: df.select(F.col(i).cast("long").alias(i), F.transform(v, lambda x: x.cast("double")).alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()) & ~F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     number = F.monotonically_increasing_id()
     held, asked = spare(vectors, "vec_id", "embedding"), spare(queries, "query_id", "query")
     n, m = (max(1, math.ceil(df.count() / block)) for df in (held, asked))
@@ -258,55 +262,16 @@ def lexical_fallback(runs: DataFrame, query: str, k: int = TOP_K, model_filter:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= k)
 
 
-def stem(c: Column) -> Column:
-    """The commonest English endings off; both sides of a match are treated alike."""
-    c = F.regexp_replace(c, "(sses)$", "ss")
-    c = F.regexp_replace(c, "ies$", "i")
-    c = F.regexp_replace(c, "(?<=[a-z]{3})(?<!s)s$", "")
-    c = F.regexp_replace(c, "(?<=[a-z]{3})(ing|ed)$", "")
-    return F.regexp_replace(c, "(?<=[a-z]{2})(y|e)$", "")
+#: What tells training runs apart.
+RUN_KEY = ["run_id", "model_name"]
 
 
-def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives ("or") of conditions (wanted or "-not", words; several words are a phrase)."""
-    out: list[list[tuple[bool, list[str]]]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        if not minus and word.lower() == "or":
-            out.append([])
-            continue
-        words = [w for w in normal_query(phrase or word).split() if w not in ENGLISH_STOP_WORDS]
-        if words:
-            out[-1].append((not minus, words))
-    return [x for x in out if x]
-
-
-def fts(runs: DataFrame, query: str, k: int = TOP_K, model_filter: str | None = None) -> DataFrame:
-    """Runs whose text matches a web-style query: words are joined by and, with "or", -not and "phrases". The score is
-    the log of how often the words occur; it approximates, and does not equal, a database's rank."""
+def fts(runs: DataFrame, query: str, k: int = TOP_K, model_filter: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The k runs that a web-style query (words joined by and, "or", -not, "phrases") ranks highest; ties: the newest, then
+    by model. `index` has the runs' postings (`fulltext.postings` by RUN_KEY); without it they are made."""
     rows = runs if model_filter is None else runs.where(F.col("model_name") == model_filter)
-    words = F.transform(F.filter(F.split(S.normal_text(F.col("search_text")), " "), lambda x: ~x.isin(*ENGLISH_STOP_WORDS) & (x != "")), stem)
-    rows = rows.withColumn("_words", words)
-    one = lambda w: stem(F.lit(w))
-
-    def holds(wanted: bool, ws: list[str]) -> Column:
-        if len(ws) == 1:
-            test = F.array_contains("_words", one(ws[0]))
-        else:
-            spaced = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-            test = spaced.contains(F.concat(F.lit(" "), F.concat_ws(" ", *[one(w) for w in ws]), F.lit(" ")))
-        return test if wanted else ~test
-
-    test, asked = F.lit(False), []
-    for alternative in parse_query(query):
-        every = F.lit(True)
-        for wanted, ws in alternative:
-            every = every & holds(wanted, ws)
-            asked += ws if wanted else []
-        test = test | every
-    score = sum((F.log1p(F.size(F.filter("_words", lambda x, w=w: x == one(w))).cast("double")) for w in asked), F.lit(0.0))
-    found = rows.where(test).withColumn("score", score).drop("_words")
-    order = [F.col("score").desc(), F.col("created_at").desc(), F.col("model_name")]
-    return found.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    posted = fulltext.postings(rows, RUN_KEY) if index is None else index
+    return fulltext.search(posted, rows, query, RUN_KEY, k, [F.col("created_at").desc(), F.col("model_name"), F.col("run_id")])
 
 
 def lexical_search(runs: DataFrame, query: str, k: int = TOP_K, model_filter: str | None = None) -> DataFrame:
@@ -321,6 +286,7 @@ def hybrid_search(vectors: DataFrame | None, runs: DataFrame | None, query: str,
         try:
             out[name] = [r.asDict(recursive=True) for r in run().orderBy("rank").collect()]  # k rows
         except Exception:  # noqa: BLE001  the other branch answers
+            LOG.exception("%s search failed", name)
             out[name] = []
     return out | {"retrieval_ms": (time.time() - began) * 1000}
 

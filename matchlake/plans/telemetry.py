@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import catalog, documents, learning, retrieval, rounds
+from ..operators import catalog, documents, fulltext, learning, retrieval, rounds
+from ..session import new_folder
 from ..sources import files
 from . import adapter as A
 
@@ -425,9 +426,45 @@ def lexical_fallback_metric(spark, d):
 _WORDS = f"list_filter(string_split({_NORM.replace('{c}', 'search_text')}, ' '), lambda x: x <> '')"
 
 
-@query(f"SELECT run_id FROM r WHERE list_contains({_WORDS}, 'furniture') AND NOT list_contains({_WORDS}, 'nomatch') ORDER BY created_at DESC, model_name LIMIT 20", r=A.RUNS)
+# Of one conjunction, the rank is made of pairs: here one pair of words, next to each other.
+_NEAR = "0.1 * sqrt(1 / (1.005 + 0.05 * exp(1 / 1.5 - 2)))"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY created_at DESC, model_name) AS INT) AS rank, run_id, round({_NEAR}, 9) AS score FROM r WHERE list_contains({_WORDS}, 'furniture') AND NOT list_contains({_WORDS}, 'nomatch') ORDER BY 1 LIMIT 20", r=A.RUNS)
 def fts_match(spark, d):
-    return retrieval.fts(_runs(spark, d), "furniture features -nomatch", 20).select("run_id")
+    return retrieval.fts(_runs(spark, d), "furniture featured -nomatch", 20).select("rank", "run_id", F.round("score", 9).alias("score"))
+
+
+def _index(spark, d):
+    """A written index of the documents' words."""
+    folder = new_folder(spark, "index", "documents")
+    fulltext.write_index(fulltext.postings(A.read(spark, d, "documents"), ["doc_id"], "text"), folder)
+    return spark.read.parquet(folder)
+
+
+#: Words of a term, by the rules of the stemmer, as far as these texts can have them.
+_TERM = "CASE WHEN regexp_full_match(w, 'thon(s|ly|lyed|lying)?') THEN 'thon' WHEN regexp_full_match(w, 'ther(s|ly|lyed|lying)?') THEN 'ther' WHEN regexp_full_match(w, 'thor(s|ly|lyed|lying)?') THEN 'thor' WHEN regexp_full_match(w, 'tion(s|es|ed|ing|ly|edly|ingly|lyed|lying)?') THEN 'tion' END"
+_PLACES = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY p) AS j FROM (SELECT DISTINCT doc_id, {_TERM} AS term, least(i, 16383) AS p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+  (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\d+\\.\\d+|[\\p{{L}}\\p{{N}}]+') AS ws FROM documents))) WHERE term IS NOT NULL) WHERE j <= 256"""
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM (SELECT doc_id, round(sum(0.1 / (j * j)) / (4 * pi() * pi() / 6), 9) AS score FROM p GROUP BY doc_id
+  HAVING bool_or(term = 'tion') OR (bool_or(term = 'thor') AND NOT bool_or(term = 'tion')) OR doc_id IN (SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'thon' AND b.term = 'ther' AND b.p = a.p + 1)) ORDER BY 1 LIMIT 100""", p=_PLACES)
+def fts_rank_or(spark, d):
+    best = fulltext.search(_index(spark, d), A.read(spark, d, "documents").select("doc_id"), 'tions or "thon ther" or thorlying -tioned', ["doc_id"], 100, [F.col("doc_id")])
+    return best.select("rank", "doc_id", F.round("score", 9).alias("score"))
+
+
+@query("""SELECT a.doc_id, round(1 - product(1 - 0.1 * sqrt(CASE WHEN abs(a.p - b.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5 - 2)) END)), 9) AS score FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'thon' AND b.term = 'ther' AND a.p <> b.p
+  WHERE a.doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'thor') GROUP BY a.doc_id""", p=_PLACES)
+def fts_rank_and(spark, d):
+    found = fulltext.matches(_index(spark, d), "thonly ther -thorly", ["doc_id"])
+    return found.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'thor' AND b.term = 'tion' AND b.p = a.p + 2 GROUP BY 1", p=_PLACES)
+def fts_phrase_over_stop_word(spark, d):
+    return fulltext.matches(_index(spark, d), '"thor of tion"', ["doc_id"]).select("doc_id")
 
 
 @query(f"""SELECT 'semantic' AS source, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id::VARCHAR AS id FROM (SELECT vec_id, round({_SIM}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10)
