@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text
@@ -117,9 +117,25 @@ def _emissions(data, starts, ends, table: np.ndarray) -> np.ndarray:
 def forward_backward(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marginals of a chain of words. scores: (n, k) log potentials; first: where a sequence begins; transition (k, k)
     and start (k): log potentials."""
+    before, after = passes(scores, first, transition, start)
+    gamma = before * after
+    return gamma / gamma.sum(axis=1, keepdims=True)
+
+
+def pair_marginals(before: np.ndarray, after: np.ndarray, potentials: np.ndarray, transition: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For words `at`, none the first of its sequence: the probabilities of the labels of the word before and of the word, from
+    the pass that ends before it, the transition, the word's own potentials and the pass that begins after it."""
+    own = np.exp(potentials[at] - potentials[at].max(axis=1, keepdims=True)) * after[at]
+    pair = before[at - 1][:, :, None] * np.exp(transition - transition.max())[None] * own[:, None, :]
+    return pair / pair.sum(axis=(1, 2), keepdims=True)
+
+
+def passes(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward pass up to each word, its own potentials included, and the backward pass from the words after it, each
+    row up to a factor."""
     n, k = scores.shape
     if not n:
-        return scores
+        return scores, scores
     blocks = -(-n // BLOCK)
     p = np.zeros((blocks * BLOCK, k))
     p[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -150,14 +166,26 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transition: np.ndarr
         v = np.where(f[:, t, None], v.sum(axis=1, keepdims=True) * s, v @ a) * p[:, t]
         v = v / v.sum(axis=1, keepdims=True)
         alpha[:, t] = v
+    beta = np.zeros_like(p)
     v = out
     for t in range(BLOCK - 1, -1, -1):
-        alpha[:, t] *= v
+        beta[:, t] = v
         v = v * p[:, t]
         v = np.where(f[:, t, None], (v * s).sum(axis=1, keepdims=True), v @ a.T)
         v = v / v.sum(axis=1, keepdims=True)
-    gamma = alpha.reshape(-1, k)[:n]
-    return gamma / gamma.sum(axis=1, keepdims=True)
+    return alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n]
+
+
+def gradients(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log likelihood of the labels: by the scores, the transitions and the starts. What is seen less what is expected."""
+    before, after = passes(scores, first, transition, start)
+    gamma = before * after
+    delta = -gamma / gamma.sum(axis=1, keepdims=True)
+    delta[np.arange(len(label)), label] += 1
+    follow = np.flatnonzero(~first)
+    d_transition = -pair_marginals(before, after, scores, transition, follow).sum(axis=0)
+    np.add.at(d_transition, (label[follow - 1], label[follow]), 1)
+    return delta, d_transition, delta[first].sum(axis=0)
 
 
 class LanguageModel:
@@ -230,16 +258,7 @@ def _train(rows: list[tuple[str, bytes]], seed: int = 7) -> LanguageModel:
             used, width = slots[np.concatenate(spans)], np.array([len(x) for x in spans])
             edge = np.concatenate(([0], np.cumsum(width)[:-1]))
             scores = np.add.reduceat(table[used], edge, axis=0)[back]
-            gamma = forward_backward(scores, new, transition, start)
-            delta = -gamma
-            delta[np.arange(len(own)), y] += 1
-            # Expected transitions from the marginals of neighbours and the local potentials.
-            follow = np.flatnonzero(~new)
-            pair = gamma[follow - 1][:, :, None] * np.exp(transition)[None] * gamma[follow][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            d_transition = -pair.sum(axis=0)
-            np.add.at(d_transition, (y[follow - 1], y[follow]), 1)
-            d_start = delta[new].sum(axis=0)
+            delta, d_transition, d_start = gradients(scores, new, transition, start, y)
             by_kind = np.zeros((len(kinds), k))
             np.add.at(by_kind, back, delta)
             lanes, inverse = np.unique(used, return_inverse=True)
@@ -258,11 +277,11 @@ def _held_out():
 def fit_language(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learns from text and lang of the documents that are not held out."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select("doc_id", "lang", "text")
-    per = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    per = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).collect()}  # one row a language
     if not per:
         return _train([])
     quota, parts = max(1, train_docs // len(per)), 1_000_000
-    rates = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(parts, max(1, quota * parts // n)))])
+    rates = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(parts, 10 + int(1.1 * quota * parts / n)))])
 
     @text.tidy
     def runs(batches):
@@ -276,8 +295,11 @@ def fit_language(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out], pa.binary())], ["lang", "run"])
 
-    chosen = pool.select("doc_id", "lang", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.element_at(rates, F.col("lang")))
-    rows = chosen.mapInArrow(runs, "lang string, run binary").collect()  # the texts of train_docs documents
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    chosen = pool.where(draw < F.element_at(rates, F.col("lang"))).withColumn("draw", draw).dropDuplicates(["lang", "doc_id", "draw"])
+    least = Window.partitionBy("lang").orderBy("draw", "doc_id")  # a little more than `quota` rows a language
+    chosen = chosen.withColumn("place", F.row_number().over(least)).where(F.col("place") <= quota).select("lang", "text")
+    rows = chosen.mapInArrow(runs, "lang string, run binary").collect()  # the texts of train_docs documents at most
     return _train(sorted((r["lang"], bytes(r["run"])) for r in rows))
 
 

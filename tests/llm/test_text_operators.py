@@ -443,6 +443,38 @@ def test_forward_backward_is_exact():
     assert np.allclose(language.forward_backward(scores, first, a, s), whole)
 
 
+def test_gradients_of_the_chain_are_those_of_finite_differences():
+    rng, k, n = np.random.default_rng(8), 3, 7
+    scores, first, a, s, y = rng.normal(size=(n, k)), np.array([1, 0, 0, 0, 1, 0, 0], bool), rng.normal(size=(k, k)), rng.normal(size=k), rng.integers(0, k, n)
+
+    def likelihood(scores, a, s):
+        total = 0.0
+        for run in np.split(np.arange(n), np.flatnonzero(first)[1:]):
+            way = lambda z: s[z[0]] + scores[run, z].sum() + a[z[:-1], z[1:]].sum()  # noqa: E731, B023
+            total += way(y[run]) - np.log(sum(np.exp(way(np.array(z))) for z in itertools.product(range(k), repeat=len(run))))
+        return total
+
+    for got, where in zip(language.gradients(scores, first, a, s, y), (0, 1, 2), strict=True):
+        want, parts = np.zeros_like(got), [scores, a, s]
+        for i in np.ndindex(*got.shape):
+            step = np.zeros_like(got)
+            step[i] = 1e-5
+            up, down = (likelihood(*[x + d * step if j == where else x for j, x in enumerate(parts)]) for d in (1, -1))
+            want[i] = (up - down) / 2e-5
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_training_documents_are_bounded(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    twins = docs.union(docs.limit(1).crossJoin(spark.range(300)).select(docs.columns))
+    seen = []
+    monkeypatch.setattr(language, "_train", lambda rows: seen.append(rows))
+    language.fit_language(twins, 20)
+    languages = {r[0] for r in seen[0]}
+    longest = max(len((r.text or "").split()) for r in docs.collect())
+    assert languages == {r.lang for r in docs.select("lang").distinct().collect()} and len(seen[0]) <= 20 * (1 + longest // language.RUN)
+
+
 def test_language_of_held_out_documents(spark, data):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = language.op7(spark, data).collect()
@@ -453,8 +485,9 @@ def test_language_of_held_out_documents(spark, data):
 def test_language_of_odd_rows(spark, odd, none, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = language.fit_language(docs)
-    rows = {r.doc_id: r for r in language.predict(odd.select("doc_id", "text"), model).collect()}
-    assert all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (3, 4, 5, 9)) and rows[8].lang_pred in model.languages
+    label = language._labels(spark, model)
+    rows = {r.doc_id: r.x for r in odd.select("doc_id", label("text").alias("x")).collect()}
+    assert all((rows[i]["name"], rows[i]["score"]) == ("und", 0.0) for i in (3, 4, 5, 9)) and rows[8]["name"] in model.languages
     assert language.identify(none).count() == 0
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.keep_identified(odd).columns == odd.columns
