@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .keyed import KeyedTable
 
 STAGES = ("bronze", "silver", "gold", "documents", "embeddings")
 PARENT = {"silver": "bronze", "gold": "silver", "documents": "gold", "embeddings": "documents"}
@@ -25,19 +24,6 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], keep: str = "crea
     return both.withColumn("_rn", F.row_number().over(own.orderBy(F.col("_new").desc(), F.col("_ord").desc()))).where("_rn = 1").drop("_rn", "_new", "_ord")
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside `path` and swaps; for a single writer."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fresh, gone = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
-    goal = hadoop.Path(path)
-    fs = goal.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(goal):
-        fs.rename(goal, hadoop.Path(gone))
-    fs.rename(hadoop.Path(fresh), goal)
-    fs.delete(hadoop.Path(gone), True)
-
-
 def run_rows(rows: DataFrame) -> DataFrame:
     """An empty quality summary is stored as none."""
     return rows.withColumn("quality_summary", F.nullif("quality_summary", F.lit("{}")))
@@ -47,14 +33,15 @@ def register_runs(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Upserts completed runs of DATASET_RUNS by (run_id, stage) into the table at `path`, which is made if it is not there."""
     new = run_rows(spark.createDataFrame([], DATASET_RUNS).unionByName(rows, allowMissingColumns=True))
     new = new.withColumns({"status": F.coalesce("status", F.lit("completed")), "created_at": F.coalesce("created_at", F.current_timestamp())})
-    replace_table(spark, upsert(read_table(spark, path, DATASET_RUNS), new, ["run_id", "stage"]), path)
+    dataset_runs(spark, path).upsert(new)
+
+
+def dataset_runs(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, DATASET_RUNS, ["run_id", "stage"])
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed table; empty if it is not there yet."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def training_runs(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, TRAINING_RUNS, ["run_id", "model_name"])
 
 
 def get_run(runs: DataFrame, stage: str, run_id: str) -> DataFrame:
@@ -147,7 +134,7 @@ def training_rows(run_id: str, metrics: DataFrame, importances: DataFrame, by_ma
 
 def store_training(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Upserts rows of TRAINING_RUNS by (run_id, model_name)."""
-    replace_table(spark, upsert(read_table(spark, path, TRAINING_RUNS), rows, ["run_id", "model_name"]), path)
+    training_runs(spark, path).upsert(rows)
 
 
 def search_text(models: DataFrame) -> DataFrame:

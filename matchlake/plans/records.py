@@ -65,7 +65,7 @@ def run_evidence(spark, d):
     rows = spark.sql(text, c=A.view(spark, d, A.CATALOG)).withColumn("created_at", F.lit(None).cast("timestamp"))
     catalog.register_runs(spark, path, rows.withColumn("rows_output", F.lit(0).cast("long")))
     catalog.register_runs(spark, path, rows)
-    return catalog.artifact_flags(catalog.read_table(spark, path, catalog.DATASET_RUNS)).select("stage", "run_id", "evidence.rows_output", "has_events_key", "has_quality_summary")
+    return catalog.artifact_flags(catalog.dataset_runs(spark, path).read()).select("stage", "run_id", "evidence.rows_output", "has_events_key", "has_quality_summary")
 
 
 @query("SELECT 'documents' AS stage, 'docs-' || c_custkey AS run_id, 'missing_source_run_id' AS code FROM customer")
@@ -91,7 +91,7 @@ def training_results(spark, d):
     rows = catalog.training_rows("train-1", scores, importances, segments, segments)
     for _ in range(2):
         catalog.store_training(spark, path, rows)
-    back = catalog.read_table(spark, path, catalog.TRAINING_RUNS).withColumn("m", F.from_json("feature_importances", "map<string, double>"))
+    back = catalog.training_runs(spark, path).read().withColumn("m", F.from_json("feature_importances", "map<string, double>"))
     return back.select("model_name", "roc_auc", "run_id", F.explode_outer("m").alias("feature", "importance"))
 
 

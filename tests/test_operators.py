@@ -102,20 +102,25 @@ def test_semantic_search(spark):
 
 
 def training_runs(spark):
-    rows = [("t", "hist_gradient_boosting", 0.73, 0.7, 0.71, 0.51, 0.18, "hist gradient boosting roc_auc 0.73", "2026-04-11T12:00"), ("t", "logistic_regression", 0.68, 0.65, 0.66, 0.6, 0.22, "logistic regression roc_auc 0.68", "2026-04-11T11:00"), ("t", "none_yet", None, None, None, None, None, None, "2026-04-10")]
+    rows = [
+        ("spring", "hist_gradient_boosting", 0.81, 0.64, 0.75, 0.47, 0.15, "trees by histogram, boosted gradients", "2031-02-03T09:00"),
+        ("spring", "logistic_regression", 0.77, 0.69, 0.72, 0.52, 0.17, "a straight line through logits", "2031-02-03T08:00"),
+        ("autumn", "none_yet", None, None, None, None, None, None, "2030-11-20"),
+    ]
     return spark.createDataFrame(rows, "run_id string, model_name string, roc_auc double, f1 double, balanced_accuracy double, log_loss_val double, brier double, search_text string, created_at string")
 
 
 def test_lexical(spark):
     runs = training_runs(spark)
     names = lambda df: [r.model_name for r in df.orderBy("rank").collect()]
-    assert names(retrieval.lexical_search(runs, "qual foi o modelo que mais performou"))[:2] == ["hist_gradient_boosting", "logistic_regression"]
-    assert names(retrieval.lexical_search(runs, "melhor modelo logistic")) == ["logistic_regression"]
-    assert names(retrieval.lexical_fallback(runs, "best by brier"))[0] == "hist_gradient_boosting"
+    assert names(retrieval.lexical_search(runs, "melhor desempenho no roc auc"))[:2] == ["hist_gradient_boosting", "logistic_regression"]
+    assert names(retrieval.lexical_search(runs, "highest f1"))[:2] == ["logistic_regression", "hist_gradient_boosting"]
+    assert names(retrieval.lexical_search(runs, "regression ranking")) == ["logistic_regression"]
+    assert names(retrieval.lexical_fallback(runs, "best by log loss"))[0] == "hist_gradient_boosting"
     assert names(retrieval.lexical_search(runs, "top", model_filter="logistic_regression")) == ["logistic_regression"]
-    assert names(retrieval.fts(runs, "regressions")) == ["logistic_regression"]
-    assert names(retrieval.fts(runs, '"gradient boosting" -logistic')) == ["hist_gradient_boosting"]
-    assert set(names(retrieval.fts(runs, "gradient or logistic"))) == {"hist_gradient_boosting", "logistic_regression"}
+    assert names(retrieval.fts(runs, "boosting tree")) == ["hist_gradient_boosting"]
+    assert names(retrieval.fts(runs, '"straight line" -trees')) == ["logistic_regression"]
+    assert set(names(retrieval.fts(runs, "gradient or logit"))) == {"hist_gradient_boosting", "logistic_regression"}
     assert retrieval.hybrid_search(None, runs, "logistic regression", None)["semantic"] == []
     assert retrieval.metric_asked("log loss")[0] == "log_loss_val" and retrieval.metric_asked("balanced accuracy")[0] == "balanced_accuracy"
     assert S.without_accents("Ação") == "acao"
@@ -154,15 +159,11 @@ def test_lineage(spark):
     assert (s.length, s.hops, s.complete, s.status) == (5, 4, True, "ok")
 
 
-def test_upsert_keeps_the_first_time(spark, tmp_path):
+def test_upsert_keeps_the_first_time(spark):
     new = spark.createDataFrame([("bar-4", "gold", "redone", "p", "wash-4", 99), ("new", "gold", "completed", "p", "wash-4", 50)], "run_id string, stage string, status string, dataset_prefix string, source_run_id string, created_at int")
     out = {(r.run_id, r.status, r.created_at) for r in catalog.upsert(runs(spark), new, ["run_id", "stage"]).where("stage = 'gold'").collect()}
     assert out == {("bar-4", "redone", 2), ("new", "completed", 50)}
     assert catalog.latest_run(runs(spark).union(new.where("run_id = 'new'")), "gold").first().run_id == "new"
-    path = str(tmp_path / "t")
-    for _ in range(2):
-        catalog.replace_table(spark, runs(spark), path)
-    assert spark.read.parquet(path).count() == 5
 
 
 def test_search_text(spark):
@@ -257,7 +258,7 @@ def test_streamed_rounds(spark, tmp_path):
     for k, winner in ((1, "CT"), (2, "T")):
         spark.createDataFrame([(k, "d", "1", "m", winner, "1", "2"), (k, "d", "x", "m", winner, "1", "2")], schema).write.mode("append").parquet(source)
         streaming.upsert_rounds(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "cp")).awaitTermination()
-    assert [(r.round_number, r.winner_side_current) for r in spark.read.parquet(table).collect()] == [(1, "T")]
+    assert [(r.round_number, r.winner_side_current) for r in streaming.rounds_table(spark, table).read().collect()] == [(1, "T")]
 
 
 def test_paths_and_ids(spark):
