@@ -1,3 +1,3 @@
 """Registered queries over the tables at hand, each with the SQL that it is compared with."""
 
-from . import records  # noqa: F401  (registers its queries beside those of `telemetry`)
+from . import exchange, records  # noqa: F401  (they register their queries beside those of `telemetry`)
