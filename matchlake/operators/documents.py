@@ -32,9 +32,16 @@ def prepared(events: DataFrame, max_rows: int | None = None) -> DataFrame:
             raise ValueError(f"events need a column {c}")
     cells = ("map", "weapon", "hitbox", "att_side", "nade", "winner_side", "round_type")
     numbers = ("hp_dmg", "arm_dmg", "att_pos_x", "att_pos_y", "ct_eq_val", "t_eq_val", "start_seconds", "end_seconds")
-    cell = lambda c, of, kind: of(F.col(c)).alias(c) if c in events.columns else F.lit(None).cast(kind).alias(c)
+    kinds = dict(events.dtypes)
+
+    def number(c: str) -> Column:
+        """Whole numbers need no parsing."""
+        return F.col(c).cast("double") if kinds[c] in ("tinyint", "smallint", "int", "bigint") else S.finite(F.col(c))
+
+    cell = lambda c, of, kind: of(c).alias(c) if c in kinds else F.lit(None).cast(kind).alias(c)
     rows = events if max_rows is None else events.where(F.col("src_ord") < max_rows)
-    rows = rows.select("src_ord", "event_type", *[cell(c, S.clean_cell, "string") for c in cells], *[cell(c, S.finite, "double") for c in numbers])
+    made = [cell(c, lambda c: S.clean_cell(F.col(c)), "string") for c in cells] + [cell(c, number, "double") for c in numbers]
+    rows = rows.select("src_ord", "event_type", F.inline(F.array(F.struct(*made))))  # below a generator, each cell is parsed once
     both = F.col("ct_eq_val").isNotNull() & F.col("t_eq_val").isNotNull()
     timed, placed = F.col("end_seconds") > F.col("start_seconds"), F.col("att_pos_x").isNotNull() & F.col("att_pos_y").isNotNull()
     one = F.lit(1).cast("long")
