@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.ml import Pipeline
@@ -133,6 +134,22 @@ def seeded_sample(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:
     return rows.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
+def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, corr of all pairs of numeric columns, over rows where both are there; one pass over the rows."""
+    pairs = list(itertools.combinations(columns, 2))
+    v = lambda c: F.col(c).cast("double")
+    one = rows.agg(*[F.corr(v(a), v(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, count, mean, std, min, p25, p50, p75, max of numeric columns; one pass over the rows. Quartiles are
+    interpolated between distinct values, of which a column of measurements has few."""
+    facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": lambda c: F.percentile(c, F.lit(0.25)), "p50": lambda c: F.percentile(c, F.lit(0.5)), "p75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
+    one = rows.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in facts.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), *[F.col(f"{k}{i}").alias(k) for k in facts]) for i, c in enumerate(columns)])))
+
+
 def unpivot_metrics(table: DataFrame, names=METRICS) -> DataFrame:
     return table.unpivot(["model_name"], list(names), "metric", "value")
 

@@ -88,11 +88,15 @@ def delete_run(vectors: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
     return vectors.where(F.coalesce(F.col("embedding_run_id") != run_id, F.lit(True))), vectors.agg(F.count_if(F.col("embedding_run_id") == run_id).alias("deleted_rows"))
 
 
+def after_line(docs: DataFrame, resume_from: int, id_column: str = "doc_id") -> DataFrame:
+    """The documents with a line number (doc_line) beyond those that are done."""
+    return docs.withColumn("doc_line", S.doc_line(F.col(id_column))).where(F.col("doc_line") > resume_from)
+
+
 def embed_documents(docs: DataFrame, run_id: str, embed: Callable[[list[str]], list[list[float]]], dim: int, model: str = "hashing", batch: int = BATCH, resume_from: int = 0, max_documents: int | None = None, source_run_id: str | None = None, prefix: str | None = None) -> DataFrame:
     """doc_id, text, metadata -> vectors of run `run_id`, a batch at a time in the tasks; documents up to `resume_from` are
-    passed over before anything is embedded."""
-    line = S.doc_line(F.col("doc_id"))
-    rows = docs.withColumn("doc_line", line).where(F.col("doc_line") > resume_from)
+    passed over before anything is embedded. `embed` is called in the tasks: a `models.Model` is made once a worker."""
+    rows = after_line(docs, resume_from)
     if max_documents is not None:
         rows = rows.orderBy("doc_line").limit(max_documents)
     rows = rows.withColumn("metadata", run_metadata(F.col("metadata"), F.col("doc_id"), run_id, model, source_run_id, prefix))
@@ -259,7 +263,15 @@ def lexical_fallback(runs: DataFrame, query: str, k: int = TOP_K, model_filter:
     else:
         rows = rows.where("text_overlap > 0").withColumn("score", F.col("text_overlap").cast("double"))
         order = [F.col("text_overlap").desc(), F.col("model_overlap").desc(), F.col("created_at").cast("string").desc(), F.col("model_name").desc()]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= k)
+    return decoded(rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= k))
+
+
+def decoded(found: DataFrame) -> DataFrame:
+    """Rows of a search over training runs with their JSON decoded: importances as a map of numbers, segments as a map of maps
+    of metrics. What is no such JSON is null."""
+    kinds = {"feature_importances": "map<string,double>", "map_segment_metrics": "map<string,map<string,double>>", "half_segment_metrics": "map<string,map<string,double>>"}
+    texts = dict(found.dtypes)
+    return found.withColumns({c: F.try_variant_get(F.try_parse_json(c), "$", k) for c, k in kinds.items() if texts.get(c) == "string"})
 
 
 #: What tells training runs apart.
@@ -271,7 +283,7 @@ def fts(runs: DataFrame, query: str, k: int = TOP_K, model_filter: str | None =
     by model. `index` has the runs' postings (`fulltext.postings` by RUN_KEY); without it they are made."""
     rows = runs if model_filter is None else runs.where(F.col("model_name") == model_filter)
     posted = fulltext.postings(rows, RUN_KEY) if index is None else index
-    return fulltext.search(posted, rows, query, RUN_KEY, k, [F.col("created_at").desc(), F.col("model_name"), F.col("run_id")])
+    return decoded(fulltext.search(posted, rows, query, RUN_KEY, k, [F.col("created_at").desc(), F.col("model_name"), F.col("run_id")]))
 
 
 def lexical_search(runs: DataFrame, query: str, k: int = TOP_K, model_filter: str | None = None) -> DataFrame:
