@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .documents import part_manifest
 
 JSON = {"ignoreNullFields": "false"}
@@ -42,6 +43,35 @@ def document_report(events: DataFrame, docs: DataFrame, part_rows: int, **run: s
     return one.select(*_head(run), summary.alias("summary"), "parts")
 
 
+def upload_manifest(members: DataFrame, prefix: str, run_id: str) -> DataFrame:
+    """member (path within the archive), content -> one row: the run's names and, by path, each raw file's typed path, type,
+    size and object key. Its list has a name for each file of an archive."""
+    kind = S.file_kind(F.substring_index("member", "/", -1))
+    typed = F.concat_ws("/", kind, F.ltrim(F.translate("member", "\\", "/"), F.lit("/")))
+    one = F.struct(F.col("member").alias("relative_path"), typed.alias("typed_relative_path"), kind.alias("file_type"), F.concat(F.lit(f"{prefix}/{run_id}/extracted/"), typed).alias("object_key"), F.octet_length("content").cast("long").alias("size_bytes"))
+    return members.agg(F.sort_array(F.collect_list(one)).alias("files")).select(*_head({"dataset_prefix": prefix, "run_id": run_id}), "files")
+
+
+UPLOADED = "generated_at string, dataset_prefix string, run_id string, files array<struct<relative_path: string, typed_relative_path: string, file_type: string, object_key: string, size_bytes: long>>"
+
+
+def embedding_manifest(docs: DataFrame, vectors: DataFrame, part_rows: int, resume_from: int = 0, **run: str) -> DataFrame:
+    """One row: the run's names, summary, and for each part its rows, ids, and how many documents were passed over by
+    resuming, read, and indexed in this execution. A part stands for part_rows documents, so there are few."""
+    line = S.doc_line(F.col("doc_id"))
+    of = lambda n: (F.floor((n - 1) / part_rows) + 1).cast("int")
+    done = vectors.groupBy(of(F.col("doc_line")).alias("part")).agg(F.count(F.lit(1)).alias("indexed"))
+    parts = docs.groupBy(of(line).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min_by("doc_id", line).alias("first_doc_id"), F.max_by("doc_id", line).alias("last_doc_id"), F.count_if(line <= resume_from).alias("skipped"))
+    rows = parts.join(done, "part", "left").withColumns({"indexed": F.coalesce("indexed", F.lit(0).cast("long")), "read": F.col("rows") - F.col("skipped")})
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("part", "rows", "first_doc_id", "last_doc_id", "skipped", "read", "indexed"))).alias("parts"))
+    total = lambda c: F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p[c])
+    summary = F.struct(total("rows").alias("total_documents_read"), total("skipped").alias("resume_skipped_documents"), total("read").alias("execution_documents_read"), total("indexed").alias("execution_embeddings_indexed"), F.size("parts").alias("total_parts"), F.size(F.filter("parts", lambda p: p["skipped"] == p["rows"])).alias("resume_skipped_parts"))
+    return one.select(*_head(run), summary.alias("summary"), "parts")
+
+
+EMBEDDED = "embedding_run_id string, summary struct<total_documents_read: long, resume_skipped_documents: long, execution_documents_read: long, execution_embeddings_indexed: long, total_parts: int, resume_skipped_parts: int>, parts array<struct<part: int, rows: long, first_doc_id: string, last_doc_id: string, skipped: long, read: long, indexed: long>>"
+
+
 def embedding_report(docs: DataFrame, vectors: DataFrame, part_rows: int, resume_from: int = 0, **run: str) -> DataFrame:
     """One row: documents in all, passed over by resuming, read and indexed in this execution, and the parts that had any."""
     line = F.split_part("doc_id", F.lit(":"), F.lit(2)).cast("long")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, documents, learning, reports, retrieval, rounds
-from ..session import new_folder
+from ..session import new_folder, written
 from . import adapter as A
-from .telemetry import ORACLES, T, _docs, match, query, raw, supervised_features
+from .telemetry import ORACLES, SILVER, R, T, _docs, _gold_in, _runs, match, query, raw, supervised_features
 
 PART_ROWS = 100
 
@@ -155,3 +155,73 @@ def section_counts(spark, d):
 @query("SELECT c_name AS feature, c_acctbal AS coefficient FROM customer ORDER BY abs(c_acctbal) DESC, c_name LIMIT 15")
 def coefficient_ranking(spark, d):
     return learning.ranked_coefficients(A.read(spark, d, "customer").select(F.col("c_name").alias("feature"), F.col("c_acctbal").alias("coefficient")), 15)
+
+
+# ---- manifests, and what only tests had
+
+
+@query("""SELECT relative_path, kind || '/' || relative_path AS typed_relative_path, kind AS file_type, 'own/run-7/extracted/' || kind || '/' || relative_path AS object_key, size_bytes, 'run-7' AS run_id
+FROM (SELECT 'demos/' || page_id || CASE page_id % 5 WHEN 0 THEN '_meta.csv' WHEN 1 THEN '_kills.csv' WHEN 2 THEN '_dmg.csv' WHEN 3 THEN '.png' ELSE '_grenades.csv' END AS relative_path, CASE page_id % 5 WHEN 0 THEN 'round_meta' WHEN 1 THEN 'kills' WHEN 2 THEN 'damage' WHEN 3 THEN 'assets' ELSE 'grenades' END AS kind, strlen(html) AS size_bytes FROM pages)""")
+def upload_manifest(spark, d):
+    end = F.element_at(F.array(*map(F.lit, ("_meta.csv", "_kills.csv", "_dmg.csv", ".png", "_grenades.csv"))), (F.col("page_id") % 5 + 1).cast("int"))
+    members = A.read(spark, d, "pages").select(F.concat(F.lit("demos/"), F.col("page_id").cast("string"), end).alias("member"), F.encode("html", "UTF-8").alias("content"))
+    folder = _folder(spark, "upload-manifest")
+    reports.write_json(reports.upload_manifest(members, "own", "run-7"), folder)
+    return reports.read_json(spark, folder, reports.UPLOADED).select(F.explode("files").alias("f"), "run_id").select("f.*", "run_id")
+
+
+@query("""SELECT part, rows, first_doc_id, last_doc_id, skipped, rows - skipped AS read, rows - skipped AS indexed, (SELECT count(*) FROM numbered) AS total_documents_read FROM (SELECT CAST((doc_index - 1) // 100 + 1 AS INT) AS part, count(*) AS rows, arg_min(doc_id, doc_index) AS first_doc_id, arg_max(doc_id, doc_index) AS last_doc_id, count_if(doc_index <= 150) AS skipped FROM numbered GROUP BY 1)""", **T)
+def embedding_manifest(spark, d):
+    docs = written(_docs(spark, d), "docs")
+    vectors = retrieval.embed_documents(docs, "emb-1", retrieval.hashing_embedder(16), 16, resume_from=150)
+    folder = _folder(spark, "embedding-manifest")
+    reports.write_json(reports.embedding_manifest(docs, vectors, PART_ROWS, 150, embedding_run_id="emb-1"), folder)
+    return reports.read_json(spark, folder, reports.EMBEDDED).select(F.explode("parts").alias("p"), "summary.total_documents_read").select("p.*", "total_documents_read")
+
+
+_GOLD = f"SELECT file, round_number, map, round_type, winner_side_current AS winner_side_norm, (winner_side_current = 'CT')::INT AS winner_side_code, ct::DOUBLE AS ct_eq_val, t::DOUBLE AS t_eq_val, CAST(ct - t AS DECIMAL(38,10))::DOUBLE AS eq_diff, CASE WHEN (round_number - 1) % 30 < 15 THEN 'H1' ELSE 'H2' END AS half, (round_number > 30)::INT AS overtime_flag FROM ({SILVER})"
+
+
+@query(
+    "SELECT * FROM (SELECT *, lead(winner_side_code) OVER own AS target_winner_side_next_code, lag(eq_diff) OVER own AS eq_diff_lag1, lag(winner_side_code, 3) OVER own AS winner_side_code_lag3, round(avg(eq_diff_before) OVER (PARTITION BY file ORDER BY round_number ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS eq_diff_rollmean3 FROM (SELECT *, lag(eq_diff) OVER (PARTITION BY file ORDER BY round_number) AS eq_diff_before FROM g) WINDOW own AS (PARTITION BY file ORDER BY round_number)) WHERE target_winner_side_next_code IS NOT NULL".replace("SELECT * FROM (", "SELECT * EXCLUDE (eq_diff_before) FROM (", 1),
+    **R, g=_GOLD,
+)
+def context_round_frame(spark, d):
+    """Rounds of the Gold table, without events, as the frame that models learn from."""
+    frame = rounds.supervised(rounds.context_rounds(rounds.as_text(rounds.gold(_gold_in(spark, d)))))
+    names = ["file", "round_number", "map", "round_type", "winner_side_norm", "winner_side_code", "ct_eq_val", "t_eq_val", "eq_diff", "half", "overtime_flag", "target_winner_side_next_code", "eq_diff_lag1", "winner_side_code_lag3"]
+    return frame.select(*names, F.round("eq_diff_rollmean3", 6).alias("eq_diff_rollmean3"))
+
+
+@query("SELECT node_id, embedding_run_id, doc_line FROM (SELECT 'r:' || (vec_id + 1) AS node_id, vec_id % 3 AS k, vec_id + 1 AS doc_line FROM embeddings) , (VALUES ('old', 0), ('redone', 1), ('other', 2)) v(embedding_run_id, k2) WHERE CASE k2 WHEN 0 THEN k = 0 WHEN 1 THEN k = 2 ELSE k = 1 END")
+def runs_written_again(spark, d):
+    """Three runs are written, and one of them again: its rows are replaced, no other's."""
+    folder = _folder(spark, "vectors")
+    rows = A.read(spark, d, "embeddings").select(F.concat(F.lit("r:"), (F.col("vec_id") + 1).cast("string")).alias("node_id"), "embedding", (F.col("vec_id") + 1).alias("doc_line"), (F.col("vec_id") % 3).alias("k"))
+    of = lambda k, run: rows.where(F.col("k") == k).drop("k").withColumn("embedding_run_id", F.lit(run))
+    retrieval.write_run(of(0, "old").union(of(1, "redone")).union(of(1, "other")), folder)
+    retrieval.write_run(of(2, "redone"), folder)
+    return spark.read.parquet(folder).select("node_id", "embedding_run_id", "doc_line")
+
+
+_SIM0 = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY s DESC, node_id) AS INT) AS rank, 'd' || vec_id AS doc_id, 'kill' AS event_type, CASE WHEN vec_id % 4 > 0 THEN 'm' || vec_id % 4 END AS map, CAST(vec_id % 30 AS INT) AS round FROM (SELECT vec_id, 'r:' || vec_id AS node_id, {_SIM0} AS s FROM embeddings WHERE vec_id % 2 = 0) ORDER BY 1 LIMIT 20")
+def semantic_rows(spark, d):
+    """Rows of a filtered search, with the fields that a caller sees."""
+    rows = A.read(spark, d, "embeddings")
+    vector = list(rows.where("vec_id = 0").select("embedding").first()[0])
+    text = lambda c: c.cast("string")
+    meta = F.create_map(F.lit("doc_id"), F.concat(F.lit("d"), text(F.col("vec_id"))), F.lit("event_type"), F.when(F.col("vec_id") % 2 == 0, F.lit("kill")).otherwise(F.lit("damage")), F.lit("map"), F.when(F.col("vec_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("m"), text(F.col("vec_id") % 4))), F.lit("round"), text(F.col("vec_id") % 30), F.lit("_node"), F.lit("x"))
+    vectors = rows.select(F.concat(F.lit("r:"), text(F.col("vec_id"))).alias("node_id"), F.lit("t").alias("text"), meta.alias("metadata"), "embedding", F.when(F.col("vec_id") < 0, F.lit("another")).otherwise(F.lit("e")).alias("embedding_run_id"))
+    found = retrieval.semantic_search(vectors, "any", lambda texts: [vector], "e", 20, event_type="kill")
+    return found.select("rank", "doc_id", "event_type", "map", F.col("round").cast("int").alias("round"))
+
+
+@query("""SELECT run_id, run_id || '|' || replace(model_name, '_', ' ') || ' modelo ' || run_id || '|' || replace(model_name, '_', ' ') || ' performance desempenho model ranking comparacao compare metrics metricas best top winner melhor mais performou melhor modelo melhor desempenho'
+  || ' f1 ' || printf('%.4f', f1) || CASE WHEN roc_auc IS NULL THEN '' ELSE ' roc_auc ' || printf('%.4f', roc_auc) || ' roc auc ' || printf('%.4f', roc_auc) END || ' f1 score ' || printf('%.4f', f1) || ' eq_diff de_hill' AS search_text FROM r""", r=A.RUNS)
+def search_texts(spark, d):
+    runs = _runs(spark, d)
+    metrics = F.map_filter(F.map_from_arrays(F.array(F.lit("f1"), F.lit("roc_auc")), F.array("f1", "roc_auc")), lambda k, v: v.isNotNull())
+    return catalog.search_text(runs.select(F.concat("run_id", F.lit("|"), "model_name").alias("model_name"), metrics.alias("metrics"), F.array(F.lit("eq_diff")).alias("features"), F.array(F.lit("de_hill")).alias("segments"))).select(F.split_part("model_name", F.lit("|"), F.lit(1)).alias("run_id"), "search_text")
