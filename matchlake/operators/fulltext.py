@@ -201,7 +201,8 @@ def _rank(query: Query, positions: dict[str, Column]) -> Column:
                 rest = rest * F.coalesce(F.aggregate(pairs, F.lit(1.0), lambda s, c: s * c), F.lit(1.0))
         return F.when(rest == 1.0, F.lit(1e-20)).otherwise(1 - rest)
     each = (F.coalesce(F.aggregate(F.sequence(F.lit(1), F.size(positions[t])), F.lit(0.0), lambda s, j: s + WEIGHT / (j * j)), F.lit(0.0)) for t in terms)
-    return functools.reduce(lambda x, y: x + y, each) / F.lit(len(terms) * math.pi**2 / 6)
+    # equal but for the order of the terms that were added is equal
+    return F.round(functools.reduce(lambda x, y: x + y, each) / F.lit(len(terms) * math.pi**2 / 6), 12)
 
 
 def matches(posted: DataFrame, query: str | Query, key: list[str], docs: DataFrame | None = None) -> DataFrame:

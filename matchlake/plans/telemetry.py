@@ -463,7 +463,7 @@ _PLACES = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, t
   (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\d+\\.\\d+|[\\p{{L}}\\p{{N}}]+') AS ws FROM documents))) WHERE term IS NOT NULL) WHERE j <= 256"""
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM (SELECT doc_id, round(sum(0.1 / (j * j)) / (4 * pi() * pi() / 6), 9) AS score FROM p GROUP BY doc_id
+@query("""SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, round(score, 9) AS score FROM (SELECT doc_id, round(sum(0.1 / (j * j)) / (4 * pi() * pi() / 6), 12) AS score FROM p GROUP BY doc_id
   HAVING bool_or(term = 'tion') OR (bool_or(term = 'thor') AND NOT bool_or(term = 'tion')) OR doc_id IN (SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'thon' AND b.term = 'ther' AND b.p = a.p + 1)) ORDER BY 1 LIMIT 100""", p=_PLACES)
 def fts_rank_or(spark, d):
     best = fulltext.search(_index(spark, d), A.read(spark, d, "documents").select("doc_id"), 'tions or "thon ther" or thorlying -tioned', ["doc_id"], 100, [F.col("doc_id")])
@@ -477,9 +477,9 @@ def fts_rank_and(spark, d):
     return found.select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'thor' AND b.term = 'tion' AND b.p = a.p + 2 GROUP BY 1", p=_PLACES)
+@query("SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'tion' AND b.term = 'thon' AND b.p = a.p + 2 GROUP BY 1", p=_PLACES)
 def fts_phrase_over_stop_word(spark, d):
-    return fulltext.matches(_index(spark, d), '"thor of tion"', ["doc_id"]).select("doc_id")
+    return fulltext.matches(_index(spark, d), '"tions of thon"', ["doc_id"]).select("doc_id")
 
 
 @query(f"""SELECT 'semantic' AS source, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id::VARCHAR AS id FROM (SELECT vec_id, round({_SIM}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5)
