@@ -44,12 +44,13 @@ APART_TAGS = frozenset("nav footer aside form menu dialog".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 APART_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget header masthead footer copyright legal comment comments commentlist replies disqus discussion respond related recommended recommendations share sharing social toolbar pagination pager search form".split())
 MAIN_NAMES = frozenset("article main content story post entry body text".split())
+AD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
 COMMENT_NAMES = frozenset("comment comments commentlist replies respond disqus discussion".split())
 #: Parts before a name that say that the element is not that, but has or lacks it.
 ABOUT = frozenset("has have with no without hide show is not".split())
 #: A heading of such words alone begins what readers or the site add.
 ADDED_HEADINGS = frozenset("comment comments reply replies response responses discussion leave a your write post all of the to this on reader readers join related similar more recommended read next also you may might like articles article stories posts news latest popular most share follow us kommentar kommentare commentaire commentaires comentario comentarios antworten".split())
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tags", "names", "comments", "heading", "entry", "paragraph", "added", "text_before")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tags", "names", "comments", "heading", "entry", "paragraph", "added", "share", "sentences", "text_before")
 
 # Labelled pages in short. "+8-20" stands for 8 to 20 words of text, "-8-20" for as many that are not text.
 _MENU = "<ul><li><a href=x>-1-2</a><li><a href=x>-1-2</a><li><a href=x>-1-3</a></ul>"
@@ -86,8 +87,40 @@ PAGES = (
     f"<div class=top>-2-6</div><ul><li><a href=x>-1-2</a></ul><div class=widget><h4>-1-3</h4><p>-9-50</p></div><div class=story><p>+18-80</p><p>+2-50</p></div><div class=copyright>-5-25</div>",
     f"<div>-1-3</div><div><a href=x>-1-3</a></div><h1>+3-9</h1><div>-1-5</div><p>+22-90</p><p>+22-90</p><p>+4-16</p><div>-2-6 <a href=x>-1-3</a></div><div>-3-10</div>",
     f"{_TOP}<main><p>+1-6</p><h2>+1-6</h2><ul><li><a href=x>+1-6</a><li>+1-6</ul></main><div class=ads><p>-5-60</p></div>{_END}",
+    # short lines among long ones
+    f"{_TOP}<div class=ad>-3-15</div><article><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><p>+20-90</p><p>+1-2</p></article>{_END}",
+    f"{_TOP}<div class=ad>-3-15</div><article><h1>+2-14</h1><p>+1-3</p><p>+1-3</p><div>+1-30</div></article>{_END}",
+    f"{_TOP}<div class=ad>-3-15</div><main><h1>+2-14</h1><p>+1-90</p><p>+1-3</p><p>+1-60</p></main><div class=ad>-3-15</div>{_END}",
+    f"{_TOP}<div class=ad>-3-15</div><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><p>+20-90</p><div class=ad>-3-15</div>{_END}",
+    f"{_TOP}<div class=ad>-3-15</div><div><h1>+2-14</h1><div>+10-90</div><div>+20-90</div></div><div class=sponsor>-3-30</div>{_END}",
+    f"{_TOP}<div class=promo>-3-25</div><div class=content><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><p>+20-90</p></div><div class=legal>-3-40</div>{_END}",
+    f"{_TOP}<article><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><div class=ad>-3-25</div><p>+1-3</p><p>+20-90</p><p>+1-3</p></article><div class=ad>-3-25</div>{_END}",
+    # few tags, much text
+    "<nav><a href=x>-1-2</a></nav><div>+20-300</div><div>+20-300</div>",
+    "<nav><a href=x>-1-2</a> <a href=x>-1-2</a></nav><div>+20-300</div><div>+4-60</div><div>+20-200</div>",
+    "<table><tr><td><a href=x>-1</a></td><td>+30-300<br>+30-300</td></tr></table>",
+    "<table><tr><td><a href=x>-1-2</a><br><a href=x>-1-2</a></td><td><h1>+2-9</h1>+30-300<br>+30-300</td></tr><tr><td>-3-9 <a href=x>-1-3</a></td></tr></table>",
+    "<div><nav><a href=x>-1-2</a></nav>+20-300<br><br>+20-300</div>", f"<div><nav>{_MENU}</nav><h1>+2-9</h1>+20-300<br><br>+20-300</div>",
+    f"{_TOP}<div>+40-300</div>", f"{_MENU}<div>+40-300</div><div>+40-300</div><div>-2-9 <a href=x>-1-3</a></div>",
+    # names that do not say what is there
+    f"{_TOP}<div class=search><h1>+2-9</h1><p>+20-120</p><p>+8-90</p><p>+1-14</p></div>{_END}",
+    f"{_TOP}<main><h1>+2-9</h1><section class=legal><p>+20-120</p><p>+8-90</p><p>+1-14</p></section></main>{_END}",
+    f"{_TOP}<div class=widget><h1>+2-9</h1><p>+20-120</p><h2>+1-6</h2><p>+8-90</p><ul><li>+2-12<li>+2-12</ul></div>{_END}",
+    f"<div class=menu>{_MENU}</div><div class=form><h1>+2-9</h1><p>+20-120</p><p>+2-30</p><p>+20-120</p></div><div class=footer>-4-30</div>",
+    f"{_TOP}<div class=social><h2>+2-9</h2><p>+30-120</p><p>+30-120</p></div><div class=sidebar><h3>-1-3</h3><p>-5-40</p></div>{_END}",
+    f"{_TOP}<div class=banner><p>+30-120</p><p>+30-120</p><p>+1-20</p></div><div class=promo><p>-5-40</p></div>{_END}",
+    f"{_TOP}<div class=header><h1>+2-12</h1></div><p>+30-120</p><p>+10-90</p><div class=share><a href=x>-1</a> <a href=x>-1</a></div>{_END}",
+    f"{_TOP}<main><div class=header><h1>+2-12</h1></div><p>+30-120</p><p>+10-90</p></main>{_END}",
+    # several articles
+    f"{_TOP}<main><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article></main>{_END}",
+    f"{_TOP}<article><h2>+2-12</h2><p>+12-120</p></article><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article><aside><p>-5-40</p></aside>{_END}",
+    # adverts and readers without a name
+    f"{_TOP}<article><h1>+3-10</h1><p>+30-90</p><div><a href=x>-4-20</a></div><p>+10-60</p><div class=ad><p>-5-30</p></div><p>+10-60</p></article>{_END}",
+    f"{_TOP}<article><h1>+3-10</h1><p>+30-90</p><p>+10-60</p></article><div><h3>Comments</h3><div>-1-3</div><p>-5-60</p><div>-1-3</div><p>-8-40</p></div>{_END}",
+    f"{_TOP}<main><article><h1>+3-10</h1><p>+30-90</p><p>+10-60</p></article><div><div>-1-3</div><div>-5-60</div></div><div><div>-1-3</div><div>-8-40</div></div></main>{_END}",
 )
 DRAWS = 24
+_SENTENCE = re.compile(r"[.!?…。][\"'”’)]*(?=\s|$)")
 _SLOT = re.compile(r"([+-])(\d+)(?:-(\d+))?")
 
 
@@ -121,7 +154,11 @@ def labelled_blocks(pages=PAGES, draws: int = DRAWS, seed: int = 3) -> np.ndarra
 
     def words(m) -> str:
         n = int(rng.integers(int(m[2]), int(m[3] or m[2]) + 1))
-        return " ".join(["text" if m[1] == "+" else "rest"] * n)
+        out = ["text" if m[1] == "+" else "rest"] * n
+        if (n > 5 or m[1] == "+") and rng.random() < 0.8:  # a sentence or more; the words themselves say nothing
+            ends = {n - 1, *np.cumsum(rng.integers(6, 25, n // 6 + 1)).tolist()}
+            out = [w + "." if k in ends else w for k, w in enumerate(out)]
+        return " ".join(out)
 
     for page in pages:
         for _ in range(draws):
@@ -143,7 +180,9 @@ def classify(tree, row) -> int:
 def _part(token: str) -> str:
     """What a class or id says that its element is: the last part of the token, if the part before does not say otherwise."""
     parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
-    return "" if not parts or (len(parts) > 1 and parts[-2] in ABOUT) else parts[-1]
+    if not parts or (len(parts) > 1 and parts[-2] in ABOUT):
+        return ""
+    return "ad" if parts[0] in AD_NAMES else parts[-1]
 
 
 class _Blocks(HTMLParser):
@@ -152,19 +191,20 @@ class _Blocks(HTMLParser):
 
     def __init__(self, articles: int):
         super().__init__(convert_charrefs=True)
-        # (tag, silent, link, tags, names, comments, heading, entry, paragraph) of each open tag, inherited from the one around it
-        self.stack = [("", False, False, 0, 0, 0, 0, 0, 0)]
+        # (tag, silent, link, tags, names, comments, heading, entry, paragraph, region) of each open tag, inherited from the one around it
+        self.stack = [("", False, False, 0, 0, 0, 0, 0, 0, 0)]
         self.open, self.articles, self.added = Counter(), articles, 0
         self.blocks, self.parts, self.linked = [], [], 0
+        self.regions = 0  # elements of foreign names so far; each block has the outermost around it, 0 for none
 
     def flush(self):
         words = "".join(self.parts).split()
         if words:
-            _, _, _, tags, names, comments, heading, entry, paragraph = self.stack[-1]
+            _, _, _, tags, names, comments, heading, entry, paragraph, region = self.stack[-1]
             if heading:
                 said = re.findall(r"[^\W\d_]+", " ".join(words[:8]).lower())
                 self.added = int(bool(said) and len(words) <= 8 and ADDED_HEADINGS.issuperset(said))
-            self.blocks.append((" ".join(words), len(words), min(self.linked, len(words)), tags, names, comments, heading, entry, paragraph, self.added))
+            self.blocks.append((" ".join(words), len(words), min(self.linked, len(words)), tags, names, comments, heading, entry, paragraph, self.added, region))
         self.parts, self.linked = [], 0
 
     def pop(self):
@@ -176,7 +216,8 @@ class _Blocks(HTMLParser):
         self.pop()
 
     def push(self, tag, attrs):
-        _, silent, link, tags, names, comments, heading, entry, paragraph = self.stack[-1]
+        _, silent, link, tags, names, comments, heading, entry, paragraph, region = self.stack[-1]
+        before = names
         if tag in BLOCK_TAGS:
             heading, entry, paragraph = (tag[0] == "h" and tag[1:].isdigit()) or heading, tag in ("li", "dt", "dd", "td", "th") or entry, tag in ("p", "blockquote", "pre", "figcaption")
             heading, entry, paragraph = int(heading), int(entry), int(paragraph)
@@ -197,7 +238,12 @@ class _Blocks(HTMLParser):
                 names = -1
             elif found & MAIN_NAMES and names > -1:
                 names = 1
-        self.stack.append((tag, silent or tag in SILENT_TAGS, link, tags, names, comments, heading, entry, paragraph))
+        if names > -1:
+            region = 0
+        elif before > -1:
+            self.regions += 1
+            region = self.regions
+        self.stack.append((tag, silent or tag in SILENT_TAGS, link, tags, names, comments, heading, entry, paragraph, region))
         self.open[tag] += 1
 
     def end_head(self):
@@ -228,10 +274,13 @@ class _Blocks(HTMLParser):
             for shut in ("p", *CLOSES.get(tag, ())):
                 if self.stack[-1][0] == shut or (self.open["a"] and len(self.stack) > 1 and self.stack[-1][0] == "a" and self.stack[-2][0] == shut):
                     self.close_to(shut)
-            if tag in STRUCTURE and self.open["form"]:  # a form around the page
+            if tag in STRUCTURE and self.open["form"]:  # a form around the page; from now on it is no form
                 inner = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == "form")
                 around = self.stack[inner - 1][3]
                 self.stack[inner:] = [(*x[:3], around if x[3] == -1 else x[3], *x[4:]) if x[0] not in APART_TAGS or i == 0 else x for i, x in enumerate(self.stack[inner:])]
+                self.stack[inner] = ("no form", *self.stack[inner][1:])
+                self.open["form"] -= 1
+                self.open["no form"] += 1
         self.push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
@@ -263,9 +312,19 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.split())
 
 
+def whole_markup(page: str) -> str:
+    """Without a comment, and without a tag, that never ends: nothing after its beginning is looked at again and again."""
+    end = page.rfind("-->")
+    begin = page.find("<!--", end + 3 if end >= 0 else 0)
+    page = page if begin < 0 else page[:begin]
+    end = page.rfind(">")
+    cut = re.compile("<[a-zA-Z/!?]").search(page, end + 1)
+    return page[: cut.start()] if cut else page
+
+
 def blocks(page: str | None) -> list[tuple]:
     """Text blocks of a page, each with its features in the order of FEATURES, all but the last."""
-    page = page or ""
+    page = whole_markup(page or "")
     parser = _Blocks(len(re.findall(r"<article\b", page, re.I)))
     parser.feed(page)
     parser.close()
@@ -273,8 +332,14 @@ def blocks(page: str | None) -> list[tuple]:
     found, out = parser.blocks, []
     shares = [0.0, *(b[2] / b[1] for b in found), 0.0]
     sizes = [0, *(b[1] for b in found), 0]
+    held = Counter()
+    for b in found:
+        held[b[-1]] += b[1] - b[2]
+    plain = max(1, sum(held.values()))
     for i, b in enumerate(found, 1):
-        out.append((b[0], (b[1], shares[i], sizes[i - 1], shares[i - 1], sizes[i + 1], shares[i + 1], *b[3:])))
+        share = held[b[-1]] / plain if b[-1] else 0.0
+        sentences = min(9, len(_SENTENCE.findall(b[0])))
+        out.append((b[0], (b[1], shares[i], sizes[i - 1], shares[i - 1], sizes[i + 1], shares[i + 1], *b[3:-1], share, sentences)))
     return out
 
 

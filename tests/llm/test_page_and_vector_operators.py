@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import time
 import zlib
 
 import numpy as np
@@ -71,12 +72,12 @@ def test_time_does_not_grow_with_the_square_of_the_depth():
 
 def test_tree_tells_blocks_of_pages_that_it_has_not_seen():
     right = []
-    for i, page in enumerate(html.PAGES):
-        tree = html.train_tree(html.labelled_blocks(html.PAGES[:i] + html.PAGES[i + 1 :], draws=4))
-        right += [html.classify(tree, r[:-1]) == r[-1] for r in html.labelled_blocks((page,), draws=4, seed=5)]
+    for i in range(8):
+        tree = html.train_tree(html.labelled_blocks([p for k, p in enumerate(html.PAGES) if k % 8 != i], draws=4))
+        right += [html.classify(tree, r[:-1]) == r[-1] for r in html.labelled_blocks(html.PAGES[i::8], draws=4, seed=5)]
     assert np.mean(right) > 0.9
-    rows = html.labelled_blocks()
-    assert np.mean([html.classify(html.train_tree(rows), r[:-1]) == r[-1] for r in html.labelled_blocks(seed=11)]) > 0.99
+    tree = html.train_tree(html.labelled_blocks())
+    assert np.mean([html.classify(tree, r[:-1]) == r[-1] for r in html.labelled_blocks(seed=11)]) > 0.99
 
 
 # ---- archives
@@ -287,3 +288,49 @@ def test_pipeline_of_odd_rows(spark, data):
                 kept = collections.Counter((r.doc_id, r.text) for r in after.collect())
                 assert max(kept.values(), default=1) == 1 and set(kept) <= {(r.doc_id, r.text) for r in now.collect()}
             now = after
+
+
+# ---- 3: pages whose tags and names say little, or the wrong thing
+
+STORY = "The river rose over the old stone bridge in March, and nobody in the village slept that night. Later, when the water had gone, the baker opened his shop as if nothing had happened. " * 4
+THREE = "".join(f"<p>{STORY}</p>" for _ in range(3))
+TOP = "<nav><a href=a>a</a></nav>"
+LONG_PAGES = {
+    "two divs": (f"{TOP}<div>{STORY}</div><div>{STORY}</div>", 2), "cell": (f"<table><tr><td><a href=h>Home</a></td><td>{STORY}<br>{STORY}</td></tr></table>", 2), "breaks": (f"<div>{TOP}{STORY}<br><br>{STORY}</div>", 2),
+    "section": (f"{TOP}<main><section class=legal>{THREE}</section></main><footer>x y</footer>", 3), "articles": (f"<main><article><h2>First title here</h2>{THREE}</article><article><h2>Second title here</h2>{THREE}</article></main>", 6),
+    "header": (f"{TOP}<div class='page-header'><h1>A title of words</h1></div>{THREE}", 3),
+    **{c: (f"{TOP}<div class='{c}'>{THREE}</div><footer>x y</footer>", 3) for c in ("search", "legal", "post legal", "contact-form", "topic-social", "widget", "my-banner")},
+}
+
+
+@pytest.fixture(scope="module")
+def page_tree():
+    return html.train_tree(html.labelled_blocks())
+
+
+@pytest.mark.parametrize("name", LONG_PAGES)
+def test_long_text_is_kept_whatever_it_is_called(page_tree, name):
+    page, n = LONG_PAGES[name]
+    text = html.main_text(page, page_tree)
+    assert text.count("river") == 4 * n and text.lower().count("title") == page.lower().count("title ") and "x y" not in text
+
+
+def test_foreign_blocks_within_an_article(page_tree):
+    page = f"<article><h1>A title</h1><p>{STORY}</p><div class='ad-slot'><p>Buy this now for less.</p></div><p>{STORY}</p><div><a href=x>Great offers on all shoes today</a></div><p>{STORY}</p></article><div class=xyz><h3>Comments</h3><div>Anna</div><p>I like this very much, thanks.</p></div>"
+    text = html.main_text(page, page_tree)
+    assert text.startswith("A title\n") and text.count("river") == 12 and not any(x in text for x in ("Buy", "offers", "Anna", "like this"))
+
+
+HOSTILE = ['<a href="' * 8000, "<form>" + "<div>x" * 4000 + "<section>y" * 4000, "<!--" * 32_000, "<" * 64_000, "&" * 60_000, "<a " + "b " * 30_000 + ">", "<script>" * 8000, "<![CDATA[" * 8000, "<div>" * 12_000 + "x"]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
+def test_hostile_pages_take_no_longer_than_others(page_tree, page):
+    began = time.process_time()
+    html.main_text(page, page_tree)
+    assert time.process_time() - began < 1
+
+
+def test_markup_that_never_ends():
+    assert html.whole_markup("a <b>x</b> <!-- y") == "a <b>x</b> " and html.whole_markup("a <b>x</b> <i class='") == "a <b>x</b> " and html.whole_markup("1 < 2 <!-- z --> 3") == "1 < 2 <!-- z --> 3"
+    assert html.whole_markup("") == "" and html.whole_markup("no tags") == "no tags"
