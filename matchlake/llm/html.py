@@ -95,6 +95,7 @@ PAGES = (
     f"{_TOP}<div class=ad>-3-15</div><div><h1>+2-14</h1><div>+10-90</div><div>+20-90</div></div><div class=sponsor>-3-30</div>{_END}",
     f"{_TOP}<div class=promo>-3-25</div><div class=content><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><p>+20-90</p></div><div class=legal>-3-40</div>{_END}",
     f"{_TOP}<article><h1>+2-14</h1><p>+10-90</p><p>+1-3</p><div class=ad>-3-25</div><p>+1-3</p><p>+20-90</p><p>+1-3</p></article><div class=ad>-3-25</div>{_END}",
+    "<div class=nav><a href=x>-1-2</a></div><h1>+1-12</h1><p>+15-90</p><p>+1-20</p>", f"<div class=menu>{_MENU}</div><h1>+1-3</h1><p>+15-90</p><p>+1-20</p><div class=footer>-4-30</div>",
     # few tags, much text
     "<nav><a href=x>-1-2</a></nav><div>+20-300</div><div>+20-300</div>",
     "<nav><a href=x>-1-2</a> <a href=x>-1-2</a></nav><div>+20-300</div><div>+4-60</div><div>+20-200</div>",
@@ -121,6 +122,7 @@ PAGES = (
 )
 DRAWS = 24
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)]*(?=\s|$)")
+_IN_HEADING = re.compile("<h[1-6][^<]*(<a [^<]*)?$")
 _SLOT = re.compile(r"([+-])(\d+)(?:-(\d+))?")
 
 
@@ -155,7 +157,7 @@ def labelled_blocks(pages=PAGES, draws: int = DRAWS, seed: int = 3) -> np.ndarra
     def words(m) -> str:
         n = int(rng.integers(int(m[2]), int(m[3] or m[2]) + 1))
         out = ["text" if m[1] == "+" else "rest"] * n
-        if (n > 5 or m[1] == "+") and rng.random() < 0.8:  # a sentence or more; the words themselves say nothing
+        if (n > 5 or m[1] == "+") and not _IN_HEADING.search(m.string, 0, m.start()) and rng.random() < 0.7:  # a sentence or more
             ends = {n - 1, *np.cumsum(rng.integers(6, 25, n // 6 + 1)).tolist()}
             out = [w + "." if k in ends else w for k, w in enumerate(out)]
         return " ".join(out)
