@@ -12,6 +12,10 @@ pair, and pairs of documents that collide at MATCHES coordinates or more are com
   passages, license lines) are never scanned and only count when signatures are compared.
 - A link's coordinates each agree with probability 0.75 or more, so it has fewer than MATCHES = 10 of 32 collisions
   with a probability of at most 3.5e-8; fewer matches or more coordinates lower it (`missed` tells by how much).
+- `exact=True` loses no link: the lists are then those of the shingles themselves. Sets of n and m shingles with a
+  similarity of t share at least t * max(n, m) of them, so each has one of the shared in its first n - ceil(t * n) + 1
+  by rarity, and no number of collisions is asked for. These lists take about a quarter of all shingles instead of 23
+  values a document.
 
 Lists can be long where thousands of near copies meet. They are not expanded into all pairs: a few rounds compare each
 document with the best few, by collisions, of the documents that lead its lists and are not yet known to be of its
@@ -119,6 +123,17 @@ def _prefixes(t: Tables, reps: DataFrame) -> DataFrame:
     return t.put(ranked.where(F.col("place") <= F.col("m") - (MATCHES - 1)).select("token", "id", "n"), "lists")
 
 
+def _shingle_prefixes(t: Tables, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n), (id, shingles) -> (token, id, n): the lists of the rarest shingles of each set, of which any two similar
+    sets share one. Shingles that one set alone has are the rarest; they take places but have no list."""
+    tokens = sets.mapInArrow(_own_shingles, "id long, shingle long").withColumnRenamed("shingle", "token")
+    shared = t.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    own = Window.partitionBy("id")
+    ranked = join_checked(tokens, shared, ["token"]).withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(own))
+    first = F.floor((SIMILAR[1] - SIMILAR[0]) * F.col("n") / SIMILAR[1]) + 1  # n - ceil(t * n) + 1
+    return t.put(ranked.join(reps.select("id", "n"), "id").where(F.col("place") + F.col("n") - F.col("m") <= first).select("token", "id", "n"), "lists")
+
+
 def _confirmed(t: Tables, pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """Pairs (u, v), a written table, whose whole sets are similar enough. Few pairs go to the sets, not the sets to
     the pairs."""
@@ -128,12 +143,12 @@ def _confirmed(t: Tables, pairs: DataFrame, sets: DataFrame, key: str) -> DataFr
     return t.put(rows.select("u", "v", "sa", "sb").mapInArrow(_compare, "u long, v long, same boolean").where("same").select("u", "v"), key)
 
 
-def _collisions(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs with at least MATCHES equal coordinates, and their number."""
+def _collisions(pairs: DataFrame, signs: DataFrame, matches: int) -> DataFrame:
+    """Pairs with at least `matches` equal coordinates, and their number."""
     a = signs.select(F.col("id").alias("u"), F.col("signature").alias("xa"))
     b = signs.select(F.col("id").alias("v"), F.col("signature").alias("xb"))
     equal = F.size(F.filter(F.zip_with("xa", "xb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(b, "v").join(a, "u").withColumn("collisions", equal).where(F.col("collisions") >= MATCHES).select("u", "v", "collisions")
+    return pairs.join(b, "v").join(a, "u").withColumn("collisions", equal).where(F.col("collisions") >= matches).select("u", "v", "collisions")
 
 
 @text.tidy
@@ -151,12 +166,12 @@ def _facts(t: Tables, signs: DataFrame, sets: DataFrame, lists: DataFrame) -> Da
     shingles any other document of the lists has."""
     single = sets.mapInArrow(_own_shingles, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
     alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    tokens = lists.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # a prefix: COORDINATES - MATCHES + 1 at most
+    tokens = lists.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # a prefix: never more than the document's own shingles
     facts = signs.join(alone, "id", "left").join(tokens, "id").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     return t.put(facts.where(F.lit(SIMILAR[1]) * F.col("common") >= F.lit(SIMILAR[0]) * F.col("n")).select("id", "n", "signature", "tokens", "common"), "facts")
 
 
-def _remaining(own: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+def _remaining(own: DataFrame, facts: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
     """All pairs of open lists that can still be links, each once. A bit that one has and the other has not stands for
     at least one shingle that they do not share."""
     maps = join_checked(sets.select("id", "bits"), own.select("id").distinct(), ["id"], "left_semi")
@@ -164,7 +179,7 @@ def _remaining(own: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
     names = {"token": "tk", "id": "v", "n": "nb", "label": "lb", "tokens": "tb", "signature": "sb", "common": "cb", "bits": "bb"}
     outside = rows.where("label <> largest").select(*[F.col(a).alias(b) for a, b in names.items()])
     once = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("id") < F.col("v")))
-    collide = F.size(F.filter(F.zip_with("signature", "sb", lambda x, y: x == y), lambda x: x)) >= MATCHES
+    collide = F.size(F.filter(F.zip_with("signature", "sb", lambda x, y: x == y), lambda x: x)) >= matches
     first = F.array_min(F.array_intersect("tokens", "tb")) == F.col("token")
     apart = F.aggregate(F.zip_with("bits", "bb", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda x, y: x + y)
     back = F.aggregate(F.zip_with("bits", "bb", lambda x, y: F.bit_count(y.bitwiseAND(F.bitwise_not(x)))), F.lit(0), lambda x, y: x + y)
@@ -179,19 +194,23 @@ def _possible():
     return size & (F.lit(SIMILAR[0] + SIMILAR[1]) * F.least("common", "cb") >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("nb")))
 
 
-def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, t: Tables, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """doc_id (integer), text -> written tables (id, n, set, signature) of all rows and (set, rep, group) of all sets that
     have shingles: its smallest id, null if its rows have none, and its component by links of sets alone."""
+    matches = 0 if exact else MATCHES
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = t.put(texts.mapInArrow(_sign, "id long, n long, set string, signature array<int>"), "signed")
     usable = signed.where("n > 0")
     # Equal sets are one document. Below, `id` is the key of a set: ids may have many sets, or be null.
     first = t.put(usable.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "first")
     reps = first.select("id", "n", "set", "signature")
-    lists = _prefixes(t, reps)
-    members = lists.select("id").distinct()
-    signs = t.put(reps.join(members, "id", "left_semi").select("id", "n", "set", "signature"), "signs")
-    chosen = t.put(first.join(members, "id", "left_semi").select("id", "set", "rep"), "chosen")
+    if exact:  # any set may be linked until its shingles are counted
+        lists, signs, chosen = None, reps, first.select("id", "set", "rep")
+    else:
+        lists = _prefixes(t, reps)
+        members = lists.select("id").distinct()
+        signs = t.put(reps.join(members, "id", "left_semi").select("id", "n", "set", "signature"), "signs")
+        chosen = t.put(first.join(members, "id", "left_semi").select("id", "set", "rep"), "chosen")
     # The texts of the chosen sets, by an id that has each; those without an id are looked through as a whole.
     holders = join_checked(texts, chosen.where("rep IS NOT NULL").select(F.col("rep").alias("id")), ["id"], "left_semi")
     if not chosen.where("rep IS NULL").isEmpty():
@@ -199,6 +218,7 @@ def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     sets = holders.mapInArrow(_sets, "id long, set string, shingles binary, bits array<long>").withColumnRenamed("id", "held")
     sets = sets.join(chosen.withColumnRenamed("set", "_set"), (F.col("set") == F.col("_set")) & F.col("held").eqNullSafe(F.col("rep")))
     sets = t.put(sets.select("id", "shingles", "bits").dropDuplicates(["id"]), "sets")
+    lists = _shingle_prefixes(t, reps, sets) if lists is None else lists
     facts = _facts(t, signs, sets, lists)
     sets = t.put(join_checked(sets, facts.select("id"), ["id"], "left_semi"), "linkable-sets")
     lists = t.put(lists.join(facts.select("id", "common"), "id"), "linkable")
@@ -218,9 +238,9 @@ def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
             lead = own.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "label", "common")).alias("x")).select("token", F.col("x.id").alias("v"), F.col("x.n").alias("nb"), F.col("x.label").alias("lb"), F.col("x.common").alias("cb"))
             pairs = join_checked(own, t.put(lead, f"lead{k}"), ["token"]).where(F.col("label") != F.col("lb")).where(_possible()).select(F.col("id").alias("u"), "v").distinct()
             best = Window.partitionBy("u").orderBy(F.col("collisions").desc(), "v")
-            pairs = _collisions(pairs, facts).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST)
+            pairs = _collisions(pairs, facts, matches).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST)
         else:
-            pairs = _remaining(own, facts, sets)
+            pairs = _remaining(own, facts, sets, matches)
         found = _confirmed(t, t.put(pairs.select("u", "v"), f"pairs{k}"), sets, f"found{k}")
         links = found if links is None else links.union(found)
         labels = t.put(components(links, "near-links").select("id", F.col("component").alias("label")), f"labels{k}")
@@ -233,10 +253,10 @@ def groups(docs: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     return signed, out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id (integer), text -> doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id (integer), text -> doc_id, n_shingles, component_id, kept. `exact` finds candidates by shingles."""
     t = Tables(docs.sparkSession, "near")
-    signed, sets = groups(docs, t)
+    signed, sets = groups(docs, t, exact)
     # Ids that have several sets link the groups of these sets.
     usable = signed.where("n > 0 AND id IS NOT NULL")
     several = t.put(usable.groupBy("id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("id"), "several")

@@ -170,7 +170,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.WOR
     t = Tables(spark, "pack")
     cut = _pieces(tokens.path_of(vocabulary, folder), capacity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = t.put(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    # Rows of one id, however many, have salts of their own; they are written, so that ranks stay what they are.
+    salt = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    pieces = t.put(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("salt", salt), "pieces")
     per = t.put(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # CAPACITY rows at most
     ranges = t.put(spark.createDataFrame(plan(histogram, capacity), "at long, first long, beyond long, sequence long, offset long"), "ranges")

@@ -93,15 +93,16 @@ def brute_components(rows):
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
-    got = minhash.near_duplicates(odd).collect()
-    assert len(got) == odd.count()
     want = brute_components([(r[0], r[1]) for r in odd_rows()])
-    assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in got if r.doc_id is not None)
-    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
-    assert minhash.near_duplicates(none).count() == 0
+    for exact in (False, True):
+        got = minhash.near_duplicates(odd, exact).collect()
+        assert len(got) == odd.count()
+        assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in got if r.doc_id is not None)
+        assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+        assert minhash.near_duplicates(none, exact).count() == 0
 
 
-def test_near_duplicates_of_a_cloud_and_a_shared_passage(spark):
+def cloud_rows() -> list[tuple[int, str]]:
     """Copies with up to a third of their words changed, chains of copies, and unlike texts around one passage."""
     rng = np.random.default_rng(5)
     centre, passage, rows = prose(3, 120).split(), prose(4, 60), []
@@ -114,13 +115,37 @@ def test_near_duplicates_of_a_cloud_and_a_shared_passage(spark):
     for k in range(30):
         chain[6 * k] = f"c{k}"
         rows.append((1000 - k, " ".join(chain)))
-    rows += [(2000 + k, f"{passage} {prose(500 + k, int(rng.integers(1, 60)))}") for k in range(60)]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    return rows + [(2000 + k, f"{passage} {prose(500 + k, int(rng.integers(1, 60)))}") for k in range(60)]
+
+
+def near(df, exact=False):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, exact).collect()}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_of_a_cloud_and_a_shared_passage(spark, exact):
+    rows = cloud_rows()
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), exact) == brute_components(rows)
+
+
+def test_exact_near_duplicates_need_no_collisions(spark, monkeypatch):
+    """Where signatures are asked for more than links must have, the exact way still finds links at the very threshold."""
+    monkeypatch.setattr(minhash, "MATCHES", minhash.COORDINATES)
+    rows = []
+    for k in range(12):
+        words = prose(700 + k, 8 + 4 * k).split()[: 7 + 4 * k]  # 3 + 4k shingles
+        n = len(words) - 4
+        more = [f"y{k}{i}" for i in range(n // 3)]  # n of n + n // 3 shingles
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + more))]
+    want = brute_components(rows)
+    assert sum(kept for _, _, kept in want.values()) == 12
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df) != want and near(df, True) == want
 
 
 def test_near_duplicates_of_the_table(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert near(spark.read.parquet(f"{data}/documents.parquet"), True) == brute_components(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op5(spark, data).collect()}
     assert got == brute_components(rows)
 
@@ -257,6 +282,24 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_one_repeated_id(spark):
+    """One id may have most of the rows: no salt has them all, and every sequence is filled without gaps."""
+    short, long = "a few words of text ", "a few words of text " * 900
+    df = spark.createDataFrame([(7, short)] * 400 + [(7, long)] * 3 + [(None, short)] * 50 + [(8, None)], "doc_id long, text string").repartition(4)
+    got = packing.pack(df).collect()
+    assert collections.Counter(r.doc_id for r in got if r.piece == 0) == {7: 403, None: 50, 8: 1}
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for rows in places.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(places) <= 1 + -(-sum(r.length for r in got) // packing.CAPACITY)
+
+
 def test_packing_of_the_table(spark, data):
     rows = packing.op9(spark, data).collect()
     check_packed(rows, {(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()})
