@@ -1,16 +1,18 @@
 """Gradient-boosted trees on histograms, for a binary target.
 
-Features are binned once, by quantiles, into a written table of one byte a cell. A level of a tree is one grouped sum of
-gradients, hessians and counts over (node, feature, bin), whose size depends on the model and not on the rows; the best
-split of each node is read from it, and leaves take a Newton step. Of the splits down to the greatest depth, those are kept
-that a growth by greatest gain would take up to the greatest number of leaves.
-
-Rows lie in partitions of at most PARTITION_ROWS. Of several partitions each level is a Spark job: tasks sum their rows,
-an aggregation adds what they send, and the driver gets the sums. Sums of one partition are complete where they are made,
-so a table of one partition (12 MB of bins at 48 features) takes its rounds within its task. Both ways use the same
-functions and give the same trees, up to the order in which floating numbers are added.
-
-Margins are written every KEPT_TREES trees; in between, tasks apply the trees that came since.
+Features are binned once, by quantiles, into a written table of one byte a cell, a row for each block of rows. A level of a
+tree is one sum of gradients, hessians and counts over (node, feature, bin), whose size depends on the model and not on the
+rows; the best split of each node is read from it, and leaves take a Newton step. Of two nodes that were one, the smaller is
+summed and the other is what is left of both. Of the splits down to the greatest depth, those are kept that a growth by
+greatest gain would take up to the greatest number of leaves.
+
+Rows lie in partitions of at most PARTITION_ROWS, and of several partitions in as many as there are cores, as long as each
+has LEAST_ROWS. Of several partitions each level is a Spark job without a shuffle: tasks sum their rows, and the driver adds
+the sums, or, of more than ADDED partitions, an aggregation does. Sums of one partition are complete where they are made, so
+a table of one partition (12 MB of bins at 48 features) takes its rounds within its task. Both ways use the same functions
+and give the same trees, up to the order in which floating numbers are added.
+
+A tree's margins are cached with its first level; every KEPT_TREES trees they are written.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from ..session import new_folder, remove
 
 BINS = 255
-PARTITION_ROWS = 250_000
+PARTITION_ROWS, LEAST_ROWS = 250_000, 20_000
+#: Partitions whose sums the driver adds itself.
+ADDED = 32
 KEPT_TREES = 10
 #: A column with more categories than this is no category; its distinct values would be gathered.
 CATEGORIES = 1_000
@@ -110,6 +114,8 @@ class _Growth:
     gain: list[float] = field(default_factory=lambda: [0.0])
     sums: list[tuple[float, float]] = field(default_factory=lambda: [(0.0, 0.0)])
     open: list[int] = field(default_factory=lambda: [0])
+    #: Of each pair of open nodes, which were one: its place in the level before, and the place of the smaller of the two.
+    pairs: list[tuple[int, int]] = field(default_factory=list)
 
     def routing(self) -> Tree:
         return Tree(np.array(self.feature), np.array(self.bin), np.array(self.left), np.zeros(len(self.feature)))
@@ -125,7 +131,7 @@ class _Growth:
             gains = np.where(fits, g * g / h + gr * gr / hr, -np.inf) - (whole[..., 0] ** 2 / np.maximum(whole[..., 1], 1e-300))
         flat = gains.reshape(len(gains), -1)
         best = flat.argmax(axis=1)
-        todo, self.open = self.open, []
+        todo, self.open, self.pairs = self.open, [], []
         for i, node in enumerate(todo):
             if node == 0:
                 self.sums[0] = tuple(whole[i, 0, 0, :2])
@@ -133,6 +139,7 @@ class _Growth:
             if not flat[i, best[i]] > 1e-12:
                 continue
             self.feature[node], self.bin[node], self.left[node], self.gain[node] = f, b, len(self.feature), float(flat[i, best[i]])
+            self.pairs.append((i, int(rest[i, f, b, 2] < upto[i, f, b, 2])))
             for part in (upto[i, f, b], rest[i, f, b]):
                 self.open.append(len(self.feature))
                 for x, v in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.gain, 0.0), (self.sums, (part[0], part[1]))):
@@ -161,15 +168,20 @@ def gradients(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def histogram(bins: np.ndarray, node: np.ndarray, open_: list[int], g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    """Sums of rows over (open node, feature, bin): gradients, hessians, rows."""
+    """Sums of rows over (open node, feature, bin): gradients, hessians, rows. One feature at a time: its sums stay in the
+    processor's cache, and `bins` is best laid out by features."""
     place = np.full(max(int(node.max(initial=0)), max(open_)) + 1, -1)
     place[open_] = np.arange(len(open_))
-    rows = np.flatnonzero(place[node] >= 0)
-    features = bins.shape[1]
-    size = len(open_) * features * width
-    at = ((place[node[rows]][:, None] * features + np.arange(features)) * width + bins[rows]).ravel()
-    out = [np.bincount(at, None if w is None else np.repeat(w[rows], features), size) for w in (g, h, None)]
-    return np.stack(out, axis=1).reshape(len(open_), features, width, 3)
+    first = place[node] * width
+    rows = np.flatnonzero(first >= 0)
+    whole = len(rows) == len(node)
+    first, g, h = (first, g, h) if whole else (first[rows], g[rows], h[rows])
+    out = np.empty((len(open_), bins.shape[1], width, 3))
+    for f in range(bins.shape[1]):
+        at = first + (bins[:, f] if whole else bins[rows, f])
+        for k, w in enumerate((g, h, None)):
+            out[:, f, :, k] = np.bincount(at, w, len(open_) * width).reshape(len(open_), width)
+    return out
 
 
 def margins(bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
@@ -180,25 +192,42 @@ def margins(bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
 
 
 def grow(sums, s: Settings) -> Tree:
-    """A tree; `sums(routing, open nodes)` gives the histogram of a level."""
+    """A tree; `sums(routing, nodes)` gives the histogram of nodes of a level."""
     g = _Growth()
+    level = None
     for _ in range(s.depth):
         if not g.open:
             break
-        g.split(sums(g.routing(), g.open), s)
+        if level is None:
+            level = sums(g.routing(), g.open)
+        else:
+            one = sums(g.routing(), [g.open[2 * k + small] for k, (_, small) in enumerate(g.pairs)])
+            other = level[[i for i, _ in g.pairs]] - one
+            other[other[..., 2] == 0] = 0.0  # nothing is left of no rows, not the error of a difference
+            left = np.array([small == 0 for _, small in g.pairs])[:, None, None, None]
+            level = np.stack([np.where(left, one, other), np.where(left, other, one)], axis=1).reshape(-1, *one.shape[1:])
+        g.split(level, s)
     return g.tree(s)
 
 
 # ---- tables
 
 
-_BINNED = "bins binary, y double, margin double"
+#: A block of rows: bins by features (one byte each), targets and margins (eight).
+_BINNED = "bins binary, y binary, margin binary"
+
 
+def _block(bins: np.ndarray, y: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (np.ascontiguousarray(bins.T).tobytes(), y.tobytes(), margin.tobytes())], ["bins", "y", "margin"])
 
-def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for b in batches:
-        bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(b.num_rows, features)
-        yield bins, b.column("y").to_numpy(), b.column("margin").to_numpy()
+
+def _rows(batches: Iterator[pa.RecordBatch], features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All blocks of a partition as one, if there is any."""
+    parts = [(np.frombuffer(x, np.uint8).reshape(features, -1), np.frombuffer(y), np.frombuffer(m)) for b in batches for x, y, m in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    if not parts:
+        return None
+    bins, y, margin = zip(*parts, strict=True)
+    return np.concatenate(bins, axis=1).T, np.concatenate(y), np.concatenate(margin)
 
 
 def _into_bins(features: Features, target: str, base: float):
@@ -206,8 +235,9 @@ def _into_bins(features: Features, target: str, base: float):
 
     def work(batches):
         for b in batches:
-            cells = features.bins({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns})
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in cells], pa.binary()), b.column(target).cast(pa.float64()), pa.array(np.full(b.num_rows, base))], ["bins", "y", "margin"])
+            if b.num_rows:
+                cells = features.bins({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns})
+                yield _block(cells, b.column(target).cast(pa.float64()).to_numpy(zero_copy_only=False), np.full(b.num_rows, base))
 
     return work
 
@@ -216,10 +246,10 @@ def _rounds_in_task(n_features: int, width: int, s: Settings):
     """All rounds over one partition."""
 
     def work(batches):
-        parts = list(zip(*_blocks(batches, n_features), strict=True))
-        if not parts:
+        found = _rows(batches, n_features)
+        if found is None:
             return
-        bins, y, margin = (np.concatenate(p) for p in parts)
+        bins, y, margin = found
         for k in range(s.rounds):
             g, h = gradients(y, margin)
             tree = grow(lambda t, open_, g=g, h=h: histogram(bins, t.leaves(bins), open_, g, h, width), s)
@@ -229,27 +259,26 @@ def _rounds_in_task(n_features: int, width: int, s: Settings):
     return work
 
 
-def _level_in_tasks(n_features: int, width: int, trees: list[Tree], routing: Tree, open_: list[int]):
+def _level_in_tasks(n_features: int, width: int, routing: Tree, open_: list[int]):
     """The sums of a task's rows, those that are not nothing: slot, gradient, hessian, rows."""
 
     def work(batches):
-        total = 0
-        for bins, y, margin in _blocks(batches, n_features):
-            g, h = gradients(y, margin + margins(bins, trees))
-            total = total + histogram(bins, routing.leaves(bins), open_, g, h, width)
-        if isinstance(total, np.ndarray):
-            flat = total.reshape(-1, 3)
+        found = _rows(batches, n_features)
+        if found is not None:
+            bins, y, margin = found
+            flat = histogram(bins, routing.leaves(bins), open_, *gradients(y, margin), width).reshape(-1, 3)
             slot = np.flatnonzero(flat[:, 2])
             yield pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(flat[slot, k]) for k in range(3))], ["slot", "g", "h", "n"])
 
     return work
 
 
-def _moved_margins(n_features: int, trees: list[Tree]):
+def _moved_margins(n_features: int, tree: Tree):
     def work(batches):
-        for b in batches:
-            for bins, _, margin in _blocks([b], n_features):
-                yield b.set_column(2, "margin", pa.array(margin + margins(bins, trees)))
+        found = _rows(batches, n_features)
+        if found is not None:
+            bins, y, margin = found
+            yield _block(bins, y, margin + tree.value[tree.leaves(bins)])
 
     return work
 
@@ -282,6 +311,8 @@ def fit(rows: DataFrame, target: str, numeric: list[str], categorical: list[str]
     mean = min(max(mean, 1e-15), 1 - 1e-15)
     base, n, width = float(np.log(mean / (1 - mean))), len(features.names), max(2, *(len(e) + 1 for e in features.edges), 2)
     parts = -(-count // partition_rows)
+    if parts > 1:
+        parts = max(parts, min(spark.sparkContext.defaultParallelism, count // LEAST_ROWS))
     spread = rows.select(*numeric, *categorical, target)
     spread = spread.coalesce(1) if parts == 1 else spread.repartition(parts)
     made: list[str] = []
@@ -292,28 +323,38 @@ def fit(rows: DataFrame, target: str, numeric: list[str], categorical: list[str]
         return spark.read.schema(_BINNED).parquet(made[-1])
 
     table = put(spread.mapInArrow(_into_bins(features, target, base), _BINNED), "binned")
+    cached: list[DataFrame] = []
     try:
         if parts == 1:
             schema = "round long, feature array<long>, bin array<long>, left array<long>, value array<double>"
             found = sorted(table.coalesce(1).mapInArrow(_rounds_in_task(n, width, settings), schema).collect())  # a few hundred trees
             trees = [Tree(*map(np.array, r[1:])) for r in found]
             return Boosted(features, base, trees)
-        trees, kept = [], 0
-        for _ in range(settings.rounds):
-            since = trees[kept:]
-            if len(since) == KEPT_TREES:
-                table, kept = put(table.mapInArrow(_moved_margins(n, since), _BINNED), "margins"), len(trees)
-                remove(spark, made.pop(-2))
-                since = []
+        trees: list[Tree] = []
+        for k in range(settings.rounds):
 
-            def level(routing: Tree, open_: list[int], since=since, table=table) -> np.ndarray:
-                sums = table.mapInArrow(_level_in_tasks(n, width, since, routing, open_), "slot long, g double, h double, n double").groupBy("slot").agg(F.sum("g"), F.sum("h"), F.sum("n"))
-                out = np.zeros((len(open_) * n * width, 3))
-                got = sums.toPandas().to_numpy()  # at most a row for each open node, feature and bin
-                out[got[:, 0].astype(np.int64)] = got[:, 1:]
-                return out.reshape(len(open_), n, width, 3)
+            def level(routing: Tree, open_: list[int], table=table) -> np.ndarray:
+                sums = table.mapInArrow(_level_in_tasks(n, width, routing, open_), "slot long, g double, h double, n double")
+                if parts > ADDED:
+                    sums = sums.groupBy("slot").agg(*[F.sum(c).alias(c) for c in "ghn"])
+                got = sums.toArrow()  # at most a row for each open node, feature and bin, of at most ADDED partitions
+                slot, *added = (got.column(c).to_numpy() for c in ("slot", "g", "h", "n"))
+                return np.stack([np.bincount(slot, w, len(open_) * n * width) for w in added], axis=1).reshape(len(open_), n, width, 3)
 
             trees.append(grow(level, settings))
+            for old in cached[:-1]:  # the margins that the tree was made of are in the last
+                old.unpersist()
+            cached = cached[-1:]
+            if k + 1 == settings.rounds:
+                break
+            table = table.mapInArrow(_moved_margins(n, trees[-1]), _BINNED)
+            if (k + 1) % KEPT_TREES:
+                cached.append(table.persist())
+            else:
+                table = put(table, "margins")
+                remove(spark, made.pop(-2))
         return Boosted(features, base, trees)
     finally:
+        for old in cached:
+            old.unpersist()
         remove(spark, *made)
