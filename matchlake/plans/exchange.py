@@ -65,7 +65,7 @@ def typed_scan(spark, d):
     folder = new_folder(spark, "exchange", "typed")
     day = F.date_add(F.lit("2024-01-31").cast("date"), (F.col("event_id") % 50).cast("int"))
     rows = A.read(spark, d, "events").select("event_id", "value", "event_type", (F.col("event_id") % 2 == 0).alias("even"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") * 2).alias("some"), F.when(F.col("event_id") == 7, F.lit("seven")).otherwise(F.col("event_id").cast("string")).alias("mixed"), day.alias("day"))
-    rows.write.options(**_CSV).csv(folder)
+    rows.write.options(**_CSV, maxRecordsPerFile=100_000).csv(folder)  # a file is read by one task
     return files.typed(files.read_files(spark, [folder]).rows.drop("source_file", "src_ord"))
 
 

@@ -79,10 +79,19 @@ def typed_manifest(members: DataFrame) -> DataFrame:
 MOST_COLUMNS = 256
 
 
+def _most_cells(spark: SparkSession, paths: list[str]) -> int:
+    """No record has more cells: the most commas of a line, plus one. With a line whose quotes are not in pairs, a record may
+    be of several lines, and no less than MOST_COLUMNS + 1 is sure."""
+    held = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c), F.lit("")))
+    found = spark.read.option("lineSep", "\n").text(paths).agg(F.max(held(",")).alias("most"), F.max(held('"') % 2).alias("broken")).first()
+    return MOST_COLUMNS + 1 if found["broken"] else min((found["most"] or 0) + 1, MOST_COLUMNS + 1)
+
+
 def csv_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Delimited files of unlike headers, in one scan: path, id (ascending within a file), cells. Line breaks and doubled
-    quotes within quotes belong to the cell. A file is read by one task, from its beginning to its end."""
-    names = [f"c{k}" for k in range(MOST_COLUMNS + 1)]
+    quotes within quotes belong to the cell. A file is read by one task, from its beginning to its end, with as many columns
+    as any line may have: each costs time in every row."""
+    names = [f"c{k}" for k in range(_most_cells(spark, paths))]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(paths)
     last = F.array_max(F.filter(F.transform(F.array(*names), lambda c, k: F.when(c.isNotNull(), k + 1)), lambda k: k.isNotNull()))
     return rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.slice(F.array(*names), 1, F.coalesce(last, F.lit(0))).alias("cells"))
