@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -20,6 +24,10 @@ from .rounds import consistency, feature_columns
 METRICS = ("roc_auc", "f1", "balanced_accuracy", "log_loss", "brier")
 MODELS = ("baseline_repeat_current", "logistic_regression", "hist_gradient_boosting")
 TARGET = "target_winner_side_next_code"
+#: Values are dealt out within so many buckets of rows, and within more where these would have more rows than DEALT_ROWS.
+DEALT_BUCKETS, DEALT_ROWS = 32, 50_000
+#: Probabilities of a feature and repeat that are ranked at once, about.
+RANKED_ROWS = 100_000
 
 
 def _before(rows: DataFrame, by: list[str], bucket: Column, order: list[Column], *counted: str, down: bool = False) -> DataFrame:
@@ -214,6 +222,36 @@ class Trained:
             return made.withColumn("p", self.model.probability()).select(*rows.columns, "p")
         return self.model.transform(made).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
 
+    def in_task(self) -> tuple[Callable, list[slice], Callable]:
+        """`predict` for prepared rows within a task: what makes cells of a table (a row for each thing that the model adds
+        up or compares), the cells of each feature, and what makes probabilities of cells."""
+        numeric, categorical = ([f"{k}_{c}" for c in names] for k, names in (("x", self.preparation.numeric), ("c", self.preparation.categorical)))
+        if isinstance(self.model, boosting.Boosted):
+            features, trees, base = self.model.features, self.model.trees, self.model.base
+            ends = np.cumsum([1] * len(numeric) + [len(v) for v in features.values]).tolist()
+            owned = [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)]
+            cells = lambda t: np.ascontiguousarray(features.bins({c: t.column(c).to_numpy() for c in [*numeric, *categorical]}).T)
+            return cells, owned, lambda x: 1 / (1 + np.exp(-(base + boosting.margins(x.T, trees))))
+        weights, intercept = self.model.stages[-1].coefficients.toArray(), float(self.model.stages[-1].intercept)
+        labels = [list(x) for x in self.model.stages[0].labelsArray]
+        firsts = np.cumsum([len(numeric)] + [len(x) + 1 for x in labels])
+
+        def shares(t: pa.Table) -> np.ndarray:
+            out = [t.column(c).to_numpy() * w for c, w in zip(numeric, weights, strict=False)]
+            for c, known, first in zip(categorical, labels, firsts, strict=False):
+                at = pc.fill_null(pc.index_in(t.column(c), value_set=pa.array(known, pa.string())), len(known))
+                out.append(weights[first + at.to_numpy()])
+            return np.stack(out)
+
+        def said(x: np.ndarray) -> np.ndarray:
+            margin = np.zeros(x.shape[1])
+            for share in x:  # one after the other: equal rows have equal margins
+                margin += share
+            with np.errstate(over="ignore"):
+                return 1 - 1 / (1 + np.exp(margin + intercept))
+
+        return shares, [slice(i, i + 1) for i in range(len(numeric) + len(categorical))], said
+
 
 def train(rows: DataFrame, name: str, iterations: int = 350) -> Trained:
     """One of MODELS[1:]. Classes are weighted to balance in the logistic regression. `rows` are read several times: give a
@@ -241,24 +279,95 @@ def written_split(frame: DataFrame, share: float = 0.2, seed: str = "42") -> Dat
     return written(split.coalesce(1) if parts == 1 else split.repartition(parts), "split")
 
 
+_COUNTED = pa.schema([("f", pa.int32()), ("r", pa.int32()), ("part", pa.int32()), *((f"{k}{c}", pa.binary()) for c in (0, 1) for k in "pn")])
+_COUNTED_DDL = "f int, r int, part int, p0 binary, n0 binary, p1 binary, n1 binary"
+_PAIRS_DDL = "f int, r int, part int, neg long, pos long, twice long"
+
+
+def _dealt(model: tuple[Callable, list[slice], Callable], repeats: int, edges: np.ndarray):
+    """Rows of whole buckets, in order -> for each feature and repeat, and once for values as they are (feature -1), the
+    distinct probabilities of each class and how many rows have them, cut at the edges."""
+    cells_of, owned, said = model
+
+    def counted(f: int, r: int, p: np.ndarray, y: np.ndarray) -> list[dict]:
+        p = np.fmax(np.fmin(p, 1 - S.PROBABILITY_MARGIN), S.PROBABILITY_MARGIN)  # as Spark, takes NaN for the greatest
+        rows = [{"f": f, "r": r, "part": k} for k in range(len(edges) + 1)]
+        for c in (0, 1):
+            values, n = np.unique(p[y == c], return_counts=True)
+            cuts = np.searchsorted(values, edges)
+            for row, v, m in zip(rows, np.split(values, cuts), np.split(n.astype(np.uint32), cuts), strict=True):
+                row |= {f"p{c}": v.tobytes(), f"n{c}": m.tobytes()}
+        return rows
+
+    def bucket(t: pa.Table):
+        y, cells = t.column("y").to_numpy(), cells_of(t)
+        orders = [np.argsort(t.column(f"o{r}").to_numpy(), kind="stable") for r in range(repeats)]
+        yield pa.RecordBatch.from_pylist(counted(-1, 0, said(cells), y), _COUNTED)
+        for f, own in enumerate(owned):
+            kept, rows = cells[own].copy(), []
+            for r, order in enumerate(orders):
+                cells[own] = kept[:, order]
+                rows += counted(f, r, said(cells), y)
+            cells[own] = kept
+            yield pa.RecordBatch.from_pylist(rows, _COUNTED)
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            ends = [0, *(np.flatnonzero(np.diff(b.column("_b").to_numpy())) + 1).tolist(), b.num_rows]
+            for part in (b.slice(i, j - i) for i, j in itertools.pairwise(ends) if j > i):
+                if held and held[0].column("_b")[0] != part.column("_b")[0]:
+                    yield from bucket(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(part)
+        if held:
+            yield from bucket(pa.Table.from_batches(held).combine_chunks())
+
+    return work
+
+
+def _pairs(key: tuple, t: pa.Table) -> pa.Table:
+    """Blocks of one feature, repeat and range -> rows of each class, and twice the pairs in which the row of class 1 has
+    the greater probability; an equal one counts once."""
+    (v0, n0), (v1, n1) = (
+        (np.frombuffer(b"".join(t.column(f"p{c}").to_pylist())), np.frombuffer(b"".join(t.column(f"n{c}").to_pylist()), np.uint32).astype(np.int64)) for c in (0, 1)
+    )
+    order = np.argsort(v0)
+    v0, below = v0[order], np.concatenate(([0], np.cumsum(n0[order])))
+    order = np.argsort(v1)  # searched in order, which is faster
+    v1, n1 = v1[order], n1[order]
+    twice = int((n1 * (below[np.searchsorted(v0, v1, "left")] + below[np.searchsorted(v0, v1, "right")])).sum())
+    f, r, part = (k.as_py() for k in key)
+    return pa.Table.from_arrays([pa.array([f], pa.int32()), pa.array([r], pa.int32()), pa.array([part], pa.int32()), pa.array([int(below[-1])]), pa.array([int(n1.sum())]), pa.array([twice])], ["f", "r", "part", "neg", "pos", "twice"])
+
+
 def permutation_importance(trained: Trained, rows: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """feature, importance: the mean fall of ROC-AUC when a column's values are dealt out anew. Both orders are row
-    numbers within salted buckets, so no sort takes one task. All features and repeats are one plan."""
-    base = metrics(trained.predict(rows), TARGET).first()["roc_auc"]
+    """feature, importance: the mean fall of ROC-AUC when a column's values are dealt out anew.
+
+    Values are dealt out within salted buckets. A task has a bucket's rows once, prepared, and makes all features' and
+    repeats' probabilities of them; what it gives are sorted blocks of numbers. A task that ranks has one feature, repeat
+    and range of probabilities, of about RANKED_ROWS rows, so no sort takes one task."""
     features = trained.preparation.numeric + trained.preparation.categorical
+    count = rows.count()
+    buckets, ranges = max(DEALT_BUCKETS, -(-count // DEALT_ROWS)), -(-count // RANKED_ROWS)
+    edges = trained.predict(rows).agg(F.percentile_approx(S.clip_probability(F.col("p")), [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
     order = F.xxhash64("file", "round_number")
-    keyed = rows.withColumn("_b", F.pmod(order, F.lit(32)))
-    keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(order, "file", "round_number")))
-    keyed = keyed.withColumn("_r", F.explode(F.array(*map(F.lit, range(repeats)))))
-    mixed = Window.partitionBy("_b", "_r").orderBy(F.xxhash64(F.col("_r") + F.lit(seed), "file", "round_number"), "file", "round_number")
-    other = keyed.select("_b", "_r", F.row_number().over(mixed).alias("_k"), F.struct(*features).alias("_o"))
-    dealt = keyed.join(other, ["_b", "_r", "_k"]).withColumn("_f", F.explode(F.array(*map(F.lit, features))))
-    shuffled = dealt.withColumns({c: F.when(F.col("_f") == c, F.col(f"_o.{c}")).otherwise(F.col(c)) for c in features}).drop("_o")
-    falls = {}
-    for r in metrics(trained.predict(shuffled), TARGET, by=["_f", "_r"]).collect():  # one row a feature and repeat
-        if base is not None and r["roc_auc"] is not None:
-            falls.setdefault(r["_f"], []).append(base - r["roc_auc"])
-    out = [(c, math.fsum(falls[c]) / len(falls[c]) if c in falls else math.nan) for c in features]
+    made = trained.preparation.apply(rows).select(
+        F.pmod(order, F.lit(buckets)).alias("_b"), order.alias("_h"), "file", "round_number", F.coalesce(F.col(TARGET).cast("int"), F.lit(0)).alias("y"),
+        *[f"x_{c}" for c in trained.preparation.numeric], *[f"c_{c}" for c in trained.preparation.categorical],
+        *[F.xxhash64(F.lit(seed + r), "file", "round_number").alias(f"o{r}") for r in range(repeats)],
+    )
+    made = made.repartition(buckets, "_b").sortWithinPartitions("_b", "_h", "file", "round_number").drop("_h", "file", "round_number")
+    blocks = made.mapInArrow(_dealt(trained.in_task(), repeats, np.unique(np.array(edges or [], dtype=np.float64))), _COUNTED_DDL)
+    pairs = blocks.groupBy("f", "r", "part").applyInArrow(_pairs, _PAIRS_DDL)
+    lower = Window.partitionBy("f", "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumn("twice", F.col("twice") + 2 * F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    aucs = pairs.groupBy("f", "r").agg(F.try_divide(F.sum("twice").cast("double"), 2.0 * F.sum("pos") * F.sum("neg")).alias("auc"))
+    found: dict[int, list[float]] = {}
+    for x in aucs.where("auc IS NOT NULL").collect():  # one row a feature and repeat
+        found.setdefault(x["f"], []).append(x["auc"])
+    falls = {f: [found[-1][0] - x for x in xs] for f, xs in found.items()}
+    out = [(c, math.fsum(falls[f]) / len(falls[f]) if f in falls else math.nan) for f, c in enumerate(features)]
     return rows.sparkSession.createDataFrame(out, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
