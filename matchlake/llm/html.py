@@ -112,6 +112,18 @@ PAGES = (
     f"{_TOP}<div class=banner><p>+30-120</p><p>+30-120</p><p>+1-20</p></div><div class=promo><p>-5-40</p></div>{_END}",
     f"{_TOP}<div class=header><h1>+2-12</h1></div><p>+30-120</p><p>+10-90</p><div class=share><a href=x>-1</a> <a href=x>-1</a></div>{_END}",
     f"{_TOP}<main><div class=header><h1>+2-12</h1></div><p>+30-120</p><p>+10-90</p></main>{_END}",
+    # short lines in what stands apart
+    f"{_TOP}<article><h1>+2-12</h1><p>+3-60</p><p>+1-9</p></article><div class=sidebar><p>-1-4</p></div>{_END}",
+    f"{_TOP}<article><h1>+2-12</h1><p>+3-60</p><p>+1-9</p></article><div class=sidebar><p>-1-4.</p></div>{_END}",
+    f"{_TOP}<article><h1>+2-12</h1><p>+3-90</p><p>+1-9</p></article><div class=sidebar><h3>-1-4</h3><p>-1-9</p><h3>-5-30</h3><p>-1-5.</p></div>{_END}",
+    f"{_TOP}<div class=promo><p>-1-6</p></div><main><h1>+2-12</h1><p>+3-90</p><div class=related><h3>-1-30</h3><ul><li>-1-6<li>-1-6.</ul></div><p>+3-60</p></main><div class=notice>-1-6</div>{_END}",
+    f"{_TOP}<div class=notice><p>-1-4.</p></div><main><h1>+2-12</h1><p>+3-90</p><p>+1-9</p><div class=related><p>-1-6.</p></div><p>+3-60</p></main>{_END}",
+    f"<div class=menu>{_MENU}</div><h1>+2-12</h1><p>+10-90</p><div class=widget>-1-4</div><p>+3-60</p><div class=widget><ul><li>-1-30<li>-1-30</ul></div>{_END}",
+    "<h1>+2-12</h1><p>+10-90</p><p>+10-60</p><div class=social>-1-4</div>", "<h1>+2-12</h1><p>+10-90</p><p>+10-60</p><div class=promo><p>-1-5.</p></div>",
+    "<h1>+2-12</h1><p>+10-90</p><p>+10-60</p><div class=widget><h3>-1-30</h3></div>", "<h1>+2-12</h1><p>+10-90</p><p>+10-60</p><div class=promo><ul><li>-1-30<li>-1-30</ul></div>",
+    "<h1>+2-12</h1><p>+10-90</p><p>+10-60</p><div class=related><p>-1-4</p></div>", "<h1>+2-12</h1><p>+10-90</p><p>+1-9</p><div class=related><ul><li>-1-4<li>-1-4</ul></div>",
+    "<article><h1>+2-12</h1><p>+10-90</p><p>+1-9</p></article><div class=share><p>-1-4</p></div>", "<article><h1>+2-12</h1><p>+10-90</p><p>+1-9</p></article><div class=share>-1-4</div>",
+    "<h1>+1-12</h1><p>+15-90</p><p>+15-90</p><h3>Comments</h3><p>-5-60</p><p>-5-60</p>",
     # several articles
     f"{_TOP}<main><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article></main>{_END}",
     f"{_TOP}<article><h2>+2-12</h2><p>+12-120</p></article><article><h2>+2-12</h2><p>+12-120</p><p>+3-60</p></article><aside><p>-5-40</p></aside>{_END}",

@@ -62,6 +62,16 @@ def test_main_text_of_odd_markup(page, want):
     assert html.main_text(page, html.train_tree(html.labelled_blocks())) == want
 
 
+def test_short_lines_of_what_stands_apart_are_no_text():
+    tree, title = html.train_tree(html.labelled_blocks()), f"<h1>Title here</h1><p>{LONG}</p>"
+    for name in ("sidebar", "ad", "notice", "promo", "related"):
+        for words in ("Other", "Other news", "Other news here", "Other news here Other news"):
+            for part in (f"<p>{words}</p>", f"<p>{words}.</p>", words, f"<h3>{words}</h3>", f"<ul><li>{words}<li>{words}</ul>"):
+                apart = f"<div class={name}>{part}</div>"
+                for page in (f"<nav><a href=x>Home</a></nav><article>{title}<p>Short.</p></article>{apart}", f"{title}<p>Short.</p>{apart}", f"<main>{title}{apart}<p>Short.</p></main><footer>c 2020</footer>"):
+                    assert html.main_text(page, tree) == f"Title here\n{LONG}\nShort.", page
+
+
 def test_time_does_not_grow_with_the_square_of_the_depth():
     import time
 
