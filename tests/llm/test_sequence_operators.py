@@ -205,6 +205,24 @@ def test_repeated_strings_of_the_table(spark, data):
     assert _cleaned(suffixes.op12(spark, data)) == want and sum(x[2] * n for x, n in want.items()) > 0
 
 
+def test_starts_of_one_very_common_string_are_split_among_tasks(spark):
+    """A third of the starts have the hashes (0, 0); every other string occurs twice, but for 1,000 that occur once."""
+    names = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    names = {f"spark.sql.{k}": v for k, v in names.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        string = "CASE WHEN id < 60000 THEN 0 WHEN id < 180000 THEN 1 + id % 60000 ELSE id END"
+        starts = spark.range(0, 181_000, 1, 8).selectExpr("id AS key", "id AS body", "1 AS starts", "1L AS weight", "0 AS at", f"{string} AS one", f"{string} AS two")
+        found = suffixes._repeated_of_hot(starts, suffixes.Tables(spark, "test")).select("key")
+        assert sorted(r.key for r in found.collect()) == list(range(180_000))
+        assert "SortMergeJoin(skew=true)" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_repeated_strings_of_an_empty_table(spark):
     assert suffixes.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
